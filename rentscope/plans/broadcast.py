@@ -1,0 +1,17 @@
+"""Broadcast a join side only after proving it is small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
+
+    The check reads at most ``max_rows + 1`` rows, so it stays cheap even
+    when the side turns out to be large; a large side is left to the planner
+    (sort-merge join, or AQE's runtime broadcast if it shrinks after filters).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
