@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.functions import month_key, month_label
+from rentscope.functions import month_key, month_label, month_start
 from rentscope.model import RentalData
 
 
@@ -37,9 +37,8 @@ def genre_monthly(data: RentalData) -> DataFrame:
     """
     pairs = rental_genres(data).join(data.rental.select("rental_id", "rental_date"), "rental_id")
     return (
-        pairs.groupBy(
-            month_key("rental_date").alias("month"), month_label("rental_date").alias("label"), "genre"
-        )
+        pairs.groupBy(month_start("rental_date").alias("m"), "genre")
         .agg(F.count(F.lit(1)).cast("long").alias("rental_count"))
+        .select(month_key("m").alias("month"), month_label("m").alias("label"), "genre", "rental_count")
         .orderBy(F.col("month").asc_nulls_last(), F.col("rental_count").desc(), F.col("genre").asc_nulls_last())
     )

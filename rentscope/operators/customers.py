@@ -160,8 +160,9 @@ def customer_timeline(data: RentalData, customer_id: int | None = None) -> DataF
     """[customer_id,] month ('Mon yyyy'), month_sort (first day), rental_count."""
     r = _only(data.rental, customer_id)
     out = (
-        r.groupBy("customer_id", month_label("rental_date").alias("month"), month_start("rental_date").alias("month_sort"))
+        r.groupBy("customer_id", month_start("rental_date").alias("month_sort"))
         .agg(F.count(F.lit(1)).cast("long").alias("rental_count"))  # one row per rental
+        .select("customer_id", month_label("month_sort").alias("month"), "month_sort", "rental_count")
     )
     out = out.orderBy("customer_id", F.col("month_sort").asc_nulls_last())
     return out.drop("customer_id") if customer_id is not None else out

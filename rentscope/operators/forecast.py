@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.functions import money, month_key
+from rentscope.functions import money, month_key, month_start
 from rentscope.model import RentalData
 from rentscope.plans import paid_rentals
 
@@ -52,10 +52,10 @@ def revenue_series(data: RentalData, axis: str = "payment", by: str | None = Non
     rental month. ``by`` = None (one global series, key 'all') or 'country'.
     """
     if axis == "payment":
-        facts = data.payment.select("customer_id", month_key("payment_date").alias("month"), F.col("amount").alias("amt"))
+        facts = data.payment.select("customer_id", month_start("payment_date").alias("month"), F.col("amount").alias("amt"))
     elif axis == "rental":
         facts = paid_rentals(data.rental, data.payment, "rental_date").select(
-            "customer_id", month_key("rental_date").alias("month"), F.col("paid").alias("amt"))
+            "customer_id", month_start("rental_date").alias("month"), F.col("paid").alias("amt"))
     else:
         raise ValueError(f"unknown axis {axis!r}")
     if by is None:
@@ -68,7 +68,7 @@ def revenue_series(data: RentalData, axis: str = "payment", by: str | None = Non
         raise ValueError(f"unknown series dimension {by!r}")
     return (
         keyed.groupBy("series_key", "month").agg(F.sum("amt").alias("rev"))
-        .select("series_key", "month", money("rev").alias("revenue"))
+        .select("series_key", month_key("month").alias("month"), money("rev").alias("revenue"))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentscope.functions import (
-    duration_micros, money, month_key, month_label, round_ratio,
+    duration_micros, money, month_key, month_label, month_start, round_ratio,
 )
 from rentscope.functions.calendar import MICROS_PER_DAY
 from rentscope.model import RentalData
@@ -42,14 +42,14 @@ def monthly_revenue(data: RentalData) -> DataFrame:
     """Payments by payment month: month, label, revenue, transactions, active_customers."""
     p = data.payment
     return (
-        p.groupBy(month_key("payment_date").alias("month"), month_label("payment_date").alias("label"))
+        p.groupBy(month_start("payment_date").alias("m"))
         .agg(
             F.sum("amount").alias("revenue"),
             F.count(F.lit(1)).alias("transactions"),
             F.count_distinct("customer_id").alias("active_customers"),
         )
         .select(
-            "month", "label", money("revenue").alias("revenue"),
+            month_key("m").alias("month"), month_label("m").alias("label"), money("revenue").alias("revenue"),
             F.col("transactions").cast("long"), F.col("active_customers").cast("long"),
         )
         .orderBy(F.col("month").asc_nulls_last())
@@ -60,9 +60,9 @@ def monthly_revenue_by_rental(data: RentalData) -> DataFrame:
     """Paid rentals by rental month: month, revenue, transactions (distinct rentals)."""
     paid = paid_rentals(data.rental, data.payment, "rental_date")
     return (
-        paid.groupBy(month_key("rental_date").alias("month"))
+        paid.groupBy(month_start("rental_date").alias("m"))
         .agg(F.sum("paid").alias("revenue"), F.count(F.lit(1)).alias("transactions"))
-        .select("month", money("revenue").alias("revenue"), F.col("transactions").cast("long"))
+        .select(month_key("m").alias("month"), money("revenue").alias("revenue"), F.col("transactions").cast("long"))
         .orderBy(F.col("month").asc_nulls_last())
     )
 
@@ -70,9 +70,9 @@ def monthly_revenue_by_rental(data: RentalData) -> DataFrame:
 def monthly_revenue_payments(data: RentalData) -> DataFrame:
     """Payments by payment month: month, revenue, transactions (payment rows)."""
     return (
-        data.payment.groupBy(month_key("payment_date").alias("month"))
+        data.payment.groupBy(month_start("payment_date").alias("m"))
         .agg(F.sum("amount").alias("revenue"), F.count(F.lit(1)).alias("transactions"))
-        .select("month", money("revenue").alias("revenue"), F.col("transactions").cast("long"))
+        .select(month_key("m").alias("month"), money("revenue").alias("revenue"), F.col("transactions").cast("long"))
         .orderBy(F.col("month").asc_nulls_last())
     )
 
@@ -84,14 +84,14 @@ def cumulative_revenue(data: RentalData, axis: str = "payment") -> DataFrame:
     single window partition holds the calendar, not the data.
     """
     if axis == "payment":
-        exact = data.payment.groupBy(month_key("payment_date").alias("month")).agg(F.sum("amount").alias("rev"))
+        exact = data.payment.groupBy(month_start("payment_date").alias("m")).agg(F.sum("amount").alias("rev"))
     else:
         exact = (paid_rentals(data.rental, data.payment, "rental_date")
-                 .groupBy(month_key("rental_date").alias("month")).agg(F.sum("paid").alias("rev")))
-    w = Window.orderBy(F.col("month").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                 .groupBy(month_start("rental_date").alias("m")).agg(F.sum("paid").alias("rev")))
+    w = Window.orderBy(F.col("m").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         exact.select(
-            "month",
+            month_key("m").alias("month"),
             money("rev").alias("revenue"),
             money(F.sum("rev").over(w)).alias("cumulative_revenue"),
         )

@@ -27,15 +27,42 @@ from rentscope.model import RentalData
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
+# Declared schemas: reading with them skips schema inference (a file-footer
+# job per read, which on thousands of files is a noticeable fixed cost).
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                 "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+}
+
 MONEY = "decimal(12,2)"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+class _Reader:
+    """Reads every driver table at most once per ``load``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.cache = spark, sf_dir, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self.cache:
+            self.cache[name] = read_table(self.spark, self.sf_dir, name)
+        return self.cache[name]
 
 
-def _customer(spark, sf_dir):
-    c = read_table(spark, sf_dir, "customer")
+def _customer(read):
+    c = read("customer")
     return c.select(
         F.col("c_custkey").cast("long").alias("customer_id"),
         F.col("c_name").alias("name"),
@@ -44,22 +71,22 @@ def _customer(spark, sf_dir):
     )
 
 
-def _customer_geo(spark, sf_dir):
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+def _customer_geo(read):
+    c = read("customer").select("c_custkey", "c_nationkey")
     # nation is a fixed 25-row code table.
-    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    n = read("nation").select("n_nationkey", "n_name")
     return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
         F.col("c_custkey").cast("long").alias("customer_id"),
         F.col("n_name").alias("country"),
     )
 
 
-def _rental(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+def _rental(read):
+    o = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     # Latest ship date per order: partial aggregation before the shuffle,
     # then a 1:1 join on the order key.
     last_ship = (
-        read_table(spark, sf_dir, "lineitem")
+        read("lineitem")
         .groupBy("l_orderkey")
         .agg(F.max("l_shipdate").alias("last_ship"))
     )
@@ -72,17 +99,17 @@ def _rental(spark, sf_dir):
     )
 
 
-def _orders_by_key(spark, sf_dir):
+def _orders_by_key(read):
     """One row per order key (the orders primary key). A left join to it is
     provably 1:1, so Catalyst removes the join when no order column is used
     (revenue by payment month then scans lineitem alone)."""
-    o = read_table(spark, sf_dir, "orders")
+    o = read("orders")
     return o.groupBy("o_orderkey").agg(F.max("o_custkey").alias("o_custkey"))
 
 
-def _payment(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
-    o = _orders_by_key(spark, sf_dir)
+def _payment(read):
+    li = read("lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
+    o = _orders_by_key(read)
     return li.join(o, li.l_orderkey == o.o_orderkey, "left").select(
         F.col("l_orderkey").cast("long").alias("rental_id"),
         F.col("o_custkey").cast("long").alias("customer_id"),
@@ -91,8 +118,8 @@ def _payment(spark, sf_dir):
     )
 
 
-def _rental_item(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem")
+def _rental_item(read):
+    li = read("lineitem")
     return li.select(
         F.col("l_orderkey").cast("long").alias("rental_id"),
         F.col("l_partkey").cast("long").alias("film_id"),
@@ -103,24 +130,25 @@ def _rental_item(spark, sf_dir):
     )
 
 
-def _film(spark, sf_dir):
-    p = read_table(spark, sf_dir, "part")
+def _film(read):
+    p = read("part")
     return p.select(F.col("p_partkey").cast("long").alias("film_id"), F.col("p_name").alias("title"))
 
 
-def _film_genre(spark, sf_dir):
-    p = read_table(spark, sf_dir, "part")
+def _film_genre(read):
+    p = read("part")
     return p.select(F.col("p_partkey").cast("long").alias("film_id"), F.col("p_type").alias("genre"))
 
 
 def load(spark: SparkSession, sf_dir: str) -> RentalData:
     """Lazily build ``RentalData`` over the driver parquet in ``sf_dir``."""
+    read = _Reader(spark, sf_dir)
     return RentalData(
-        customer=_customer(spark, sf_dir),
-        customer_geo=_customer_geo(spark, sf_dir),
-        rental=_rental(spark, sf_dir),
-        payment=_payment(spark, sf_dir),
-        rental_item=_rental_item(spark, sf_dir),
-        film=_film(spark, sf_dir),
-        film_genre=_film_genre(spark, sf_dir),
+        customer=_customer(read),
+        customer_geo=_customer_geo(read),
+        rental=_rental(read),
+        payment=_payment(read),
+        rental_item=_rental_item(read),
+        film=_film(read),
+        film_genre=_film_genre(read),
     )
