@@ -39,8 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used as is. Only when nothing is set (local tests) a fresh scratch folder
-    is created, so checkpoint() still works.
+    used as is. Only a local-mode session (tests, the bench) without that
+    setting gets a fresh scratch folder; on a cluster a missing setting is
+    an error, since a machine-local folder does not survive executor loss.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store)")
         configured = tempfile.mkdtemp(prefix="rentscope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -73,9 +73,10 @@ def _customer(read):
 
 def _customer_geo(read):
     c = read("customer").select("c_custkey", "c_nationkey")
-    # nation is a fixed 25-row code table.
+    # No hint: the planner broadcasts nation only because its size estimate
+    # is under spark.sql.autoBroadcastJoinThreshold (AQE re-checks at runtime).
     n = read("nation").select("n_nationkey", "n_name")
-    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(
         F.col("c_custkey").cast("long").alias("customer_id"),
         F.col("n_name").alias("country"),
     )
