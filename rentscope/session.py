@@ -31,7 +31,6 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)  # results are defined in UTC
         elif spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
