@@ -17,6 +17,11 @@ shape; operators never see the stored layout. Columns:
   row, so item and payment roles are never joined against each other.
 * ``film``         film_id long, title string
 * ``film_genre``   film_id long, genre string (a film may have several)
+* ``rental_paid``  optional: rental_id, customer_id, rental_date, return_date,
+  paid decimal, n_rows long, n_amt long -- one row per rental with at least
+  one payment row and its payment totals. An adapter that can produce it
+  from one aggregation supplies it; otherwise it is derived from ``rental``
+  and ``payment`` (``rentscope.plans.paid_rentals``).
 """
 
 from __future__ import annotations
@@ -35,6 +40,11 @@ class RentalData:
     rental_item: DataFrame
     film: DataFrame
     film_genre: DataFrame
+    rental_paid: DataFrame | None = None
 
     def with_tables(self, **tables: DataFrame) -> "RentalData":
+        """Replace tables; a precomputed ``rental_paid`` is dropped when the
+        rentals or payments it summarises change."""
+        if ("rental" in tables or "payment" in tables) and "rental_paid" not in tables:
+            tables["rental_paid"] = None
         return replace(self, **tables)

@@ -44,11 +44,11 @@ def churn_features(data: RentalData, as_of=None) -> DataFrame:
         as_of_col = F.current_timestamp().cast("timestamp_ntz")
     else:
         as_of_col = F.lit(as_of).cast("timestamp_ntz")
-    r = data.rental.filter(F.col("rental_date").isNotNull()).withColumn(
+    paid = paid_rentals(data).filter(F.col("rental_date").isNotNull()).withColumn(
         "dur_us", duration_micros(F.coalesce(F.col("return_date"), as_of_col), F.col("rental_date"))
     )
     per_customer = customer_rollup(
-        paid_rentals(r, data.payment, "rental_date", "dur_us"),
+        paid,
         F.max("rental_date").alias("last_ts"),
         F.sum(F.col("dur_us").cast("decimal(28,0)") * F.col("n_rows")).alias("dur_us_w"),
     )

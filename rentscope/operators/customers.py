@@ -3,7 +3,9 @@ history, top spenders, rentals-vs-revenue, spending tiers.
 
 Every lookup by ``customer_id`` is a filter on the batch form, so the
 filter is pushed into the scans; the batch forms compute every customer
-in one pass, for exports or a materialised serving table.
+in one pass, for exports or a materialised serving table. Lookups are
+ordered as the original pages; batch forms are not sorted globally (a
+total sort of every customer's history would only add a range shuffle).
 """
 
 from __future__ import annotations
@@ -40,10 +42,9 @@ def customer_summary(data: RentalData) -> DataFrame:
     avg_duration is weighted by payment rows (a rental paid in three parts
     counts three times), as the joined-rows average of the reference.
     """
-    returned = data.rental.filter(F.col("return_date").isNotNull()).withColumn(
+    paid = paid_rentals(data).filter(F.col("return_date").isNotNull()).withColumn(
         "dur_us", duration_micros("return_date", "rental_date")
     )
-    paid = paid_rentals(returned, data.payment, "dur_us")
     per_customer = customer_rollup(
         paid, F.sum(F.col("dur_us").cast("decimal(28,0)") * F.col("n_rows")).alias("dur_us_w")
     )
@@ -60,7 +61,7 @@ def customer_summary(data: RentalData) -> DataFrame:
 
 def top_n_customers(data: RentalData, n: int = 10) -> DataFrame:
     """customer_id, name, total_revenue of the n largest spenders (all paid rentals)."""
-    per_customer = customer_rollup(paid_rentals(data.rental, data.payment))
+    per_customer = customer_rollup(paid_rentals(data))
     return (
         per_customer.join(data.customer.select("customer_id", "name"), "customer_id")
         .select("customer_id", "name", money("paid").alias("total_revenue"))
@@ -71,7 +72,7 @@ def top_n_customers(data: RentalData, n: int = 10) -> DataFrame:
 
 def customer_spend(data: RentalData) -> DataFrame:
     """customer_id, rental_count, total_revenue per customer with paid rentals."""
-    per_customer = customer_rollup(paid_rentals(data.rental, data.payment))
+    per_customer = customer_rollup(paid_rentals(data))
     return per_customer.join(data.customer.select("customer_id"), "customer_id", "left_semi").select(
         "customer_id", F.col("rentals").cast("long").alias("rental_count"),
         money("paid").alias("total_revenue"),
@@ -99,7 +100,7 @@ def spending_tiers(data: RentalData, cuts: Sequence[float] = (100.0, 150.0),
     labels = list(labels) if labels else [f"tier_{i}" for i in range(len(cuts) + 1)]
     if len(labels) != len(cuts) + 1:
         raise ValueError("need one label more than cuts")
-    per_customer = customer_rollup(paid_rentals(data.rental, data.payment)).join(
+    per_customer = customer_rollup(paid_rentals(data)).join(
         data.customer.select("customer_id"), "customer_id", "left_semi"
     )
     spend = F.round("paid", 2)
@@ -139,7 +140,7 @@ def customer_kpi(data: RentalData, customer_id: int | None = None) -> DataFrame:
     With ``customer_id`` one row (also for an unknown id: counts 0, rest
     NULL); without, one row per customer with a paid rental.
     """
-    paid = paid_rentals(_only(data.rental, customer_id), data.payment, "rental_date")
+    paid = _only(paid_rentals(data), customer_id)
     aggs = [
         F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("paid"), F.sum("n_amt").alias("n_amt"),
         F.min("rental_date").alias("first_ts"), F.max("rental_date").alias("last_ts"),
@@ -164,8 +165,9 @@ def customer_timeline(data: RentalData, customer_id: int | None = None) -> DataF
         .agg(F.count(F.lit(1)).cast("long").alias("rental_count"))  # one row per rental
         .select("customer_id", month_label("month_sort").alias("month"), "month_sort", "rental_count")
     )
-    out = out.orderBy("customer_id", F.col("month_sort").asc_nulls_last())
-    return out.drop("customer_id") if customer_id is not None else out
+    if customer_id is None:
+        return out
+    return out.orderBy(F.col("month_sort").asc_nulls_last()).drop("customer_id")
 
 
 def _top_genres_ranked(data: RentalData, customer_id: int | None, n: int) -> DataFrame:
@@ -179,10 +181,10 @@ def _top_genres_ranked(data: RentalData, customer_id: int | None, n: int) -> Dat
 
 def customer_top_genres(data: RentalData, customer_id: int | None = None, n: int = 8) -> DataFrame:
     """[customer_id,] genre, rental_count: the customer's n most rented genres."""
-    out = _top_genres_ranked(data, customer_id, n).select("customer_id", "genre", "rental_count").orderBy(
-        "customer_id", F.col("rental_count").desc(), F.col("genre").asc_nulls_last()
-    )
-    return out.drop("customer_id") if customer_id is not None else out
+    out = _top_genres_ranked(data, customer_id, n).select("customer_id", "genre", "rental_count")
+    if customer_id is None:
+        return out
+    return out.orderBy(F.col("rental_count").desc(), F.col("genre").asc_nulls_last()).drop("customer_id")
 
 
 def _history_rows(data: RentalData, customer_id: int | None, paid_only: bool) -> DataFrame:
@@ -212,8 +214,10 @@ def customer_history(data: RentalData, customer_id: int | None = None, n: int =
         "customer_id", "rental_id", as_date("rental_date").alias("rental_date"),
         as_date("return_date").alias("return_date"), "film_title", "genre",
         F.col("amount").cast("double").alias("paid"),
-    ).orderBy("customer_id", F.col("rental_date").desc_nulls_first(), F.col("rental_id").desc())
-    return out.drop("customer_id") if customer_id is not None else out
+    )
+    if customer_id is None:
+        return out
+    return out.orderBy(F.col("rental_date").desc_nulls_first(), F.col("rental_id").desc()).drop("customer_id")
 
 
 def customer_history_full(data: RentalData, customer_id: int | None = None) -> DataFrame:
@@ -223,8 +227,10 @@ def customer_history_full(data: RentalData, customer_id: int | None = None) -> D
     out = rows.select(
         "customer_id", as_date("rental_date").alias("rental_date"), as_date("return_date").alias("return_date"),
         "film_title", "genre", F.coalesce(F.col("amount"), F.lit(0).cast("decimal(12,2)")).cast("double").alias("amount"),
-    ).orderBy("customer_id", F.col("rental_date").desc_nulls_first())
-    return out.drop("customer_id") if customer_id is not None else out
+    )
+    if customer_id is None:
+        return out
+    return out.orderBy(F.col("rental_date").desc_nulls_first()).drop("customer_id")
 
 
 def customer_detail(data: RentalData, customer_id: int) -> dict[str, DataFrame]:
@@ -259,5 +265,4 @@ def customer_detail_batch(data: RentalData, genres: int = 8, history: int = 100)
         kpi.join(timeline, "customer_id", "left")
         .join(genre_list, "customer_id", "left")
         .join(hist, "customer_id", "left")
-        .orderBy("customer_id")
     )

@@ -54,7 +54,7 @@ def revenue_series(data: RentalData, axis: str = "payment", by: str | None = Non
     if axis == "payment":
         facts = data.payment.select("customer_id", month_start("payment_date").alias("month"), F.col("amount").alias("amt"))
     elif axis == "rental":
-        facts = paid_rentals(data.rental, data.payment, "rental_date").select(
+        facts = paid_rentals(data).select(
             "customer_id", month_start("rental_date").alias("month"), F.col("paid").alias("amt"))
     else:
         raise ValueError(f"unknown axis {axis!r}")

@@ -21,7 +21,7 @@ def kpi_summary(data: RentalData) -> DataFrame:
     to the customer table (1:1), so no join repeats rows and no distinct
     count is needed.
     """
-    per_customer = customer_rollup(paid_rentals(data.rental, data.payment))
+    per_customer = customer_rollup(paid_rentals(data))
     known = per_customer.join(data.customer.select("customer_id"), "customer_id", "left_semi")
     agg = known.agg(
         F.count(F.lit(1)).alias("customers"),
@@ -58,7 +58,7 @@ def monthly_revenue(data: RentalData) -> DataFrame:
 
 def monthly_revenue_by_rental(data: RentalData) -> DataFrame:
     """Paid rentals by rental month: month, revenue, transactions (distinct rentals)."""
-    paid = paid_rentals(data.rental, data.payment, "rental_date")
+    paid = paid_rentals(data)
     return (
         paid.groupBy(month_start("rental_date").alias("m"))
         .agg(F.sum("paid").alias("revenue"), F.count(F.lit(1)).alias("transactions"))
@@ -86,7 +86,7 @@ def cumulative_revenue(data: RentalData, axis: str = "payment") -> DataFrame:
     if axis == "payment":
         exact = data.payment.groupBy(month_start("payment_date").alias("m")).agg(F.sum("amount").alias("rev"))
     else:
-        exact = (paid_rentals(data.rental, data.payment, "rental_date")
+        exact = (paid_rentals(data)
                  .groupBy(month_start("rental_date").alias("m")).agg(F.sum("paid").alias("rev")))
     w = Window.orderBy(F.col("m").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (

@@ -20,7 +20,7 @@ def rfm_base(data: RentalData) -> DataFrame:
     """customer_id, last_rental (date), frequency, monetary (decimal, rounded),
     recency_days for every customer with at least one paid rental."""
     per_customer = customer_rollup(
-        paid_rentals(data.rental, data.payment, "rental_date"),
+        paid_rentals(data),
         F.max("rental_date").alias("last_ts"),
     )
     return per_customer.select(

@@ -27,10 +27,17 @@ def payments_per_rental(payment: DataFrame) -> DataFrame:
     )
 
 
-def paid_rentals(rental: DataFrame, payment: DataFrame, *rental_cols: str) -> DataFrame:
-    """Inner join of rentals with their payment aggregate (one row per paid rental)."""
-    cols = ["rental_id", "customer_id", *rental_cols]
-    return rental.select(*dict.fromkeys(cols)).join(payments_per_rental(payment), "rental_id")
+RENTAL_COLS = ("rental_id", "customer_id", "rental_date", "return_date")
+
+
+def paid_rentals(data) -> DataFrame:
+    """rental_id, customer_id, rental_date, return_date, paid, n_rows, n_amt:
+    one row per rental with at least one payment (rental inner join payment,
+    reduced to the rental grain). Filters on rental columns applied to the
+    result are pushed below the join by Catalyst."""
+    if data.rental_paid is not None:
+        return data.rental_paid
+    return data.rental.select(*RENTAL_COLS).join(payments_per_rental(data.payment), "rental_id")
 
 
 def customer_rollup(paid: DataFrame, *extra) -> DataFrame:

@@ -14,6 +14,8 @@ Mapping (fixed; the oracle SQL in ``rentscope.oracle`` spells out the same):
 * rental_item: the same lineitem row; l_partkey -> film_id,
   l_suppkey -> store_id, with its amount and date
 * film / film_genre: part; p_name -> title, p_type -> genre
+* rental_paid: orders joined to one aggregate of their lines (return date
+  and payment totals from the same scan)
 
 Every reader selects only the columns it maps, so scans are pruned.
 """
@@ -82,22 +84,41 @@ def _customer_geo(read):
     )
 
 
-def _rental(read):
-    o = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    # Latest ship date per order: partial aggregation before the shuffle,
-    # then a 1:1 join on the order key.
-    last_ship = (
-        read("lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.max("l_shipdate").alias("last_ship"))
+def _order_lines(read):
+    """One row per order key: latest ship date and the payment totals of its
+    lines (partial aggregation before the shuffle). Rentals take the return
+    date from it and paid rentals the totals, so operators that need both
+    scan and shuffle lineitem once."""
+    amount = F.col("l_extendedprice").cast(MONEY)
+    return read("lineitem").groupBy("l_orderkey").agg(
+        F.max("l_shipdate").alias("last_ship"),
+        F.sum(amount).alias("paid"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(amount).alias("n_amt"),
     )
-    r = o.join(last_ship, o.o_orderkey == last_ship.l_orderkey, "left")
-    return r.select(
+
+
+def _rental_cols():
+    return [
         F.col("o_orderkey").cast("long").alias("rental_id"),
         F.col("o_custkey").cast("long").alias("customer_id"),
         F.col("o_orderdate").alias("rental_date"),
         F.when(F.col("last_ship") >= F.col("o_orderdate"), F.col("last_ship")).alias("return_date"),
-    )
+    ]
+
+
+def _rental(read):
+    o = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = _order_lines(read)
+    # Left join to a key-unique aggregate: removed when return_date is unused.
+    return o.join(lines, o.o_orderkey == lines.l_orderkey, "left").select(*_rental_cols())
+
+
+def _rental_paid(read):
+    o = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = _order_lines(read)
+    return o.join(lines, o.o_orderkey == lines.l_orderkey).select(
+        *_rental_cols(), "paid", F.col("n_rows").cast("long"), F.col("n_amt").cast("long"))
 
 
 def _orders_by_key(read):
@@ -152,4 +173,5 @@ def load(spark: SparkSession, sf_dir: str) -> RentalData:
         rental_item=_rental_item(read),
         film=_film(read),
         film_genre=_film_genre(read),
+        rental_paid=_rental_paid(read),
     )
