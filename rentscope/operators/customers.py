@@ -259,8 +259,9 @@ def customer_detail_batch(data: RentalData, genres: int = 8, history: int = 100)
             F.transform(F.array_sort(F.collect_list(F.struct("genre_rank", "genre"))), lambda s: s["genre"]), ","
         ).alias("top_genres")
     )
-    hist = customer_history(data, n=history).groupBy("customer_id").agg(
-        F.count(F.lit(1)).cast("long").alias("history_rows"))
+    # The page shows at most ``history`` lines: count them without ranking.
+    hist = _history_rows(data, None, paid_only=True).groupBy("customer_id").agg(
+        F.least(F.count(F.lit(1)), F.lit(history)).cast("long").alias("history_rows"))
     return (
         kpi.join(timeline, "customer_id", "left")
         .join(genre_list, "customer_id", "left")
