@@ -153,3 +153,22 @@ def churn_at_risk(result: ChurnResult, n: int = 15) -> DataFrame:
         .orderBy(F.col("churn_probability").desc(), F.col("customer_id"))
         .limit(n)
     )
+
+
+def save_churn_model(result: ChurnResult, path: str) -> None:
+    """Store the fitted pipeline (scaler + forest) with Spark ML persistence."""
+    result.model.write().overwrite().save(path)
+
+
+def load_churn_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def score_with(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """Score customers with a stored model (no refit)."""
+    prob = vector_to_array(F.col("probability"))
+    return model.transform(features).select(
+        *features.columns,
+        F.col("prediction").cast("int").alias("churn_predicted"),
+        F.round(F.when(F.size(prob) > 1, prob[1]).otherwise(prob[0]), 4).alias("churn_probability"),
+    )

@@ -45,19 +45,29 @@ OUTPUT_SCHEMA = (
 
 # -- series ---------------------------------------------------------------
 
-def revenue_series(data: RentalData, axis: str = "payment", by: str | None = None) -> DataFrame:
+def revenue_series(data: RentalData, axis: str = "payment", by: str | None = None,
+                   drop_incomplete_last: bool = False) -> DataFrame:
     """series_key, month ('yyyy-MM'), revenue (rounded to cents) per series.
 
     axis 'payment': payments by payment month; 'rental': paid rentals by
     rental month. ``by`` = None (one global series, key 'all') or 'country'.
+    ``drop_incomplete_last`` leaves out the data's last month unless the data
+    reaches that month's last day (the original treats a partial last month
+    as a full one).
     """
     if axis == "payment":
-        facts = data.payment.select("customer_id", month_start("payment_date").alias("month"), F.col("amount").alias("amt"))
+        src, date_col = data.payment, "payment_date"
+        facts = src.select("customer_id", month_start(date_col).alias("month"), F.col("amount").alias("amt"))
     elif axis == "rental":
+        src, date_col = data.rental, "rental_date"
         facts = paid_rentals(data).select(
-            "customer_id", month_start("rental_date").alias("month"), F.col("paid").alias("amt"))
+            "customer_id", month_start(date_col).alias("month"), F.col("paid").alias("amt"))
     else:
         raise ValueError(f"unknown axis {axis!r}")
+    if drop_incomplete_last:
+        latest = src.select(F.max(F.col(date_col).cast("date"))).scalar()
+        complete = (F.col("month") < F.trunc(latest, "MM")) | (F.last_day(latest) == latest)
+        facts = facts.filter(complete)
     if by is None:
         keyed = facts.withColumn("series_key", F.lit("all"))
     elif by == "country":
