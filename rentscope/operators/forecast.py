@@ -1,10 +1,12 @@
 """Monthly revenue forecasts fitted per series.
 
 The heavy part -- turning payments into monthly revenue per series -- is a
-Spark aggregation. Each series is then at most a few hundred months, so the
-fit runs per group in ``applyInPandas``: the groups (global, per country,
-per genre, ...) are spread over tasks, and no group grows with the number of
-payments.
+Spark aggregation; the model features (month index, lags, rolling means,
+z-scores, attention windows) are Spark window columns partitioned by series.
+Each series is then at most a few hundred months, so only the solve and the
+recursive forecast run per group in ``applyInPandas``: the groups (global,
+per country, ...) are spread over tasks, and no group grows with the number
+of payments.
 
 Two models:
 
@@ -25,7 +27,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentscope.functions import money, month_key, month_start
@@ -124,26 +126,46 @@ def _rows(key, hist_months, hist_values, status, **summary):
 
 # -- linear ---------------------------------------------------------------
 
-def _linear_group(pdf: pd.DataFrame, horizon: int, mode: str, min_rows: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("month")
+LINEAR_FEATURES = ("month_idx", "lag_1", "lag_2", "rolling_avg_3")
+
+
+def linear_features(series: DataFrame, mode: str = "reference") -> DataFrame:
+    """Per series, in month order: month_idx (0-based ordinal), lag_1, lag_2
+    and rolling_avg_3 (NULL until three values are in the frame).
+
+    mode 'reference': the rolling mean covers the current month and the two
+    before it (so it contains the target); 'lagged': the three months before.
+    Window partitions are series, i.e. at most a few hundred rows.
+    """
+    if mode not in ("reference", "lagged"):
+        raise ValueError(f"unknown mode {mode!r}")
+    w = Window.partitionBy("series_key").orderBy("month")
+    frame = w.rowsBetween(-2, Window.currentRow) if mode == "reference" else w.rowsBetween(-3, -1)
+    return series.select(
+        "series_key", "month", "revenue",
+        (F.row_number().over(w) - 1).alias("month_idx"),
+        F.lag("revenue", 1).over(w).alias("lag_1"),
+        F.lag("revenue", 2).over(w).alias("lag_2"),
+        F.when(F.count("revenue").over(frame) == 3, F.avg("revenue").over(frame)).alias("rolling_avg_3"),
+    )
+
+
+def _linear_group(pdf: pd.DataFrame, horizon: int, min_rows: int) -> pd.DataFrame:
+    pdf = pdf.sort_values("month_idx")
     key = pdf["series_key"].iloc[0]
     months = pdf["month"].tolist()
     rev = pdf["revenue"].astype(float).to_numpy()
     n = len(rev)
-    if n < min_rows:
-        rows, _ = _rows(key, months, rev, "too_few_rows")
-        return pd.DataFrame(rows)
-    s = pd.Series(rev)
-    roll = s.rolling(3).mean() if mode == "reference" else s.shift(1).rolling(3).mean()
-    feats = pd.DataFrame({"idx": np.arange(n, dtype=float), "lag_1": s.shift(1), "lag_2": s.shift(2),
-                          "roll": roll, "y": s}).dropna()
-    if len(feats) == 0:
+    train = pdf.dropna(subset=list(LINEAR_FEATURES))
+    if n < min_rows or len(train) == 0:
         rows, _ = _rows(key, months, rev, "too_few_rows")
         return pd.DataFrame(rows)
-    x = feats[["idx", "lag_1", "lag_2", "roll"]].to_numpy()
-    y = feats["y"].to_numpy()
+    x = train[list(LINEAR_FEATURES)].astype(float).to_numpy()
+    y = train["revenue"].astype(float).to_numpy()
     coef, icpt = _ols(x, y)
     r2 = _r2(y, x @ coef + icpt)
+    # Recursive forecast: each step's features come from the last three
+    # values, actual or predicted (un-rounded predictions feed the next step).
     temp = list(rev)
     preds = []
     for i in range(horizon):
@@ -164,32 +186,67 @@ def forecast_linear(series: DataFrame, horizon: int = 3, mode: str = "reference"
                     min_rows: int | None = None) -> DataFrame:
     """Fit and forecast every series in ``series`` (series_key, month, revenue).
 
-    Rows: kind 'historical' (step = month index) and 'forecast' (step 1..h),
-    each carrying r_squared, last_month_revenue, predicted_next_month,
-    change_percent and status ('ok' or 'too_few_rows').
+    Features are Spark window columns (``linear_features``); each series'
+    rows then go to one ``applyInPandas`` call for the least-squares fit and
+    the recursive forecast. Rows: kind 'historical' (step = month index) and
+    'forecast' (step 1..h), each carrying r_squared, last_month_revenue,
+    predicted_next_month, change_percent and status ('ok' or 'too_few_rows').
     """
-    if mode not in ("reference", "lagged"):
-        raise ValueError(f"unknown mode {mode!r}")
     min_rows = min_rows if min_rows is not None else (3 if horizon <= 3 else 4)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _linear_group(pdf, horizon, mode, min_rows)
+        return _linear_group(pdf, horizon, min_rows)
 
-    return series.groupBy("series_key").applyInPandas(fit, OUTPUT_SCHEMA)
+    return linear_features(series, mode).groupBy("series_key").applyInPandas(fit, OUTPUT_SCHEMA)
 
 
 # -- attention-style ridge -----------------------------------------------
 
+ATTENTION_FEATURES = ("att_1", "att_2", "att_3", "win_mean", "win_std", "win_trend")
+
+
 def _attention_weights() -> np.ndarray:
     e = np.exp(np.array(POSITION_SCORES))
     return e / e.sum()
 
 
+def attention_features(series: DataFrame) -> DataFrame:
+    """Per series: z (revenue z-scored with the series mean and population
+    std; std 0 counts as 1), the scaling constants, and for every month with
+    three predecessors the six window features of its three preceding z
+    values (oldest first): the values times the fixed attention weights, their
+    mean, population std and last - first."""
+    whole = Window.partitionBy("series_key")
+    w = whole.orderBy("month")
+    sd = F.stddev_pop("revenue").over(whole)
+    scaled = series.select(
+        "series_key", "month", "revenue",
+        F.avg("revenue").over(whole).alias("mean"),
+        F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("scale"),
+    ).withColumn("z", (F.col("revenue") - F.col("mean")) / F.col("scale"))
+    z3, z2, z1 = (F.lag("z", k).over(w) for k in (3, 2, 1))   # oldest .. newest
+    wts = [float(v) for v in _attention_weights()]
+    with_win = scaled.select("*", z3.alias("z_3"), z2.alias("z_2"), z1.alias("z_1"))
+    m = (F.col("z_3") + F.col("z_2") + F.col("z_1")) / 3
+    var = ((F.col("z_3") - m) ** 2 + (F.col("z_2") - m) ** 2 + (F.col("z_1") - m) ** 2) / 3
+    return with_win.select(
+        "series_key", "month", "revenue", "mean", "scale", "z",
+        (F.col("z_3") * wts[0]).alias("att_1"),
+        (F.col("z_2") * wts[1]).alias("att_2"),
+        (F.col("z_1") * wts[2]).alias("att_3"),
+        m.alias("win_mean"),
+        F.sqrt(var).alias("win_std"),
+        (F.col("z_1") - F.col("z_3")).alias("win_trend"),
+    )
+
+
 def _window_features(seq: np.ndarray, w: np.ndarray) -> list[float]:
+    """The six features of one window in NumPy (for recursive steps)."""
     return list(seq * w) + [float(np.mean(seq)), float(np.std(seq)), float(seq[-1] - seq[0])]
 
 
 def _attention_fit(rev: np.ndarray, alpha: float):
+    """NumPy-only fit of one series (reference for the Spark-feature path)."""
     mean = float(rev.mean())
     sd = float(rev.std())
     sd = sd if sd > 0 else 1.0
@@ -202,6 +259,15 @@ def _attention_fit(rev: np.ndarray, alpha: float):
     return dict(mean=mean, sd=sd, z=z, w=w, coef=coef, icpt=icpt, fitted=fitted, r2=_r2(y, fitted))
 
 
+def _fit_from_features(pdf: pd.DataFrame, alpha: float):
+    train = pdf.dropna(subset=list(ATTENTION_FEATURES))
+    x = train[list(ATTENTION_FEATURES)].astype(float).to_numpy()
+    y = train["z"].astype(float).to_numpy()
+    coef, icpt = _ridge(x, y, alpha)
+    fitted = x @ coef + icpt
+    return coef, icpt, fitted, _r2(y, fitted)
+
+
 def _attention_group(pdf: pd.DataFrame, horizon: int, alpha: float, min_rows: int) -> pd.DataFrame:
     pdf = pdf.sort_values("month")
     key = pdf["series_key"].iloc[0]
@@ -210,16 +276,17 @@ def _attention_group(pdf: pd.DataFrame, horizon: int, alpha: float, min_rows: in
     if len(rev) < min_rows:
         rows, _ = _rows(key, months, rev, "too_few_rows")
         return pd.DataFrame(rows)
-    m = _attention_fit(rev, alpha)
-    temp = list(m["z"])
+    mean, scale = float(pdf["mean"].iloc[0]), float(pdf["scale"].iloc[0])
+    coef, icpt, fitted, r2 = _fit_from_features(pdf, alpha)
+    w = _attention_weights()
+    temp = list(pdf["z"].astype(float))
     future = []
     for _ in range(horizon):
-        p = float(np.array(_window_features(np.array(temp[-WINDOW:]), m["w"])) @ m["coef"] + m["icpt"])
+        p = float(np.array(_window_features(np.array(temp[-WINDOW:]), w)) @ coef + icpt)
         future.append(p)
         temp.append(p)
-    future_rev = [round(max(0.0, v * m["sd"] + m["mean"]), 2) for v in future]
-    fitted_rev = [round(float(v * m["sd"] + m["mean"]), 2) for v in m["fitted"]]
-    r2 = m["r2"]
+    future_rev = [round(max(0.0, v * scale + mean), 2) for v in future]
+    fitted_rev = [round(float(v * scale + mean), 2) for v in fitted]
     label = None if r2 is None else ("Excellent" if r2 >= 0.9 else "Good" if r2 >= 0.7 else "Fair")
     last = round(float(rev[-1]), 2)
     change = round((future_rev[0] - last) / last * 100, 1) if last else 0.0
@@ -234,15 +301,18 @@ def _attention_group(pdf: pd.DataFrame, horizon: int, alpha: float, min_rows: in
 
 def forecast_attention(series: DataFrame, horizon: int = 3, alpha: float = 1.0, min_rows: int = 5) -> DataFrame:
     """Attention-style ridge forecast per series; rows of kind 'historical',
-    'fitted' (from the 4th month on) and 'forecast' (clipped at 0)."""
+    'fitted' (from the 4th month on) and 'forecast' (clipped at 0). Features
+    are Spark window columns (``attention_features``); the ridge solve and
+    the recursive steps run per series in ``applyInPandas``."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         return _attention_group(pdf, horizon, alpha, min_rows)
 
-    return series.groupBy("series_key").applyInPandas(fit, OUTPUT_SCHEMA)
+    return attention_features(series).groupBy("series_key").applyInPandas(fit, OUTPUT_SCHEMA)
 
 
-MODEL_SCHEMA = "series_key string, months int, mean double, scale double, intercept double, coefficients array<double>, r_squared double"
+MODEL_SCHEMA = ("series_key string, months int, mean double, scale double, intercept double, "
+                "coefficients array<double>, r_squared double")
 
 
 def attention_models(series: DataFrame, alpha: float = 1.0, min_rows: int = 5) -> DataFrame:
@@ -250,15 +320,13 @@ def attention_models(series: DataFrame, alpha: float = 1.0, min_rows: int = 5) -
     coefficients per series), to be stored with ``sources.sinks``."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        rev = pdf["revenue"].astype(float).to_numpy()
-        key = pdf["series_key"].iloc[0]
-        if len(rev) < min_rows:
-            return pd.DataFrame([dict(series_key=key, months=len(rev), mean=None, scale=None,
+        key, n = pdf["series_key"].iloc[0], len(pdf)
+        if n < min_rows:
+            return pd.DataFrame([dict(series_key=key, months=n, mean=None, scale=None,
                                       intercept=None, coefficients=None, r_squared=None)])
-        m = _attention_fit(rev, alpha)
-        return pd.DataFrame([dict(series_key=key, months=len(rev), mean=m["mean"], scale=m["sd"],
-                                  intercept=m["icpt"], coefficients=[float(c) for c in m["coef"]],
-                                  r_squared=m["r2"])])
+        coef, icpt, _, r2 = _fit_from_features(pdf.sort_values("month"), alpha)
+        return pd.DataFrame([dict(series_key=key, months=n, mean=float(pdf["mean"].iloc[0]),
+                                  scale=float(pdf["scale"].iloc[0]), intercept=icpt,
+                                  coefficients=[float(c) for c in coef], r_squared=r2)])
 
-    return series.groupBy("series_key").applyInPandas(fit, MODEL_SCHEMA)
+    return attention_features(series).groupBy("series_key").applyInPandas(fit, MODEL_SCHEMA)

@@ -66,6 +66,19 @@ def test_attention_matches_closed_form_ridge(order_series):
     assert np.allclose(m["coef"], beta[:-1]) and m["icpt"] == pytest.approx(beta[-1])
 
 
+def test_spark_window_features_equal_numpy(order_series):
+    """The Spark window columns give the same features as the NumPy windows."""
+    feats = forecast.attention_features(order_series).toPandas().sort_values("month")
+    rev = feats["revenue"].to_numpy()
+    m = forecast._attention_fit(rev, 1.0)
+    coef, icpt, fitted, r2 = forecast._fit_from_features(feats, 1.0)
+    assert np.allclose(coef, m["coef"], rtol=1e-9, atol=1e-12) and icpt == pytest.approx(m["icpt"], abs=1e-12)
+    lin = forecast.linear_features(order_series).toPandas().sort_values("month")
+    s = lin["revenue"]
+    assert np.allclose(lin["rolling_avg_3"].dropna(), s.rolling(3).mean().dropna(), rtol=1e-12)
+    assert lin["month_idx"].tolist() == list(range(len(lin)))
+
+
 def _series(spark, key, values):
     rows = [(key, f"2020-{i + 1:02d}", float(v)) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "series_key string, month string, revenue double")
