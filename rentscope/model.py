@@ -22,6 +22,9 @@ shape; operators never see the stored layout. Columns:
   one payment row and its payment totals. An adapter that can produce it
   from one aggregation supplies it; otherwise it is derived from ``rental``
   and ``payment`` (``rentscope.plans.paid_rentals``).
+* ``customer_dim`` optional: customer_id, name, email, active, country --
+  customers with a country (``customer`` inner-joined with ``customer_geo``),
+  for adapters that can read both from one scan.
 """
 
 from __future__ import annotations
@@ -41,10 +44,13 @@ class RentalData:
     film: DataFrame
     film_genre: DataFrame
     rental_paid: DataFrame | None = None
+    customer_dim: DataFrame | None = None
 
     def with_tables(self, **tables: DataFrame) -> "RentalData":
         """Replace tables; a precomputed ``rental_paid`` is dropped when the
         rentals or payments it summarises change."""
         if ("rental" in tables or "payment" in tables) and "rental_paid" not in tables:
             tables["rental_paid"] = None
+        if ("customer" in tables or "customer_geo" in tables) and "customer_dim" not in tables:
+            tables["customer_dim"] = None
         return replace(self, **tables)

@@ -30,6 +30,8 @@ def _only(df: DataFrame, customer_id: int | None) -> DataFrame:
 
 def _dims(data: RentalData) -> DataFrame:
     """customer_id, name, email, active, country (geo chain inner-joined)."""
+    if data.customer_dim is not None:
+        return data.customer_dim
     return data.customer.join(data.customer_geo, "customer_id")
 
 

@@ -73,6 +73,19 @@ def _customer(read):
     )
 
 
+def _customer_dim(read):
+    """Customers with their country from one customer scan."""
+    c = read("customer")
+    n = read("nation").select("n_nationkey", "n_name")
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").cast("long").alias("customer_id"),
+        F.col("c_name").alias("name"),
+        F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
+        F.when(F.col("c_acctbal") >= 0, 1).otherwise(0).cast("int").alias("active"),
+        F.col("n_name").alias("country"),
+    )
+
+
 def _customer_geo(read):
     c = read("customer").select("c_custkey", "c_nationkey")
     # No hint: the planner broadcasts nation only because its size estimate
@@ -174,4 +187,5 @@ def load(spark: SparkSession, sf_dir: str) -> RentalData:
         film=_film(read),
         film_genre=_film_genre(read),
         rental_paid=_rental_paid(read),
+        customer_dim=_customer_dim(read),
     )
