@@ -8,10 +8,10 @@ shape; operators never see the stored layout. Columns:
   (the customer -> address -> city -> country chain, inner-joined)
 * ``rental``       rental_id long, customer_id long, rental_date timestamp_ntz,
   return_date timestamp_ntz (NULL while not returned)
-* ``payment``      rental_id long, customer_id long, amount decimal(12,2),
+* ``payment``      rental_id long, customer_id long, amount decimal(p,2) (p <= 12),
   payment_date timestamp_ntz
 * ``rental_item``  rental_id long, film_id long, store_id long,
-  amount decimal(12,2) NULL, payment_date timestamp_ntz NULL, has_payment boolean
+  amount decimal(p,2) NULL, payment_date timestamp_ntz NULL, has_payment boolean
   -- one row per rented item and the payment made for it (NULLs when the
   item has no payment, has_payment false); this keeps "the item a payment pays for" on one
   row, so item and payment roles are never joined against each other.

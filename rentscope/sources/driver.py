@@ -8,7 +8,7 @@ Mapping (fixed; the oracle SQL in ``rentscope.oracle`` spells out the same):
 * rental: orders; o_orderkey -> rental_id, o_custkey -> customer_id,
   o_orderdate -> rental_date; return_date = latest l_shipdate of the order,
   NULL when the order has no line or that date is before the order date
-* payment: one per lineitem; amount = l_extendedprice as decimal(12,2),
+* payment: one per lineitem; amount = l_extendedprice as decimal(8,2),
   payment_date = l_shipdate, customer from the order (left join on the
   order key, removed by the optimizer when no customer is read)
 * rental_item: the same lineitem row; l_partkey -> film_id,
@@ -44,7 +44,11 @@ SCHEMAS = {
                  "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
 }
 
-MONEY = "decimal(12,2)"
+# A line's price is at most 50 x the part price (about 105,000 here), so
+# decimal(8,2) holds it exactly; at precision <= 8 Spark sums the unscaled
+# value as a long (no BigDecimal buffers). A larger value fails the ANSI cast
+# instead of being rounded or wrapped.
+MONEY = "decimal(8,2)"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
