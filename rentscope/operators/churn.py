@@ -109,8 +109,10 @@ def train_churn(features: DataFrame, feature_cols=FEATURES, seed: int = SEED,
     pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=list(feature_cols), outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+        # cacheNodeIds keeps each row's node per tree between passes (same
+        # trees, fewer recomputations; checkpointed in the checkpoint folder).
         RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="class_weight",
-                               numTrees=num_trees, maxDepth=max_depth, seed=seed),
+                               numTrees=num_trees, maxDepth=max_depth, seed=seed, cacheNodeIds=True),
     ])
     model = pipeline.fit(data.filter(F.col("split") == "train"))
     prob = vector_to_array(F.col("probability"))
