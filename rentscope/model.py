@@ -29,7 +29,8 @@ shape; operators never see the stored layout. Columns:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 
@@ -49,8 +50,48 @@ class RentalData:
     def with_tables(self, **tables: DataFrame) -> "RentalData":
         """Replace tables; a precomputed ``rental_paid`` is dropped when the
         rentals or payments it summarises change."""
-        if ("rental" in tables or "payment" in tables) and "rental_paid" not in tables:
-            tables["rental_paid"] = None
-        if ("customer" in tables or "customer_geo" in tables) and "customer_dim" not in tables:
-            tables["customer_dim"] = None
-        return replace(self, **tables)
+        return replace(self, **_invalidate(tables))
+
+
+def _invalidate(tables: dict) -> dict:
+    tables = dict(tables)
+    if ("rental" in tables or "payment" in tables) and "rental_paid" not in tables:
+        tables["rental_paid"] = None
+    if ("customer" in tables or "customer_geo" in tables) and "customer_dim" not in tables:
+        tables["customer_dim"] = None
+    return tables
+
+
+TABLE_NAMES = tuple(f.name for f in fields(RentalData))
+
+
+class LazyRentalData(RentalData):
+    """``RentalData`` whose tables are built on first access.
+
+    Building a DataFrame costs driver round trips (analysis of every select
+    and join); a query touching two tables then builds two, not nine.
+    """
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame | None]]):
+        object.__setattr__(self, "_builders", dict(builders))
+        object.__setattr__(self, "_built", {})
+
+    def __getattribute__(self, name):
+        if name in TABLE_NAMES:
+            built = object.__getattribute__(self, "_built")
+            if name not in built:
+                builder = object.__getattribute__(self, "_builders").get(name)
+                built[name] = builder() if builder is not None else None
+            return built[name]
+        return object.__getattribute__(self, name)
+
+    def with_tables(self, **tables: DataFrame) -> "RentalData":
+        builders = dict(object.__getattribute__(self, "_builders"))
+        built = object.__getattribute__(self, "_built")
+        for name, df in _invalidate(tables).items():
+            builders[name] = (lambda df=df: df)
+        new = LazyRentalData(builders)
+        for name, df in built.items():       # keep what is already built and unchanged
+            if name not in tables and name in builders and builders[name] is self._builders.get(name):
+                object.__getattribute__(new, "_built")[name] = df
+        return new

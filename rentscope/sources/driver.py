@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.model import RentalData
+from rentscope.model import LazyRentalData, RentalData
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -180,16 +180,12 @@ def _film_genre(read):
 
 
 def load(spark: SparkSession, sf_dir: str) -> RentalData:
-    """Lazily build ``RentalData`` over the driver parquet in ``sf_dir``."""
+    """``RentalData`` over the driver parquet in ``sf_dir``; each table is
+    built on first use (and every parquet file is read at most once)."""
     read = _Reader(spark, sf_dir)
-    return RentalData(
-        customer=_customer(read),
-        customer_geo=_customer_geo(read),
-        rental=_rental(read),
-        payment=_payment(read),
-        rental_item=_rental_item(read),
-        film=_film(read),
-        film_genre=_film_genre(read),
-        rental_paid=_rental_paid(read),
-        customer_dim=_customer_dim(read),
-    )
+    builders = {
+        "customer": _customer, "customer_geo": _customer_geo, "rental": _rental,
+        "payment": _payment, "rental_item": _rental_item, "film": _film,
+        "film_genre": _film_genre, "rental_paid": _rental_paid, "customer_dim": _customer_dim,
+    }
+    return LazyRentalData({name: (lambda fn=fn: fn(read)) for name, fn in builders.items()})
