@@ -1,5 +1,5 @@
 """Sources (driver tables, original schema, JDBC) and sinks."""
 
-from rentscope.sources import domain, driver, sinks
+from rentscope.sources import domain, driver, layout, sinks
 
-__all__ = ["domain", "driver", "sinks"]
+__all__ = ["domain", "driver", "layout", "sinks"]

@@ -182,7 +182,13 @@ def _film_genre(read):
 def load(spark: SparkSession, sf_dir: str) -> RentalData:
     """``RentalData`` over the driver parquet in ``sf_dir``; each table is
     built on first use (and every parquet file is read at most once)."""
-    read = _Reader(spark, sf_dir)
+    return load_with(_Reader(spark, sf_dir))
+
+
+def load_with(read) -> RentalData:
+    """``RentalData`` from any reader ``name -> DataFrame`` of the driver
+    tables (parquet files, or catalog tables such as the bucketed layout of
+    ``rentscope.sources.layout``)."""
     builders = {
         "customer": _customer, "customer_geo": _customer_geo, "rental": _rental,
         "payment": _payment, "rental_item": _rental_item, "film": _film,
