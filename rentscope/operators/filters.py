@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rentscope.functions import RfmThresholds
 from rentscope.model import RentalData
 from rentscope.operators.rfm import segment_customers
+from rentscope.plans import salted_semi_join
 
 
 def _month_bounds(start: str, end: str) -> tuple[dt.datetime, dt.datetime]:
@@ -45,14 +46,17 @@ def restrict_months(data: RentalData, start: str, end: str) -> RentalData:
 def restrict_segments(data: RentalData, segments: Sequence[str],
                       thresholds: RfmThresholds = RfmThresholds()) -> RentalData:
     """Keep only customers whose RFM segment (on the unfiltered data) is in
-    ``segments``; facts are semi-joined on the customer key."""
+    ``segments``. Facts are semi-joined on the customer key with salting
+    (a customer with a large share of the rentals is split over many
+    tasks); the customer tables, one row per key, join plainly."""
     keep = segment_customers(data, segments, thresholds)
-    rental = data.rental.join(keep, "customer_id", "left_semi")
+    rental = salted_semi_join(data.rental, keep, "customer_id", salt_from="rental_id")
     return data.with_tables(
         customer=data.customer.join(keep, "customer_id", "left_semi"),
         customer_geo=data.customer_geo.join(keep, "customer_id", "left_semi"),
         rental=rental,
-        payment=data.payment.join(keep, "customer_id", "left_semi"),
+        payment=salted_semi_join(data.payment, keep, "customer_id",
+                                 salt_from=["rental_id", "payment_date", "amount"]),
         rental_item=data.rental_item.join(rental.select("rental_id"), "rental_id", "left_semi"),
     )
 

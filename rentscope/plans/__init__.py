@@ -4,9 +4,10 @@ top-k, lineage cuts. Everything else is left to Catalyst and AQE."""
 from rentscope.plans.broadcast import bounded_broadcast
 from rentscope.plans.lineage import cut_lineage
 from rentscope.plans.preagg import customer_rollup, paid_rentals, payments_per_rental
+from rentscope.plans.skew import salted_semi_join
 from rentscope.plans.topk import top_k_per_group
 
 __all__ = [
     "bounded_broadcast", "cut_lineage", "customer_rollup", "paid_rentals",
-    "payments_per_rental", "top_k_per_group",
+    "payments_per_rental", "salted_semi_join", "top_k_per_group",
 ]

@@ -1,0 +1,25 @@
+"""Salting for joins on a key that may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def salted_semi_join(facts: DataFrame, keys: DataFrame, on: str, salt_from: str | Sequence[str],
+                     salts: int = 16) -> DataFrame:
+    """``facts LEFT SEMI JOIN keys ON on``, spread over ``salts`` buckets per key.
+
+    Each fact row gets a salt from a hash of its own columns ``salt_from``
+    (deterministic, so a retried task sees the same salt); each key row is
+    repeated once per salt. The join key becomes (key, salt), so the rows of
+    one hot key are split over ``salts`` tasks instead of one. The key side
+    grows by ``salts`` rows per key, which is why this is for key sets with
+    one row per key (customer lists), not for fact-to-fact joins.
+    """
+    cols = [salt_from] if isinstance(salt_from, str) else list(salt_from)
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salts)).cast("int"))
+    fanned = keys.select(on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(fanned, [on, "_salt"], "left_semi").drop("_salt")

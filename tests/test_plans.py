@@ -1,6 +1,7 @@
 """Physical plans: pruning, pushdown, no cartesian products, exact top-k."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,55 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert df.columns == ["customer_id", "name", "email", "last_rental", "frequency", "monetary",
                           "recency_days", "segment"]
+
+
+def _children(node):
+    seq = node.children()
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _raw_fact_shuffles(node, key):
+    """Exchanges hash-partitioning on ``key`` whose input reads a fact table
+    (orders / lineitem) without being reduced first."""
+    bad = []
+    if node.nodeName() == "Exchange" and re.fullmatch(rf"hashpartitioning\({key}#\d+L?, \d+\)",
+                                                      node.outputPartitioning().toString()):
+        (child,) = _children(node)
+        while child.nodeName().startswith("WholeStageCodegen") or child.nodeName() == "InputAdapter":
+            (child,) = _children(child)
+        reads_facts = any(t in child.treeString() for t in ("orders.parquet", "lineitem.parquet"))
+        reduced = child.nodeName() in ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "WindowGroupLimit")
+        if reads_facts and not reduced:
+            bad.append(child.nodeName())
+    for c in _children(node):
+        bad += _raw_fact_shuffles(c, key)
+    return bad
+
+
+@pytest.mark.parametrize("name", [
+    "kpi_summary", "customer_summary", "customer_spend", "rfm_segments", "rfm_by_region",
+    "churn_features", "customer_kpi", "customer_timeline", "customer_top_genres", "customer_history",
+    "top_n_customers", "spending_tiers", "monthly_revenue", "forecast_by_country", "store_summary",
+    "revenue_filtered",
+])
+def test_customer_shuffles_carry_reduced_rows(spark, name):
+    """A customer holding a third of all rows must not be shuffled row by row:
+    facts cross the network by customer only after partial aggregation (or
+    a partial top-k), so a hot key is already one row per map task."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")        # inspect the static plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if every table were large
+    try:
+        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan()
+        assert _raw_fact_shuffles(plan, "customer_id") == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_salted_semi_join_is_exact_with_a_hot_key(spark):
+    from rentscope.plans import salted_semi_join
+    rows = [(0 if i % 3 == 0 else i % 40, i) for i in range(3000)]
+    facts = spark.createDataFrame(rows, "k long, id long")
+    keys = spark.createDataFrame([(0,), (5,), (7,)], "k long")
+    got = sorted(tuple(r) for r in salted_semi_join(facts, keys, "k", salt_from="id", salts=8).collect())
+    assert got == sorted(r for r in rows if r[0] in (0, 5, 7))
