@@ -24,9 +24,11 @@ Two models:
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ from rentscope.functions import money, month_key, month_start
 from rentscope.model import RentalData
 from rentscope.plans import paid_rentals
 
+# The per-series functions below run in executor Python workers. Pickling
+# this module's functions by value ships them with the task, so workers need
+# numpy and pandas but not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Positional attention scores of the 3-month window (oldest first).
 POSITION_SCORES = (0.2, 0.3, 0.5)
 WINDOW = 3
