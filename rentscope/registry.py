@@ -144,4 +144,6 @@ ORACLE: dict[str, str] = {
     "revenue_filtered": oracle.filtered_revenue_sql(
         f"{FILTER_MONTHS[0]}-01 00:00:00", _filter_end(FILTER_MONTHS[1]), FILTER_SEGMENTS, TUNED_THRESHOLDS),
     "churn_features": oracle.churn_features_sql(CHURN_AS_OF),
+    "forecast_linear": oracle.linear_forecast_sql("rental", 3),
+    "forecast_linear_extended": oracle.linear_forecast_sql("payment", 6),
 }
