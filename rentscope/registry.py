@@ -146,4 +146,5 @@ ORACLE: dict[str, str] = {
     "churn_features": oracle.churn_features_sql(CHURN_AS_OF),
     "forecast_linear": oracle.linear_forecast_sql("rental", 3),
     "forecast_linear_extended": oracle.linear_forecast_sql("payment", 6),
+    "forecast_by_country": oracle.linear_forecast_sql("rental", 3, by_country=True),
 }
