@@ -119,14 +119,15 @@ def train_churn(features: DataFrame, feature_cols=FEATURES, seed: int = SEED,
     scored = model.transform(data).select(
         *features.columns, "split",
         F.col("prediction").cast("int").alias("churn_predicted"),
-        F.round(F.when(F.size(prob) > 1, prob[1]).otherwise(prob[0]), 4).alias("churn_probability"),
+        F.bround(F.when(F.size(prob) > 1, prob[1]).otherwise(prob[0]), 4).alias("churn_probability"),
     )
     return ChurnResult(scored, model, feature_cols)
 
 
 def churn_report(result: ChurnResult) -> DataFrame:
     """One row: accuracy (test split), accuracy_pct, total_customers,
-    predicted_churn, predicted_retain, churn_rate_pct, imp_<feature>..."""
+    predicted_churn, predicted_retain, churn_rate_pct, imp_<feature>...
+    Model figures are rounded half to even, as Python rounds them."""
     s = result.scores
     test = F.col("split") == "test"
     agg = s.agg(
@@ -138,11 +139,11 @@ def churn_report(result: ChurnResult) -> DataFrame:
     acc = F.try_divide(F.col("hit").cast("double"), F.col("n_test").cast("double"))
     imp = result.feature_importance()
     return agg.select(
-        F.round(acc, 4).alias("accuracy"),
-        F.round(acc * 100, 1).alias("accuracy_pct"),
+        F.bround(acc, 4).alias("accuracy"),
+        F.bround(acc * 100, 1).alias("accuracy_pct"),
         "total_customers", "predicted_churn",
         (F.col("total_customers") - F.col("predicted_churn")).alias("predicted_retain"),
-        F.round(F.col("predicted_churn") * 100.0 / F.col("total_customers"), 1).alias("churn_rate_pct"),
+        F.bround(F.col("predicted_churn") * 100.0 / F.col("total_customers"), 1).alias("churn_rate_pct"),
         *[F.lit(v).alias(f"imp_{k}") for k, v in imp.items()],
     )
 
@@ -172,5 +173,5 @@ def score_with(model: PipelineModel, features: DataFrame) -> DataFrame:
     return model.transform(features).select(
         *features.columns,
         F.col("prediction").cast("int").alias("churn_predicted"),
-        F.round(F.when(F.size(prob) > 1, prob[1]).otherwise(prob[0]), 4).alias("churn_probability"),
+        F.bround(F.when(F.size(prob) > 1, prob[1]).otherwise(prob[0]), 4).alias("churn_probability"),
     )
