@@ -87,7 +87,11 @@ def train_churn(features: DataFrame, feature_cols=FEATURES, seed: int = SEED,
                 test_fraction: float = TEST_FRACTION) -> ChurnResult:
     """Fit scaler + balanced forest on the train split, score every customer."""
     feature_cols = tuple(feature_cols)
-    data = cut_lineage(features.withColumn("split", _split_column(seed, test_fraction)))
+    # One row per customer, spread over every core before it is checkpointed:
+    # each forest pass then runs as that many tasks (after AQE coalescing a
+    # small feature table would otherwise be one partition, one task).
+    parallelism = features.sparkSession.sparkContext.defaultParallelism
+    data = cut_lineage(features.withColumn("split", _split_column(seed, test_fraction)).repartition(parallelism))
     stats = data.agg(
         F.count(F.lit(1)).alias("n"), F.sum("is_churn").alias("pos"),
         F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("n_train"),
