@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rentscope.functions import RfmThresholds
 from rentscope.model import RentalData
 from rentscope.operators.rfm import segment_customers
-from rentscope.plans import salted_semi_join
+from rentscope.plans import cut_lineage, has_at_most, salted_semi_join
 
 
 def _month_bounds(start: str, end: str) -> tuple[dt.datetime, dt.datetime]:
@@ -44,30 +44,45 @@ def restrict_months(data: RentalData, start: str, end: str) -> RentalData:
 
 
 def restrict_segments(data: RentalData, segments: Sequence[str],
-                      thresholds: RfmThresholds = RfmThresholds()) -> RentalData:
+                      thresholds: RfmThresholds = RfmThresholds(),
+                      broadcast_rows: int = 1_000_000) -> RentalData:
     """Keep only customers whose RFM segment (on the unfiltered data) is in
-    ``segments``. Facts are semi-joined on the customer key with salting
-    (a customer with a large share of the rentals is split over many
-    tasks); the customer tables, one row per key, join plainly."""
-    keep = segment_customers(data, segments, thresholds)
-    rental = salted_semi_join(data.rental, keep, "customer_id", salt_from="rental_id")
+    ``segments``.
+
+    The customer list is computed once and stored in the checkpoint folder.
+    If it has at most ``broadcast_rows`` customers it is broadcast and the
+    facts are filtered where they are read (no shuffle); a longer list is
+    semi-joined with salting, so a customer with a large share of the
+    rentals is split over many tasks.
+    """
+    keep = cut_lineage(segment_customers(data, segments, thresholds))
+    if has_at_most(keep, broadcast_rows):
+        small = F.broadcast(keep)
+
+        def semi(facts, salt_from):
+            return facts.join(small, "customer_id", "left_semi")
+    else:
+        def semi(facts, salt_from):
+            return salted_semi_join(facts, keep, "customer_id", salt_from=salt_from)
+
+    rental = semi(data.rental, "rental_id")
     return data.with_tables(
         customer=data.customer.join(keep, "customer_id", "left_semi"),
         customer_geo=data.customer_geo.join(keep, "customer_id", "left_semi"),
         rental=rental,
-        payment=salted_semi_join(data.payment, keep, "customer_id",
-                                 salt_from=["rental_id", "payment_date", "amount"]),
+        payment=semi(data.payment, ["rental_id", "payment_date", "amount"]),
         rental_item=data.rental_item.join(rental.select("rental_id"), "rental_id", "left_semi"),
     )
 
 
 def with_filters(data: RentalData, months: tuple[str, str] | None = None,
                  segments: Sequence[str] | None = None,
-                 thresholds: RfmThresholds = RfmThresholds()) -> RentalData:
+                 thresholds: RfmThresholds = RfmThresholds(),
+                 broadcast_rows: int = 1_000_000) -> RentalData:
     """Apply the dashboard's global filters; the segment is decided first,
     on all data, then the month range is applied."""
     if segments:
-        data = restrict_segments(data, segments, thresholds)
+        data = restrict_segments(data, segments, thresholds, broadcast_rows)
     if months:
         data = restrict_months(data, *months)
     return data

@@ -65,3 +65,16 @@ def test_drop_incomplete_last_month(data):
     trimmed = forecast.revenue_series(data, axis="rental", drop_incomplete_last=True)
     assert full.count() == 80 and trimmed.count() == 79        # 2001-08 holds two orders of one day
     assert trimmed.agg(F.max("month")).first()[0] == "2001-07"
+
+
+def test_segment_filter_broadcast_and_salted_paths_agree(data):
+    from rentscope.operators import filters
+    months, segs = ("1997-01", "1999-12"), ("Champions", "Loyal")
+    small = filters.with_filters(data, months, segs, TUNED_THRESHOLDS)
+    large = filters.with_filters(data, months, segs, TUNED_THRESHOLDS, broadcast_rows=10)
+    a = metrics.monthly_revenue_payments(small)
+    b = metrics.monthly_revenue_payments(large)
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+    plan_b = b._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan_b
