@@ -38,14 +38,18 @@ def _on_data(fn) -> Query:
     return lambda spark, sf_dir: fn(_data(spark, sf_dir))
 
 
-_CHURN: dict[tuple[int, str], churn.ChurnResult] = {}
+_CHURN: dict[tuple[int, str, tuple[str, ...]], churn.ChurnResult] = {}
 
+# The label is recency_days > 90, so the reference feature set leaks it; the
+# variant without recency shows what the other features predict.
+NO_RECENCY = tuple(f for f in churn.FEATURES if f != "recency_days")
 
-def _churn_result(spark: SparkSession, sf_dir: str) -> churn.ChurnResult:
-    key = (id(spark), sf_dir)
+
+def _churn_result(spark: SparkSession, sf_dir: str, features=churn.FEATURES) -> churn.ChurnResult:
+    key = (id(spark), sf_dir, tuple(features))
     if key not in _CHURN:
         feats = churn.churn_features(_data(spark, sf_dir), as_of=CHURN_AS_OF)
-        _CHURN[key] = churn.train_churn(feats)
+        _CHURN[key] = churn.train_churn(feats, feature_cols=features)
     return _CHURN[key]
 
 
@@ -104,6 +108,8 @@ QUERIES: dict[str, Query] = {
     "churn_scores": lambda spark, sf_dir: _churn_result(spark, sf_dir).scores,
     "churn_report": lambda spark, sf_dir: churn.churn_report(_churn_result(spark, sf_dir)),
     "churn_at_risk": lambda spark, sf_dir: churn.churn_at_risk(_churn_result(spark, sf_dir)),
+    "churn_report_no_recency": lambda spark, sf_dir: churn.churn_report(
+        _churn_result(spark, sf_dir, NO_RECENCY)),
 }
 
 
