@@ -8,6 +8,10 @@ from scripts.check_oracle import canon, duck
 from tests.conftest import SF01
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN"}
+
+
 @pytest.fixture(scope="module")
 def con():
     return duck(SF01)
@@ -28,5 +32,10 @@ def test_matches_oracle(spark, con, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(cols) == sorted(ocols)
+    rel = con.sql(E.oracle_sql()[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
     assert len(rows) == len(orows)
     assert canon(rows, cols) == canon(orows, ocols)
