@@ -51,3 +51,12 @@ def test_churn_model_save_load_and_rescore(spark):
     a = {r["customer_id"]: r["churn_probability"] for r in result.scores.collect()}
     b = {r["customer_id"]: r["churn_probability"] for r in again.collect()}
     assert a == b
+
+
+def test_json_records_sink(spark):
+    root = tempfile.mkdtemp(prefix="rentscope-json-")
+    data = driver.load(spark, SF01)
+    sinks.write_json(metrics.geo_top_n(data), f"{root}/geo")
+    back = spark.read.json(f"{root}/geo")
+    assert sorted(back.columns) == ["country", "customer_count"]
+    assert back.count() == 15
