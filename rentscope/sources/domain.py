@@ -40,12 +40,17 @@ def from_tables(t: Mapping[str, DataFrame]) -> RentalData:
         "email",
         F.col("active").cast("int"),
     )
-    geo = (
-        t["customer"].select("customer_id", "address_id")
+    chain = (
+        t["customer"].select("customer_id", "address_id", "first_name", "last_name", "email", "active")
         .join(t["address"].select("address_id", "city_id"), "address_id")
         .join(t["city"].select("city_id", "country_id"), "city_id")
         .join(t["country"].select("country_id", "country"), "country_id")
-        .select(F.col("customer_id").cast("long"), "country")
+    )
+    geo = chain.select(F.col("customer_id").cast("long"), "country")
+    # Customers with their country from the same chain (one customer scan).
+    customer_dim = chain.select(
+        F.col("customer_id").cast("long"), full_name().alias("name"), "email",
+        F.col("active").cast("int"), "country",
     )
     rental = t["rental"].select(
         F.col("rental_id").cast("long"), F.col("customer_id").cast("long"),
@@ -74,7 +79,8 @@ def from_tables(t: Mapping[str, DataFrame]) -> RentalData:
         .join(t["category"].select("category_id", F.col("name").alias("genre")), "category_id")
         .select(F.col("film_id").cast("long"), "genre")
     )
-    return RentalData(customer, geo, rental, payment, rental_item, film, film_genre)
+    return RentalData(customer, geo, rental, payment, rental_item, film, film_genre,
+                      customer_dim=customer_dim)
 
 
 def read_parquet_tables(spark: SparkSession, root: str) -> RentalData:
