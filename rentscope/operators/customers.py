@@ -203,20 +203,24 @@ def _history_rows(data: RentalData, customer_id: int | None, paid_only: bool) ->
     return rows
 
 
-def customer_history(data: RentalData, customer_id: int | None = None, n: int = 100) -> DataFrame:
-    """[customer_id,] rental_id, rental_date, return_date, film_title, genre, paid:
-    the n newest paid rental lines of the customer (inner join with payment)."""
+def _history_ranked(data: RentalData, customer_id: int | None, n: int) -> DataFrame:
     rows = _history_rows(data, customer_id, paid_only=True)
     order = [
         F.col("rental_date").desc_nulls_first(), F.col("rental_id").desc(),
         F.col("film_title").asc_nulls_last(), F.col("genre").asc_nulls_last(), F.col("amount").desc_nulls_first(),
     ]
-    top = top_k_per_group(rows, ["customer_id"], order, n, salt_cols=["rental_id"])
-    out = top.select(
-        "customer_id", "rental_id", as_date("rental_date").alias("rental_date"),
+    top = top_k_per_group(rows, ["customer_id"], order, n, salt_cols=["rental_id"], rank_col="line_rank")
+    return top.select(
+        "customer_id", "line_rank", "rental_id", as_date("rental_date").alias("rental_date"),
         as_date("return_date").alias("return_date"), "film_title", "genre",
         F.col("amount").cast("double").alias("paid"),
     )
+
+
+def customer_history(data: RentalData, customer_id: int | None = None, n: int = 100) -> DataFrame:
+    """[customer_id,] rental_id, rental_date, return_date, film_title, genre, paid:
+    the n newest paid rental lines of the customer (inner join with payment)."""
+    out = _history_ranked(data, customer_id, n).drop("line_rank")
     if customer_id is None:
         return out
     return out.orderBy(F.col("rental_date").desc_nulls_first(), F.col("rental_id").desc()).drop("customer_id")
@@ -269,3 +273,34 @@ def customer_detail_batch(data: RentalData, genres: int = 8, history: int = 100)
         .join(genre_list, "customer_id", "left")
         .join(hist, "customer_id", "left")
     )
+
+
+def customer_pages(data: RentalData, genres: int = 8, history: int = 100) -> DataFrame:
+    """One row per customer with a paid rental, shaped like the original page:
+    customer_id, kpi struct, timeline (months in order), genres (top ``genres``
+    by rentals) and history (newest ``history`` paid lines) as arrays of
+    structs. Every array is bounded (calendar months, ``genres``,
+    ``history``) before it is collected, and ordered by an explicit rank."""
+    kpi = customer_kpi(data).select(
+        "customer_id",
+        F.struct("total_rentals", "total_spent", "avg_transaction", "first_rental", "last_rental").alias("kpi"),
+    )
+    timeline = customer_timeline(data).groupBy("customer_id").agg(
+        F.array_sort(F.collect_list(F.struct("month_sort", "month", "rental_count"))).alias("timeline"))
+    top = _top_genres_ranked(data, None, genres).groupBy("customer_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("genre_rank", "genre", "rental_count"))),
+            lambda g: F.struct(g["genre"].alias("genre"), g["rental_count"].alias("rental_count")),
+        ).alias("genres"))
+    lines = _history_ranked(data, None, history).groupBy("customer_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(
+                "line_rank", "rental_id", "rental_date", "return_date", "film_title", "genre", "paid"))),
+            lambda h: F.struct(*[h[c].alias(c) for c in
+                                 ("rental_id", "rental_date", "return_date", "film_title", "genre", "paid")]),
+        ).alias("history"))
+    return (
+        kpi.join(timeline, "customer_id", "left")
+        .join(top, "customer_id", "left")
+        .join(lines, "customer_id", "left")
+    )

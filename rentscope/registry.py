@@ -87,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "customer_history": _on_data(customers.customer_history),
     "customer_history_full": _on_data(customers.customer_history_full),
     "customer_detail": _on_data(customers.customer_detail_batch),
+    "customer_pages": _on_data(customers.customer_pages),
     # global filters in front of an operator
     "revenue_filtered": _on_data(lambda d: metrics.monthly_revenue_payments(
         filters.with_filters(d, FILTER_MONTHS, FILTER_SEGMENTS, TUNED_THRESHOLDS))),

@@ -41,3 +41,19 @@ def test_three_month_series_has_no_r2(spark):
     assert len(rows) == 3 and rows[0]["status"] == "ok" and rows[0]["r_squared"] is None
     # one training row: the fit is its intercept, so every step predicts that month's revenue
     assert [r["value"] for r in rows] == [4.0, 4.0, 4.0]
+
+
+def test_customer_pages_match_the_lookups(spark):
+    from rentscope.sources import driver
+    from tests.conftest import SF01
+    data = driver.load(spark, SF01)
+    (page,) = customers.customer_pages(data).filter(F.col("customer_id") == 42).collect()
+    parts = customers.customer_detail(data, 42)
+    (kpi,) = parts["kpi"].collect()
+    assert page["kpi"].asDict() == kpi.asDict()
+    assert [tuple(t) for t in page["timeline"]] == [
+        (r["month_sort"], r["month"], r["rental_count"]) for r in parts["timeline"].collect()]
+    assert [tuple(g) for g in page["genres"]] == [tuple(r) for r in parts["genres"].collect()]
+    hist = [tuple(h) for h in page["history"]]
+    assert len(hist) == parts["history"].count()
+    assert [h[1] for h in hist] == sorted((h[1] for h in hist), reverse=True)   # newest first

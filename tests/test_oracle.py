@@ -21,7 +21,8 @@ def test_every_query_is_registered_with_oracle_or_model():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     no_sql = set(qs) - set(sql)
-    assert all(n.startswith(("forecast_", "churn_")) and n != "churn_features" for n in no_sql)
+    assert all((n.startswith(("forecast_", "churn_")) and n != "churn_features") or n == "customer_pages"
+               for n in no_sql)
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
