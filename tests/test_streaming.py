@@ -30,3 +30,17 @@ def test_stream_matches_batch_over_two_arrivals(spark):
     late.write.mode("append").parquet(source)
     start_monthly_revenue(spark, source, target, ckpt).awaitTermination()
     assert _rows(read_monthly_revenue(spark, target)) == _rows(metrics.monthly_revenue_payments(data))
+
+
+def test_late_payments_update_earlier_months(spark):
+    root = tempfile.mkdtemp(prefix="rentscope-stream-late-")
+    source, target, ckpt = f"{root}/in", f"{root}/out", f"{root}/ckpt"
+    data = driver.load(spark, SF001)
+    first = data.payment.filter(F.dayofmonth("payment_date") < 15)
+    later = data.payment.filter(F.dayofmonth("payment_date") >= 15)   # same months, arriving late
+
+    first.write.mode("append").parquet(source)
+    start_monthly_revenue(spark, source, target, ckpt).awaitTermination()
+    later.write.mode("append").parquet(source)
+    start_monthly_revenue(spark, source, target, ckpt).awaitTermination()
+    assert _rows(read_monthly_revenue(spark, target)) == _rows(metrics.monthly_revenue_payments(data))
