@@ -39,7 +39,9 @@ def main(argv: list[str] | None = None) -> int:
     from rentscope.session import configure
     from rentscope.sources import sinks
 
-    spark = configure(SparkSession.builder.appName(f"rentscope-{args.name}").getOrCreate())
+    # No web UI unless the cluster's own configuration turns it on.
+    builder = SparkSession.builder.appName(f"rentscope-{args.name}").config("spark.ui.enabled", "false")
+    spark = configure(builder.getOrCreate())
     df = QUERIES[args.name](spark, args.sf_dir)
     if args.out:
         (sinks.write_json if args.format == "json" else sinks.write_parquet)(df, args.out)
