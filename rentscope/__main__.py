@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     from rentscope.session import configure
     from rentscope.sources import sinks
 
-    # No web UI unless the cluster's own configuration turns it on.
+    # Started without the web UI (it would open a server port).
     builder = SparkSession.builder.appName(f"rentscope-{args.name}").config("spark.ui.enabled", "false")
     spark = configure(builder.getOrCreate())
     df = QUERIES[args.name](spark, args.sf_dir)
