@@ -111,3 +111,20 @@ def test_salted_semi_join_is_exact_with_a_hot_key(spark):
     keys = spark.createDataFrame([(0,), (5,), (7,)], "k long")
     got = sorted(tuple(r) for r in salted_semi_join(facts, keys, "k", salt_from="id", salts=8).collect())
     assert got == sorted(r for r in rows if r[0] in (0, 5, 7))
+
+
+UNUSED_COLUMNS = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                  "o_orderstatus", "o_totalprice", "o_orderpriority", "c_mktsegment",
+                  "p_brand", "p_size", "p_retailprice", "s_name", "s_acctbal", "n_regionkey")
+
+
+@pytest.mark.parametrize("name", [n for n in E.queries() if not n.startswith("churn_")])
+def test_scans_read_only_mapped_columns(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")   # full ReadSchema text
+    try:
+        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
+    assert schemas and len(schemas) == plan.count("FileScan parquet")
+    assert not [c for s in schemas for c in UNUSED_COLUMNS if f"{c}:" in s]
