@@ -60,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "monthly_revenue_by_rental": _on_data(metrics.monthly_revenue_by_rental),
     "monthly_revenue_payments": _on_data(metrics.monthly_revenue_payments),
     "cumulative_revenue": _on_data(metrics.cumulative_revenue),
+    "cumulative_revenue_by_rental": _on_data(lambda d: metrics.cumulative_revenue(d, axis="rental")),
     # customers
     "customer_summary": _on_data(customers.customer_summary),
     "top_n_customers": _on_data(lambda d: customers.top_n_customers(d, TOP_CUSTOMERS)),
@@ -125,6 +126,7 @@ ORACLE: dict[str, str] = {
     "monthly_revenue_by_rental": oracle.BY_RENTAL,
     "monthly_revenue_payments": oracle.BY_PAYMENT,
     "cumulative_revenue": oracle.CUMULATIVE,
+    "cumulative_revenue_by_rental": oracle.CUMULATIVE_BY_RENTAL,
     "customer_summary": oracle.customer_summary_sql(),
     "top_n_customers": oracle.top_customers_sql(TOP_CUSTOMERS),
     "customer_spend": oracle.CUSTOMER_SPEND,
