@@ -1,6 +1,7 @@
 """Random original-schema tables: the pre-aggregated Spark plans equal a plain
 Python evaluation of the joined rows (payment fan-out, NULL amounts,
-unreturned and unpaid rentals, several stores)."""
+unreturned and unpaid rentals, several stores, RFM recency against the
+whole rental table)."""
 
 import datetime as dt
 from collections import defaultdict
@@ -9,7 +10,8 @@ from decimal import ROUND_HALF_UP, Decimal
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from rentscope.operators import customers, metrics
+from rentscope.functions import RfmThresholds
+from rentscope.operators import customers, metrics, rfm
 from rentscope.sources import domain
 
 
@@ -107,3 +109,31 @@ def test_preaggregated_plans_match_joined_rows(spark, rentals):
         g = got_st[f"Store {k}"]
         assert (g["unique_customers"], g["rental_count"]) == (len(s["c"]), len(s["r"]))
         assert g["revenue"] == (q2(sum(s["amt"])) if s["amt"] else None)
+
+    # RFM: recency against the latest rental of the whole table (paid or not),
+    # frequency and monetary over the joined (paid) rows.
+    latest = max(r[3] for r in rows).date()
+    per = defaultdict(lambda: dict(last=None, rentals=set(), amts=[]))
+    for r, p in j:
+        e = per[r[1]]
+        e["rentals"].add(r[0])
+        e["last"] = max(e["last"] or r[3], r[3])
+        if p[2] is not None:
+            e["amts"].append(p[2])
+    got_rfm = {x["customer_id"]: x for x in rfm.rfm_segments(data).collect()}
+    assert set(got_rfm) == set(per)
+    t = RfmThresholds()
+    for c, e in per.items():
+        g = got_rfm[c]
+        monetary = q2(sum(e["amts"])) if e["amts"] else None
+        recency = (latest - e["last"].date()).days
+        assert (g["frequency"], g["monetary"], g["recency_days"]) == (len(e["rentals"]), monetary, recency)
+        assert g["last_rental"] == e["last"].date()
+        if monetary is not None:
+            m, f = monetary, len(e["rentals"])
+            expect_seg = ("Champions" if recency <= t.champions_recency and f >= t.champions_frequency
+                          and m >= t.champions_monetary
+                          else "Loyal" if recency <= t.loyal_recency and (f >= t.loyal_frequency
+                                                                          or m >= t.loyal_monetary)
+                          else "At Risk" if t.at_risk_from <= recency <= t.at_risk_to else "Lost")
+            assert g["segment"] == expect_seg
