@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.session import ensure_checkpoint_dir
+from rentscope.session import configure, ensure_checkpoint_dir
 
 #: Characters of text handled at a time inside a task.
 SEGMENT = 1 << 20
@@ -23,6 +23,8 @@ _BREAK = re.compile(r" (?=\S)")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, read by a session with the library's settings."""
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -131,3 +133,11 @@ def sums_by(ids: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     if values.ndim == 1:
         return np.bincount(ids, weights=values, minlength=n)
     return np.stack([np.bincount(ids, weights=values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of ``rows`` at most, those whose hashed doc_id is smallest; all if there are fewer."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.xxhash64("doc_id") < F.lit(int((most / n - 0.5) * 2**64)))

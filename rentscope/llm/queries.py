@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from rentscope.llm import arrow_output, common, exact_dedup, packing, token_counts
-from rentscope.session import configure
+from rentscope.llm import arrow_output, common, exact_dedup, language_id, packing, quality_rules, token_counts
 
 
 def _over(fn):
     """A query that applies ``fn`` to the whole of documents."""
 
     def query(spark, sf_dir):
-        return fn(common.documents(configure(spark), sf_dir))
+        return fn(common.documents(spark, sf_dir))
 
     return query
 
 
 QUERIES = {
+    "op2_quality_rules": _over(quality_rules.quality_rules),
     "op4_token_counts": _over(token_counts.word_token_counts),
+    "op5_language_id": _over(language_id.predicted_languages),
     "op7_arrow_token_ids": _over(arrow_output.arrow_token_ids),
     "op8_exact_dedup": _over(exact_dedup.exact_duplicates),
     "op10_packing": _over(packing.byte_packing),
 }
 
 ORACLE = {
+    "op2_quality_rules": quality_rules.SQL,
     "op8_exact_dedup": """
         with normal as (
           select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm
