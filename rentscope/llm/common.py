@@ -22,9 +22,15 @@ WORDS_KEPT = 1_000_000
 _BREAK = re.compile(r" (?=\S)")
 
 
+#: Rows of text that go to a Python worker at a time, where the session doesn't say.
+ARROW_ROWS = "500"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table, read by a session with the library's settings."""
-    configure(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if configure(spark).conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
