@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rentscope.llm import arrow_output, common, exact_dedup, language_id, packing, quality_rules, token_counts
+from rentscope.llm import arrow_output, common, exact_dedup, language_id, packing, quality_rank, quality_rules, token_counts, toxicity
 
 
 def _over(fn):
@@ -14,12 +14,23 @@ def _over(fn):
     return query
 
 
+def _labelled(fn):
+    """A query that applies ``fn`` to the whole of documents and of labels."""
+
+    def query(spark, sf_dir):
+        return fn(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+    return query
+
+
 QUERIES = {
+    "op1_toxicity": _labelled(toxicity.scored),
     "op2_quality_rules": _over(quality_rules.quality_rules),
     "op4_token_counts": _over(token_counts.word_token_counts),
     "op5_language_id": _over(language_id.predicted_languages),
     "op7_arrow_token_ids": _over(arrow_output.arrow_token_ids),
     "op8_exact_dedup": _over(exact_dedup.exact_duplicates),
+    "op9_quality_rank": _labelled(quality_rank.scored),
     "op10_packing": _over(packing.byte_packing),
 }
 
