@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rentscope.llm import arrow_output, common, exact_dedup, language_id, packing, quality_rank, quality_rules, token_counts, toxicity
+from rentscope.llm import arrow_output, common, exact_dedup, language_id, ngram_join, packing, quality_rank, quality_rules, token_counts, toxicity
 
 
 def _over(fn):
@@ -26,6 +26,7 @@ def _labelled(fn):
 QUERIES = {
     "op1_toxicity": _labelled(toxicity.scored),
     "op2_quality_rules": _over(quality_rules.quality_rules),
+    "op3_ngram_join": _over(ngram_join.similar_documents),
     "op4_token_counts": _over(token_counts.word_token_counts),
     "op5_language_id": _over(language_id.predicted_languages),
     "op7_arrow_token_ids": _over(arrow_output.arrow_token_ids),
