@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rentscope.llm import arrow_output, common, exact_dedup, language_id, ngram_join, packing, quality_rank, quality_rules, token_counts, toxicity
+from rentscope.llm import arrow_output, common, exact_dedup, language_id, ngram_join, packing, quality_rank, quality_rules, sentencepiece_scan, token_counts, toxicity
 
 
 def _over(fn):
@@ -29,6 +29,7 @@ QUERIES = {
     "op3_ngram_join": _over(ngram_join.similar_documents),
     "op4_token_counts": _over(token_counts.word_token_counts),
     "op5_language_id": _over(language_id.predicted_languages),
+    "op6_sentencepiece": _over(sentencepiece_scan.encoded_documents),
     "op7_arrow_token_ids": _over(arrow_output.arrow_token_ids),
     "op8_exact_dedup": _over(exact_dedup.exact_duplicates),
     "op9_quality_rank": _labelled(quality_rank.scored),
