@@ -26,12 +26,16 @@ _BREAK = re.compile(r" (?=\S)")
 ARROW_ROWS = "500"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, read by a session with the library's settings."""
+def configured(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, and ARROW_ROWS where it has none of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if configure(spark).conf.get(key, None) is None:
         spark.conf.set(key, ARROW_ROWS)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configured(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pick(docs: DataFrame, *columns: str) -> DataFrame:
@@ -147,3 +151,22 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
     if n <= most:
         return rows
     return rows.where(F.xxhash64("doc_id") < F.lit(int((most / n - 0.5) * 2**64)))
+
+
+#: Ids that are sent to every task at most; beyond it Spark joins by shuffle.
+SENT_IDS = 1_000_000
+
+
+def sent_if_bounded(ids: DataFrame, most: int = SENT_IDS) -> DataFrame:
+    """``ids`` marked for broadcast if a count shows ``most`` rows at most."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def keeping(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``docs``, all columns, less the doc_ids that ``verdicts`` (doc_id, kept) reject.
+
+    Rows that repeat a doc_id stay together if one of them is kept; rows
+    without doc_id go.
+    """
+    gone = written(verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.where(F.col("doc_id").isNotNull()).join(sent_if_bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rentscope.llm.common import pick, written
+from rentscope.llm.common import keeping, pick, written
 
 #: White space that one space replaces; leading characters that the splitters compare.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -103,5 +103,4 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` less the rows whose text a smaller doc_id has; all columns stay."""
-    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi")
+    return keeping(docs, exact_duplicates(docs).select("doc_id", "kept"))

@@ -27,7 +27,7 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 #: Hashed character n-grams; labelled documents learned from at most; passes of training.
-BUCKETS, SAMPLE, PASSES = 4096, 4000, 200
+BUCKETS, SAMPLE, PASSES = 4096, 2000, 80
 #: Shares of n-grams are multiplied by it; predictions that score less are rejected by ``recognised``.
 SCALE, LEAST = 30.0, 0.3
 UNKNOWN = "und"
@@ -99,7 +99,8 @@ class LanguageModel:
 def train_svm(x: np.ndarray, y: np.ndarray, passes: int = PASSES, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM: squared hinge loss, classes weighted alike, Nesterov's gradient steps."""
     weight = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean()) / len(y)
-    w = look = np.zeros(x.shape[1] + 1)
+    weight = weight.astype(x.dtype)
+    w = look = np.zeros(x.shape[1] + 1, x.dtype)
     rate = 0.5 / ((weight * ((x * x).sum(axis=1) + 1)).sum() + penalty)
     for k in range(passes):
         short = np.maximum(0, 1 - y * (x @ look[:-1] + look[-1])) * weight * y
@@ -131,13 +132,13 @@ def train(sample: list[tuple[str, np.ndarray]]) -> LanguageModel:
         families.setdefault(FAMILY.get(name, name), []).append(name)
     lang = np.array([name for name, _ in sample], object)
     family = np.array([FAMILY.get(name, name) for name in lang], object)
-    x = shares(np.stack([c for _, c in sample])) if sample else np.empty((0, BUCKETS))
+    x = shares(np.stack([c for _, c in sample])).astype(np.float32) if sample else np.empty((0, BUCKETS))
 
     def votes(labels: np.ndarray, of: list[str]) -> list[Linear]:
         out = []
         for yes, no in combinations(sorted(of), 2):
             own = (labels == yes) | (labels == no)
-            out.append(Linear(yes, no, *train_svm(x[own], np.where(labels[own] == yes, 1.0, -1.0))))
+            out.append(Linear(yes, no, *train_svm(x[own], np.where(labels[own] == yes, 1, -1).astype(x.dtype))))
         return out
 
     return LanguageModel(families, votes(family, list(families)), {f: votes(lang, own) for f, own in families.items()})
@@ -167,44 +168,57 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> LanguageMode
     return train(found)
 
 
-def language_id(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score of each whole text.
+def predictor(model: LanguageModel):
+    """A function of whole texts that gives (languages, scores).
 
     A word adds the weights of its n-grams to each two-way SVM's margin, so a
     text costs one lookup a word; the model's size is set by BUCKETS and the
-    number of languages. Null texts and texts without a letter are ``und`` with
-    score 0, as is every text if no labelled document was learned from. Rows
-    without doc_id are left out; rows that repeat a doc_id are predicted each;
-    other columns are ignored; an empty table gives none.
+    number of languages.
     """
     linears = model.linears
     weights = np.stack([x.weights for x in linears], axis=1) if linears else np.zeros((BUCKETS, 0))
     bias = np.array([x.bias for x in linears])
     key = uuid.uuid4().hex
 
+    def fill(words: list[str]) -> np.ndarray:
+        """Sums of weights over the word's n-grams, their number, and whether it has a letter."""
+        own = [grams(w) for w in words]
+        sizes = np.array([len(g) for g in own], np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        flat = np.fromiter((g for gs in own for g in gs), np.int64, int(sizes.sum()))
+        sums = sums_by(owner, weights[flat], len(words)) if weights.shape[1] else np.empty((len(words), 0))
+        return np.column_stack([sums, sizes, [letters(w) for w in words]]) if words else np.empty((0, weights.shape[1] + 2))
+
+    def predict(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        words = in_worker(("language", key), lambda: Words(fill, WORDS_KEPT // 2))
+        total = np.zeros((len(texts), weights.shape[1] + 2))
+        for part in segments(["" if t is None else t for t in texts]):
+            pieces = [piece.split() for _, piece in part]
+            owner = np.repeat([i for i, _ in part], [len(p) for p in pieces])
+            total += sums_by(owner, words.of([w for p in pieces for w in p]), len(texts))
+        known = (total[:, -1] > 0) & bool(model.languages)
+        margins = SCALE * total[:, :-2] / np.maximum(total[:, -2:-1], 1) + bias
+        lang, score = model.decide(margins) if model.languages else (np.full(len(texts), None, object), np.zeros(len(texts)))
+        lang[~known], score[~known] = UNKNOWN, 0.0
+        return lang, score
+
+    return predict
+
+
+def language_id(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, lang_pred, score of each whole text.
+
+    Null texts and texts without a letter are ``und`` with score 0, as is every
+    text if no labelled document was learned from. Rows without doc_id are left
+    out; rows that repeat a doc_id are predicted each; other columns are
+    ignored; an empty table gives none.
+    """
+    of = predictor(model)
+
     def predict(batches):
-        def fill(words: list[str]) -> np.ndarray:
-            """Sums of weights over the word's n-grams, their number, and whether it has a letter."""
-            own = [grams(w) for w in words]
-            sizes = np.array([len(g) for g in own], np.int64)
-            owner = np.repeat(np.arange(len(words)), sizes)
-            flat = np.fromiter((g for gs in own for g in gs), np.int64, int(sizes.sum()))
-            sums = sums_by(owner, weights[flat], len(words)) if weights.shape[1] else np.empty((len(words), 0))
-            return np.column_stack([sums, sizes, [letters(w) for w in words]]) if words else np.empty((0, weights.shape[1] + 2))
-
-        words = in_worker(("language", key), lambda: Words(fill, WORDS_KEPT))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            total = np.zeros((len(texts), weights.shape[1] + 2))
-            for part in segments(texts):
-                pieces = [piece.split() for _, piece in part]
-                owner = np.repeat([i for i, _ in part], [len(p) for p in pieces])
-                total += sums_by(owner, words.of([w for p in pieces for w in p]), len(texts))
-            known = (total[:, -1] > 0) & bool(model.languages)
-            margins = SCALE * total[:, :-2] / np.maximum(total[:, -2:-1], 1) + bias
-            lang, score = model.decide(margins) if model.languages else (np.full(len(texts), None, object), np.zeros(len(texts)))
-            lang[~known], score[~known] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            lang, score = of(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = pick(docs, "doc_id", "text")
     return rows.mapInArrow(predict, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
@@ -222,5 +236,12 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
 
 def recognised(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` less those whose language is ``und`` or predicted with a score below ``least``; all columns stay."""
-    stay = predicted_languages(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi")
+    of = predictor(learn(docs, ~held_out(FOLDS, HELD_OUT)))
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            lang, score = of(batch.column(at).to_pylist())
+            yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least), pa.bool_()))
+
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(keep, docs.schema)

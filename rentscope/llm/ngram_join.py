@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.common import WORDS_KEPT, Words, in_worker, pick, segments, written
+from rentscope.llm.common import WORDS_KEPT, Words, in_worker, keeping, pick, segments, sent_if_bounded, written
 from rentscope.llm.components import connected_components
 
 #: Words in a gram; least similarity in percent.
@@ -25,8 +25,6 @@ CELL_BITS, BLOCKS = 21, 64
 BITMAP = 1024
 #: Sets of one gram that are compared in one go; pairs looked at together.
 BUCKET, PAIRS = 1024, 200_000
-#: Ids that are sent to every task at most; beyond it Spark joins by shuffle.
-SENT_IDS = 1_000_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -248,11 +246,6 @@ def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
 
 
-def sent_if_bounded(ids: DataFrame, most: int = SENT_IDS) -> DataFrame:
-    """``ids`` marked for broadcast if a count shows ``most`` rows at most."""
-    return F.broadcast(ids) if ids.count() <= most else ids
-
-
 def verified(docs: DataFrame, first_docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the distinct ``pairs`` (x, y) whose whole sets are similar enough."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
@@ -333,5 +326,4 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` less all but the smallest doc_id of each component; all columns stay."""
-    stay = similar_documents(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi")
+    return keeping(docs, similar_documents(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))

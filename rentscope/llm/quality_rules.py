@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.common import pick
+from rentscope.llm.common import keeping, pick
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -116,8 +116,7 @@ def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_
 
 def passing(docs: DataFrame) -> DataFrame:
     """``docs`` less the rows that the rules reject; all columns stay."""
-    stay = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi")
+    return keeping(docs, quality_rules(docs).select("doc_id", "kept"))
 
 
 SQL = rf"""
