@@ -1,55 +1,50 @@
 """Monthly revenue forecasts fitted per series.
 
-The heavy part -- turning payments into monthly revenue per series -- is a
-Spark aggregation; the model features (month index, lags, rolling means,
-z-scores, attention windows) are Spark window columns partitioned by series.
-Each series is then at most a few hundred months, so only the solve and the
-recursive forecast run per group in ``applyInPandas``: the groups (global,
-per country, ...) are spread over tasks, and no group grows with the number
-of payments.
-
-Two models:
-
-* ``forecast_linear``: least squares on [month index, lag 1, lag 2, rolling
-  mean of 3] with intercept (minimum-norm solution when rank-deficient),
-  recursive ``horizon`` steps. ``mode='reference'`` keeps the rolling mean
-  including the month being predicted (which leaks the target);
-  ``mode='lagged'`` uses the three preceding months instead.
-* ``forecast_attention``: z-scored series, windows of the 3 preceding
-  values weighted by fixed positional softmax weights, plus window mean,
-  population std and last-first; ridge (alpha 1, unpenalised intercept);
-  recursive 3 steps; un-scaled and clipped at 0.
+Payments become monthly revenue per series by a Spark aggregation, and the
+features are window columns partitioned by series. A series is then a row with
+arrays of at most some hundred months; one pandas UDF solves the least squares
+of each row. Everything after the solution is columns again: fitted values, R2,
+the recursion (a fold over the steps), rounding, labels and status.
+
+Two models, each a list of features of the last three values:
+
+* linear: month number, the last two values and the mean of three, by ordinary
+  least squares (smallest solution if rank-deficient). ``mode='reference'``
+  takes the mean over the month itself and the two before, so it holds the
+  target; ``mode='lagged'`` takes the three months before.
+* attention: z-scores weighted by a fixed softmax over the three positions, and
+  their mean, population deviation and change, by ridge regression with a free
+  intercept; forecasts are scaled back and at least 0.
+
+Months are in calendar order with a missing month (NULL) last.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F, types as T
 
 from rentscope.functions import money, month_key, month_start
 from rentscope.model import RentalData
 from rentscope.plans import paid_rentals
 
-# The per-series functions below run in executor Python workers. Pickling
-# this module's functions by value ships them with the task, so workers need
-# numpy and pandas but not this package on their path.
+# The solver runs in executor Python workers; shipped by value, it needs numpy
+# and pandas there but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Positional attention scores of the 3-month window (oldest first).
 POSITION_SCORES = (0.2, 0.3, 0.5)
 WINDOW = 3
-
-OUTPUT_SCHEMA = (
-    "series_key string, kind string, step int, month string, value double, "
-    "r_squared double, r2_label string, last_month_revenue double, "
-    "predicted_next_month double, change_percent double, status string"
-)
+# Least R2 of the labels, best first, and the label below.
+LABELS = ((0.9, "Excellent"), (0.7, "Good"))
+LAST_LABEL = "Fair"
 
 
 # -- series ---------------------------------------------------------------
@@ -91,249 +86,218 @@ def revenue_series(data: RentalData, axis: str = "payment", by: str | None = Non
     )
 
 
-# -- numeric helpers (per group, NumPy) ----------------------------------
+# -- features -------------------------------------------------------------
 
-def _r2(y: np.ndarray, fitted: np.ndarray) -> float | None:
-    if len(y) < 2:
-        return None
-    ss_res = float(np.sum((y - fitted) ** 2))
-    ss_tot = float(np.sum((y - y.mean()) ** 2))
-    if ss_tot == 0.0:
-        return 1.0 if ss_res == 0.0 else 0.0
-    return 1.0 - ss_res / ss_tot
+LINEAR_FEATURES = ("month_idx", "lag_1", "lag_2", "rolling_avg_3")
+ATTENTION_FEATURES = ("att_1", "att_2", "att_3", "win_mean", "win_std", "win_trend")
 
 
-def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Least squares with intercept; minimum-norm coefficients if rank-deficient."""
-    xm, ym = x.mean(axis=0), y.mean()
-    coef = np.linalg.lstsq(x - xm, y - ym, rcond=None)[0]
-    return coef, float(ym - xm @ coef)
+def _in_order() -> Window:
+    return Window.partitionBy("series_key").orderBy(F.col("month").asc_nulls_last())
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    """Ridge with an unpenalised intercept (centred closed form)."""
-    xm, ym = x.mean(axis=0), y.mean()
-    xc = x - xm
-    coef = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ (y - ym))
-    return coef, float(ym - xm @ coef)
+def linear_features(series: DataFrame, mode: str = "reference") -> DataFrame:
+    """series_key, month, revenue with month_idx (from 0), lag_1, lag_2 and
+    rolling_avg_3 (NULL until three values are in its frame)."""
+    ends = {"reference": 0, "lagged": -1}
+    if mode not in ends:
+        raise ValueError(f"unknown mode {mode!r}")
+    months = _in_order()
+    three = months.rowsBetween(ends[mode] - 2, ends[mode])
+    return series.select(
+        "series_key", "month", "revenue",
+        (F.row_number().over(months) - 1).alias("month_idx"),
+        F.lag("revenue", 1).over(months).alias("lag_1"),
+        F.lag("revenue", 2).over(months).alias("lag_2"),
+        F.when(F.count("revenue").over(three) == 3, F.avg("revenue").over(three)).alias("rolling_avg_3"),
+    )
 
 
-def _round(v, digits):
-    return None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), digits)
+def attention_weights() -> list[float]:
+    """The fixed softmax over the window's positions, oldest first."""
+    total = math.fsum(math.exp(s) for s in POSITION_SCORES)
+    return [math.exp(s) / total for s in POSITION_SCORES]
 
 
-def _rows(key, hist_months, hist_values, status, **summary):
-    base = dict(series_key=key, r_squared=None, r2_label=None, last_month_revenue=None,
-                predicted_next_month=None, change_percent=None, status=status)
-    base.update(summary)
-    out = [dict(base, kind="historical", step=i, month=m, value=float(v))
-           for i, (m, v) in enumerate(zip(hist_months, hist_values))]
-    return out, base
+def _attention_vector(oldest: Column, middle: Column, newest: Column) -> list[Column]:
+    """The six attention features of three values."""
+    values = (oldest, middle, newest)
+    mean = (oldest + middle + newest) / WINDOW
+    spread = F.sqrt(sum((v - mean) * (v - mean) for v in values) / WINDOW)
+    return [v * w for v, w in zip(values, attention_weights())] + [mean, spread, newest - oldest]
 
 
-# -- linear ---------------------------------------------------------------
+def attention_features(series: DataFrame) -> DataFrame:
+    """series_key, month, revenue, month_idx, the scaling constants (deviation 0
+    counts as 1), z and, from the fourth month on, the six features of the
+    three z before it."""
+    months, whole = _in_order(), Window.partitionBy("series_key")
+    spread = F.stddev_pop("revenue").over(whole)
+    scaled = series.select(
+        "series_key", "month", "revenue", (F.row_number().over(months) - 1).alias("month_idx"),
+        F.avg("revenue").over(whole).alias("mean"),
+        F.when(spread > 0, spread).otherwise(1.0).alias("scale"),
+    ).withColumn("z", (F.col("revenue") - F.col("mean")) / F.col("scale"))
+    lagged = scaled.select("*", *[F.lag("z", WINDOW - k).over(months).alias(f"z{k}") for k in range(WINDOW)])
+    vector = _attention_vector(*[F.col(f"z{k}") for k in range(WINDOW)])
+    return lagged.select(*scaled.columns, *[c.alias(name) for c, name in zip(vector, ATTENTION_FEATURES)])
 
-LINEAR_FEATURES = ("month_idx", "lag_1", "lag_2", "rolling_avg_3")
 
+# -- fit ------------------------------------------------------------------
 
-def linear_features(series: DataFrame, mode: str = "reference") -> DataFrame:
-    """Per series, in month order: month_idx (0-based ordinal), lag_1, lag_2
-    and rolling_avg_3 (NULL until three values are in the frame).
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solve(x: pd.Series, y: pd.Series, penalty: pd.Series) -> pd.Series:
+    """Intercept and coefficients of each row's system; NULL without equations.
 
-    mode 'reference': the rolling mean covers the current month and the two
-    before it (so it contains the target); 'lagged': the three months before.
-    Window partitions are series, i.e. at most a few hundred rows.
+    The penalty enters as one more equation for each coefficient, so ridge and
+    ordinary least squares are the same centred problem.
     """
-    if mode not in ("reference", "lagged"):
-        raise ValueError(f"unknown mode {mode!r}")
-    w = Window.partitionBy("series_key").orderBy("month")
-    frame = w.rowsBetween(-2, Window.currentRow) if mode == "reference" else w.rowsBetween(-3, -1)
-    return series.select(
-        "series_key", "month", "revenue",
-        (F.row_number().over(w) - 1).alias("month_idx"),
-        F.lag("revenue", 1).over(w).alias("lag_1"),
-        F.lag("revenue", 2).over(w).alias("lag_2"),
-        F.when(F.count("revenue").over(frame) == 3, F.avg("revenue").over(frame)).alias("rolling_avg_3"),
-    )
 
+    def one(rows, target, alpha):
+        if rows is None or not len(rows):
+            return None
+        a, b = np.array([list(r) for r in rows], float), np.array(target, float)
+        middle, level = a.mean(axis=0), b.mean()
+        extra = math.sqrt(alpha) * np.eye(a.shape[1])[: a.shape[1] if alpha else 0]
+        found = np.linalg.lstsq(np.vstack([a - middle, extra]), np.append(b - level, np.zeros(len(extra))), rcond=None)[0]
+        return [level - middle @ found, *found]
+
+    return pd.Series([one(*row) for row in zip(x, y, penalty)])
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def _predict(x: Column, solution: Column) -> Column:
+    """Intercept plus the products of features and coefficients."""
+    terms = F.zip_with(x, F.slice(solution, 2, F.size(solution) - 1), lambda v, c: v * c)
+    return F.aggregate(terms, solution[0], lambda a, v: a + v)
+
+
+def _fitted(features: DataFrame, names: tuple[str, ...], target: str, penalty: float, *constants: str) -> DataFrame:
+    """A row a series: history and training rows in month order, solution,
+    fitted values of the training rows and R2."""
+    usable = F.lit(True)
+    for name in names:
+        usable &= F.col(name).isNotNull()
+    row = F.struct(F.col("month_idx").alias("i"), "month", F.col("revenue").cast("double").alias("revenue"),
+                   F.col(target).cast("double").alias("y"),
+                   F.when(usable, F.array(*[F.col(n).cast("double") for n in names])).alias("x"))
+    whole = features.groupBy("series_key").agg(
+        F.sort_array(F.collect_list(row)).alias("history"), *[F.max(c).alias(c) for c in constants])
+    whole = whole.withColumn("train", F.filter("history", lambda r: r["x"].isNotNull() & r["y"].isNotNull()))
+    whole = whole.withColumn("y", F.transform("train", lambda r: r["y"]))
+    whole = whole.withColumn("solution", _solve(F.transform("train", lambda r: r["x"]), F.col("y"), F.lit(penalty)))
+    whole = whole.withColumn("fit", F.transform("train", lambda r: _predict(r["x"], F.col("solution"))))
+    whole = whole.withColumn("level", F.try_divide(_total(F.col("y")), F.size("y")))
+    missed = _total(F.zip_with("y", "fit", lambda y, f: (y - f) * (y - f)))
+    spread = _total(F.transform("y", lambda y: (y - F.col("level")) * (y - F.col("level"))))
+    r2 = F.when(F.size("y") < 2, None).when(spread > 0, 1 - F.try_divide(missed, spread)).when(missed == 0, 1.0).otherwise(0.0)
+    return whole.withColumn("r2", r2)
+
+
+def _steps(start: Column, horizon: int, features: Callable[[Column, Column], Column]) -> Column:
+    """``horizon`` predictions, each from the last three values, known or predicted.
+
+    ``features`` gives the feature array of the three values and the step.
+    """
+    first = F.struct(start.alias("last"), F.expr("cast(array() as array<double>)").alias("done"))
 
-def _linear_group(pdf: pd.DataFrame, horizon: int, min_rows: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("month_idx")
-    key = pdf["series_key"].iloc[0]
-    months = pdf["month"].tolist()
-    rev = pdf["revenue"].astype(float).to_numpy()
-    n = len(rev)
-    train = pdf.dropna(subset=list(LINEAR_FEATURES))
-    if n < min_rows or len(train) == 0:
-        rows, _ = _rows(key, months, rev, "too_few_rows")
-        return pd.DataFrame(rows)
-    x = train[list(LINEAR_FEATURES)].astype(float).to_numpy()
-    y = train["revenue"].astype(float).to_numpy()
-    coef, icpt = _ols(x, y)
-    r2 = _r2(y, x @ coef + icpt)
-    # Recursive forecast: each step's features come from the last three
-    # values, actual or predicted (un-rounded predictions feed the next step).
-    temp = list(rev)
-    preds = []
-    for i in range(horizon):
-        f = np.array([n + i, temp[-1], temp[-2], float(np.mean(temp[-3:]))])
-        p = float(f @ coef + icpt)
-        preds.append(p)
-        temp.append(p)
-    last = float(rev[-1])
-    change = None if last == 0 else round((preds[0] - last) / last * 100, 1)
-    rows, base = _rows(key, months, rev, "ok", r_squared=_round(r2, 4), last_month_revenue=round(last, 2),
-                       predicted_next_month=round(preds[0], 2), change_percent=change)
-    for i, p in enumerate(preds, start=1):
-        rows.append(dict(base, kind="forecast", step=i, month=None, value=round(p, 2)))
-    return pd.DataFrame(rows)
+    def step(state: Column, k: Column) -> Column:
+        value = F.array(_predict(features(state["last"], k), F.col("solution")))
+        return F.struct(F.concat(F.slice(state["last"], 2, WINDOW - 1), value).alias("last"),
+                        F.concat(state["done"], value).alias("done"))
 
+    return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), first, step, lambda state: state["done"])
 
-def forecast_linear(series: DataFrame, horizon: int = 3, mode: str = "reference",
-                    min_rows: int | None = None) -> DataFrame:
-    """Fit and forecast every series in ``series`` (series_key, month, revenue).
 
-    Features are Spark window columns (``linear_features``); each series'
-    rows then go to one ``applyInPandas`` call for the least-squares fit and
-    the recursive forecast. Rows: kind 'historical' (step = month index) and
-    'forecast' (step 1..h), each carrying r_squared, last_month_revenue,
-    predicted_next_month, change_percent and status ('ok' or 'too_few_rows').
-    """
-    min_rows = min_rows if min_rows is not None else (3 if horizon <= 3 else 4)
+def _report(models: DataFrame, enough: Column, forecast: Column, fitted: Column | None,
+            label: Column, last: Column, change: Column) -> DataFrame:
+    """The rows of a report: historical, fitted and forecast values with their series' figures."""
+    kind = "array<struct<kind:string,step:int,month:string,value:double>>"
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _linear_group(pdf, horizon, min_rows)
+    def entries(values: Column, name: str, entry) -> Column:
+        return F.transform(values, lambda v, k: F.struct(F.lit(name).alias("kind"), *entry(v, k))).cast(kind)
 
-    return linear_features(series, mode).groupBy("series_key").applyInPandas(fit, OUTPUT_SCHEMA)
+    known = entries(F.col("history"), "historical", lambda r, k: (k, r["month"], r["revenue"]))
+    ahead = entries(forecast, "forecast", lambda v, k: (k + 1, F.lit(None).cast("string"), v))
+    parts = [known, *([entries(fitted, "fitted", lambda r, k: (r["i"], r["month"], r["value"]))] if fitted is not None else []), ahead]
+    told = models.select(
+        "series_key", F.explode(F.when(enough, F.concat(*parts)).otherwise(known)).alias("entry"),
+        F.when(enough, F.round("r2", 4)).alias("r_squared"), F.when(enough, label).alias("r2_label"),
+        F.when(enough, last).alias("last_month_revenue"), F.when(enough, F.round(forecast[0], 2)).alias("predicted_next_month"),
+        F.when(enough, change).alias("change_percent"), F.when(enough, "ok").otherwise("too_few_rows").alias("status"))
+    return told.select("series_key", "entry.kind", "entry.step", "entry.month", "entry.value", "r_squared", "r2_label",
+                       "last_month_revenue", "predicted_next_month", "change_percent", "status")
 
 
-# -- attention-style ridge -----------------------------------------------
-
-ATTENTION_FEATURES = ("att_1", "att_2", "att_3", "win_mean", "win_std", "win_trend")
+def _last_values(column: str) -> Column:
+    """The last three of the history's ``column``; fewer if it is shorter."""
+    n = F.size("history")
+    tail = F.slice("history", F.greatest(n - WINDOW + 1, F.lit(1)), WINDOW)
+    return F.transform(tail, lambda r: r[column])
 
 
-def _attention_weights() -> np.ndarray:
-    e = np.exp(np.array(POSITION_SCORES))
-    return e / e.sum()
+# -- models ---------------------------------------------------------------
 
+def forecast_linear(series: DataFrame, horizon: int = 3, mode: str = "reference",
+                    min_rows: int | None = None) -> DataFrame:
+    """Every series of ``series`` (series_key, month, revenue): its months (kind
+    'historical', step = month number) and ``horizon`` forecasts (kind
+    'forecast', step from 1), each with r_squared, last_month_revenue,
+    predicted_next_month, change_percent and status. A series of fewer than
+    ``min_rows`` months, or without a complete row of features, has its months
+    only, status 'too_few_rows'."""
+    min_rows = min_rows if min_rows is not None else (3 if horizon <= 3 else 4)
+    models = _fitted(linear_features(series, mode), LINEAR_FEATURES, "revenue", 0.0)
+    enough = (F.size("history") >= min_rows) & F.col("solution").isNotNull()
 
-def attention_features(series: DataFrame) -> DataFrame:
-    """Per series: z (revenue z-scored with the series mean and population
-    std; std 0 counts as 1), the scaling constants, and for every month with
-    three predecessors the six window features of its three preceding z
-    values (oldest first): the values times the fixed attention weights, their
-    mean, population std and last - first."""
-    whole = Window.partitionBy("series_key")
-    w = whole.orderBy("month")
-    sd = F.stddev_pop("revenue").over(whole)
-    scaled = series.select(
-        "series_key", "month", "revenue",
-        F.avg("revenue").over(whole).alias("mean"),
-        F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("scale"),
-    ).withColumn("z", (F.col("revenue") - F.col("mean")) / F.col("scale"))
-    z3, z2, z1 = (F.lag("z", k).over(w) for k in (3, 2, 1))   # oldest .. newest
-    wts = [float(v) for v in _attention_weights()]
-    with_win = scaled.select("*", z3.alias("z_3"), z2.alias("z_2"), z1.alias("z_1"))
-    m = (F.col("z_3") + F.col("z_2") + F.col("z_1")) / 3
-    var = ((F.col("z_3") - m) ** 2 + (F.col("z_2") - m) ** 2 + (F.col("z_1") - m) ** 2) / 3
-    return with_win.select(
-        "series_key", "month", "revenue", "mean", "scale", "z",
-        (F.col("z_3") * wts[0]).alias("att_1"),
-        (F.col("z_2") * wts[1]).alias("att_2"),
-        (F.col("z_1") * wts[2]).alias("att_3"),
-        m.alias("win_mean"),
-        F.sqrt(var).alias("win_std"),
-        (F.col("z_1") - F.col("z_3")).alias("win_trend"),
-    )
-
+    def features(last: Column, k: Column) -> Column:
+        return F.array((F.size("history") + k - 1).cast("double"), F.get(last, 2), F.get(last, 1), _total(last) / WINDOW)
 
-def _window_features(seq: np.ndarray, w: np.ndarray) -> list[float]:
-    """The six features of one window in NumPy (for recursive steps)."""
-    return list(seq * w) + [float(np.mean(seq)), float(np.std(seq)), float(seq[-1] - seq[0])]
-
-
-def _attention_fit(rev: np.ndarray, alpha: float):
-    """NumPy-only fit of one series (reference for the Spark-feature path)."""
-    mean = float(rev.mean())
-    sd = float(rev.std())
-    sd = sd if sd > 0 else 1.0
-    z = (rev - mean) / sd
-    w = _attention_weights()
-    x = np.array([_window_features(z[i - WINDOW:i], w) for i in range(WINDOW, len(z))])
-    y = z[WINDOW:]
-    coef, icpt = _ridge(x, y, alpha)
-    fitted = x @ coef + icpt
-    return dict(mean=mean, sd=sd, z=z, w=w, coef=coef, icpt=icpt, fitted=fitted, r2=_r2(y, fitted))
-
-
-def _fit_from_features(pdf: pd.DataFrame, alpha: float):
-    train = pdf.dropna(subset=list(ATTENTION_FEATURES))
-    x = train[list(ATTENTION_FEATURES)].astype(float).to_numpy()
-    y = train["z"].astype(float).to_numpy()
-    coef, icpt = _ridge(x, y, alpha)
-    fitted = x @ coef + icpt
-    return coef, icpt, fitted, _r2(y, fitted)
-
-
-def _attention_group(pdf: pd.DataFrame, horizon: int, alpha: float, min_rows: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("month")
-    key = pdf["series_key"].iloc[0]
-    months = pdf["month"].tolist()
-    rev = pdf["revenue"].astype(float).to_numpy()
-    if len(rev) < min_rows:
-        rows, _ = _rows(key, months, rev, "too_few_rows")
-        return pd.DataFrame(rows)
-    mean, scale = float(pdf["mean"].iloc[0]), float(pdf["scale"].iloc[0])
-    coef, icpt, fitted, r2 = _fit_from_features(pdf, alpha)
-    w = _attention_weights()
-    temp = list(pdf["z"].astype(float))
-    future = []
-    for _ in range(horizon):
-        p = float(np.array(_window_features(np.array(temp[-WINDOW:]), w)) @ coef + icpt)
-        future.append(p)
-        temp.append(p)
-    future_rev = [round(max(0.0, v * scale + mean), 2) for v in future]
-    fitted_rev = [round(float(v * scale + mean), 2) for v in fitted]
-    label = None if r2 is None else ("Excellent" if r2 >= 0.9 else "Good" if r2 >= 0.7 else "Fair")
-    last = round(float(rev[-1]), 2)
-    change = round((future_rev[0] - last) / last * 100, 1) if last else 0.0
-    rows, base = _rows(key, months, rev, "ok", r_squared=_round(r2, 4), r2_label=label,
-                       last_month_revenue=last, predicted_next_month=future_rev[0], change_percent=change)
-    for i, (mo, v) in enumerate(zip(months[WINDOW:], fitted_rev), start=WINDOW):
-        rows.append(dict(base, kind="fitted", step=i, month=mo, value=v))
-    for i, v in enumerate(future_rev, start=1):
-        rows.append(dict(base, kind="forecast", step=i, month=None, value=v))
-    return pd.DataFrame(rows)
+    models = models.withColumn("ahead", F.when(enough, _steps(_last_values("revenue"), horizon, features)))
+    last = F.element_at("history", -1)["revenue"]
+    change = F.round(F.try_divide(F.col("ahead")[0] - last, last) * 100, 1)
+    return _report(models, enough, F.transform("ahead", lambda v: F.round(v, 2)), None,
+                   F.lit(None).cast("string"), F.round(last, 2), change)
 
 
 def forecast_attention(series: DataFrame, horizon: int = 3, alpha: float = 1.0, min_rows: int = 5) -> DataFrame:
-    """Attention-style ridge forecast per series; rows of kind 'historical',
-    'fitted' (from the 4th month on) and 'forecast' (clipped at 0). Features
-    are Spark window columns (``attention_features``); the ridge solve and
-    the recursive steps run per series in ``applyInPandas``."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _attention_group(pdf, horizon, alpha, min_rows)
+    """As ``forecast_linear`` by the attention model, with rows of kind 'fitted'
+    from the fourth month on and a label for R2; forecasts are 0 at least."""
+    models = _fitted(attention_features(series), ATTENTION_FEATURES, "z", alpha, "mean", "scale")
+    enough = (F.size("history") >= min_rows) & F.col("solution").isNotNull()
 
-    return attention_features(series).groupBy("series_key").applyInPandas(fit, OUTPUT_SCHEMA)
+    def features(last: Column, k: Column) -> Column:
+        return F.array(*_attention_vector(*[F.get(last, i) for i in range(WINDOW)]))
 
+    def money_of(z: Column) -> Column:
+        return z * F.col("scale") + F.col("mean")
 
-MODEL_SCHEMA = ("series_key string, months int, mean double, scale double, intercept double, "
-                "coefficients array<double>, r_squared double")
+    models = models.withColumn("ahead", F.when(enough, _steps(_last_values("y"), horizon, features)))
+    ahead = F.transform("ahead", lambda z: F.round(F.greatest(F.lit(0.0), money_of(z)), 2))
+    fitted = F.zip_with("train", "fit", lambda r, z: F.struct(r["i"].alias("i"), r["month"].alias("month"), F.round(money_of(z), 2).alias("value")))
+    label = F.lit(LAST_LABEL)
+    for least, name in reversed(LABELS):
+        label = F.when(F.col("r2") >= least, name).otherwise(label)
+    last = F.round(F.element_at("history", -1)["revenue"], 2)
+    change = F.when(last == 0, 0.0).otherwise(F.round(F.try_divide(ahead[0] - last, last) * 100, 1))
+    return _report(models, enough, ahead, fitted, F.when(F.col("r2").isNotNull(), label), last, change)
 
 
 def attention_models(series: DataFrame, alpha: float = 1.0, min_rows: int = 5) -> DataFrame:
-    """The fitted attention models as rows (scaling constants and ridge
-    coefficients per series), to be stored with ``sources.sinks``."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, n = pdf["series_key"].iloc[0], len(pdf)
-        if n < min_rows:
-            return pd.DataFrame([dict(series_key=key, months=n, mean=None, scale=None,
-                                      intercept=None, coefficients=None, r_squared=None)])
-        coef, icpt, _, r2 = _fit_from_features(pdf.sort_values("month"), alpha)
-        return pd.DataFrame([dict(series_key=key, months=n, mean=float(pdf["mean"].iloc[0]),
-                                  scale=float(pdf["scale"].iloc[0]), intercept=icpt,
-                                  coefficients=[float(c) for c in coef], r_squared=r2)])
-
-    return attention_features(series).groupBy("series_key").applyInPandas(fit, MODEL_SCHEMA)
+    """series_key, months, mean, scale, intercept, coefficients, r_squared of the
+    attention model of each series, to be stored with ``sources.sinks``; NULL
+    figures below ``min_rows`` months."""
+    models = _fitted(attention_features(series), ATTENTION_FEATURES, "z", alpha, "mean", "scale")
+    enough = F.size("history") >= min_rows
+
+    def told(value: Column, name: str) -> Column:
+        return F.when(enough, value).alias(name)
+
+    solution = F.col("solution")
+    return models.select(
+        "series_key", F.size("history").alias("months"), told(F.col("mean"), "mean"), told(F.col("scale"), "scale"),
+        told(solution[0], "intercept"), told(F.slice(solution, 2, F.size(solution) - 1), "coefficients"),
+        told(F.col("r2"), "r_squared"))

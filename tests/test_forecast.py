@@ -41,7 +41,7 @@ def test_lagged_mode_r2(order_series):
 
 
 def test_attention_known_values(order_series):
-    w = forecast._attention_weights()
+    w = forecast.attention_weights()
     assert np.allclose(w, [0.28943311, 0.31987306, 0.39069383], atol=1e-8)
     got = _by_kind(forecast.forecast_attention(order_series))
     fc = got["forecast"]
@@ -50,35 +50,46 @@ def test_attention_known_values(order_series):
     assert len(got["fitted"]) == 77 and got["fitted"][0]["step"] == 3
 
 
-def test_attention_matches_closed_form_ridge(order_series):
-    pdf = order_series.toPandas().sort_values("month")
-    rev = pdf["revenue"].to_numpy()
+def _closed_form_attention(rev):
+    """Weights and intercept of the ridge system with an unpenalised intercept column."""
     z = (rev - rev.mean()) / rev.std()
-    w = forecast._attention_weights()
+    w = np.array(forecast.attention_weights())
     x = np.array([list(z[i - 3:i] * w) + [z[i - 3:i].mean(), z[i - 3:i].std(), z[i - 1] - z[i - 3]]
                   for i in range(3, len(z))])
-    y = z[3:]
-    # Augmented system: the intercept column is not penalised.
     xa = np.hstack([x, np.ones((len(x), 1))])
-    pen = np.eye(xa.shape[1]); pen[-1, -1] = 0.0
-    beta = np.linalg.solve(xa.T @ xa + pen, xa.T @ y)
-    m = forecast._attention_fit(rev, 1.0)
-    assert np.allclose(m["coef"], beta[:-1]) and m["icpt"] == pytest.approx(beta[-1])
+    pen = np.eye(xa.shape[1])
+    pen[-1, -1] = 0.0
+    return x, np.linalg.solve(xa.T @ xa + pen, xa.T @ z[3:])
+
+
+def test_attention_matches_closed_form_ridge(order_series):
+    rev = order_series.orderBy("month").toPandas()["revenue"].to_numpy()
+    _, beta = _closed_form_attention(rev)
+    model = forecast.attention_models(order_series).first()
+    assert np.allclose(model["coefficients"], beta[:-1]) and model["intercept"] == pytest.approx(beta[-1])
+    assert model["months"] == len(rev) and model["scale"] == pytest.approx(rev.std())
 
 
 def test_spark_window_features_equal_numpy(order_series):
-    """The Spark window columns give the same features as the NumPy windows."""
-    feats = forecast.attention_features(order_series).toPandas().sort_values("month")
-    rev = feats["revenue"].to_numpy()
-    m = forecast._attention_fit(rev, 1.0)
-    coef, icpt, fitted, r2 = forecast._fit_from_features(feats, 1.0)
-    assert np.allclose(coef, m["coef"], rtol=1e-9, atol=1e-12) and icpt == pytest.approx(m["icpt"], abs=1e-12)
-    lin = forecast.linear_features(order_series).toPandas().sort_values("month")
+    """The Spark window columns give the same features as NumPy windows."""
+    feats = forecast.attention_features(order_series).orderBy("month").toPandas()
+    x, _ = _closed_form_attention(feats["revenue"].to_numpy())
+    assert np.allclose(feats[list(forecast.ATTENTION_FEATURES)].iloc[3:].to_numpy(float), x, rtol=1e-9, atol=1e-12)
+    lin = forecast.linear_features(order_series).orderBy("month").toPandas()
     s = lin["revenue"]
     assert np.allclose(lin["rolling_avg_3"].dropna(), s.rolling(3).mean().dropna(), rtol=1e-12)
     assert lin["month_idx"].tolist() == list(range(len(lin)))
 
 
+@pytest.mark.parametrize("fit", [forecast.forecast_linear, forecast.forecast_attention])
+def test_missing_month_comes_last(spark, fit):
+    """A NULL month is the newest one in the lags, in the last value and in the report."""
+    rows = [("a", f"2020-{i + 1:02d}", float(v)) for i, v in enumerate([10, 12, 9, 14, 13, 15, 11])]
+    got = _by_kind(fit(spark.createDataFrame([("a", None, 5.0), *rows], "series_key string, month string, revenue double")))
+    assert [r["month"] for r in got["historical"]] == [m for _, m, _ in rows] + [None]
+    assert got["forecast"][0]["last_month_revenue"] == 5.0
+
+
 def _series(spark, key, values):
     rows = [(key, f"2020-{i + 1:02d}", float(v)) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "series_key string, month string, revenue double")
