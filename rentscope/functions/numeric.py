@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rentscope.functions.calendar import MICROS_PER_DAY
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -17,7 +19,7 @@ def _c(col) -> Column:
 def ratio(num, den, num_type: str = "decimal(28,2)") -> Column:
     """num / den as DECIMAL with at least 10 fractional digits; NULL when
     den is 0 or NULL (instead of an ANSI division error)."""
-    return F.try_divide(_c(num).cast(num_type), _c(den).cast("decimal(20,0)"))
+    return F.try_divide(_c(num).cast(num_type), _c(den).cast("decimal(38,0)"))
 
 
 def round_ratio(num, den, digits: int, num_type: str = "decimal(28,2)") -> Column:
@@ -29,6 +31,6 @@ def money(col, digits: int = 2) -> Column:
     return F.round(_c(col), digits).cast("double")
 
 
-def safe_pct(part, whole, digits: int = 1) -> Column:
-    """100 * part / whole rounded; NULL when whole is 0."""
-    return F.round(F.try_divide(_c(part).cast("decimal(28,6)") * 100, _c(whole).cast("decimal(28,6)")), digits).cast("double")
+def row_micros(n_rows) -> Column:
+    """Microseconds of ``n_rows`` days as DECIMAL, which holds any number of rows."""
+    return _c(n_rows).cast("decimal(20,0)") * F.lit(MICROS_PER_DAY).cast("decimal(11,0)")

@@ -25,6 +25,11 @@ shape; operators never see the stored layout. Columns:
 * ``customer_dim`` optional: customer_id, name, email, active, country --
   customers with a country (``customer`` inner-joined with ``customer_geo``),
   for adapters that can read both from one scan.
+* ``film_dim``     optional: film_id, title, genre -- ``film`` inner-joined with
+  ``film_genre``, for adapters that can read both from one scan.
+* ``rental_line``  optional: rental_id, customer_id, rental_date, return_date,
+  film_id, store_id, amount, has_payment -- ``rental_item`` inner-joined with
+  ``rental``, for adapters that can build it from one scan of the lines.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,18 @@ class RentalData:
     film_genre: DataFrame
     rental_paid: DataFrame | None = None
     customer_dim: DataFrame | None = None
+    film_dim: DataFrame | None = None
+    rental_line: DataFrame | None = None
+
+    def for_customer(self, customer_id: int) -> "RentalData":
+        """The rows of one customer; facts are cut before they are aggregated."""
+        own = F.col("customer_id") == F.lit(customer_id)
+        rental = self.rental.filter(own)
+        ids = rental.select("rental_id")
+        return self.with_tables(
+            customer=self.customer.filter(own), customer_geo=self.customer_geo.filter(own), rental=rental,
+            payment=self.payment.join(ids, "rental_id", "left_semi"),
+            rental_item=self.rental_item.join(ids, "rental_id", "left_semi"))
 
     def with_tables(self, **tables: DataFrame) -> "RentalData":
         """Replace tables; a precomputed ``rental_paid`` is dropped when the
@@ -59,6 +77,10 @@ def _invalidate(tables: dict) -> dict:
         tables["rental_paid"] = None
     if ("customer" in tables or "customer_geo" in tables) and "customer_dim" not in tables:
         tables["customer_dim"] = None
+    if ("rental" in tables or "rental_item" in tables) and "rental_line" not in tables:
+        tables["rental_line"] = None
+    if ("film" in tables or "film_genre" in tables) and "film_dim" not in tables:
+        tables["film_dim"] = None
     return tables
 
 
@@ -72,8 +94,10 @@ class LazyRentalData(RentalData):
     and join); a query touching two tables then builds two, not nine.
     """
 
-    def __init__(self, builders: Mapping[str, Callable[[], DataFrame | None]]):
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame | None]],
+                 of_customer: Callable[[int], RentalData] | None = None):
         object.__setattr__(self, "_builders", dict(builders))
+        object.__setattr__(self, "_of_customer", of_customer)
         object.__setattr__(self, "_built", {})
 
     def __getattribute__(self, name):
@@ -85,6 +109,10 @@ class LazyRentalData(RentalData):
             return built[name]
         return object.__getattribute__(self, name)
 
+    def for_customer(self, customer_id: int) -> RentalData:
+        """As in ``RentalData``; from the stored tables if the adapter can."""
+        return self._of_customer(customer_id) if self._of_customer else super().for_customer(customer_id)
+
     def with_tables(self, **tables: DataFrame) -> "RentalData":
         builders = dict(object.__getattribute__(self, "_builders"))
         built = object.__getattribute__(self, "_built")

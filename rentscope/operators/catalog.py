@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from rentscope.functions import month_key, month_label, month_start
 from rentscope.model import RentalData
+from rentscope.plans import rental_lines
 
 
-def rental_genres(data: RentalData) -> DataFrame:
-    """Distinct (rental_id, genre) pairs: the item -> film -> genre bridge.
+def rental_genres(data: RentalData, *columns: str) -> DataFrame:
+    """Distinct (rental_id, genre) pairs, with ``columns`` of the rental: the
+    item -> film -> genre bridge over items of existing rentals.
 
     A film in two genres counts its rental in both. The film table itself is
-    not joined: it only carries the title, and every film_genre row refers
-    to an existing film (and every item to an existing rental).
+    not joined: it only carries the title.
     """
-    items = data.rental_item.select("rental_id", "film_id")
-    return items.join(data.film_genre.select("film_id", "genre"), "film_id").select("rental_id", "genre").distinct()
+    lines = rental_lines(data).select("rental_id", *columns, "film_id")
+    return lines.join(data.film_genre.select("film_id", "genre"), "film_id").select("rental_id", *columns, "genre").distinct()
 
 
 def genre_counts(data: RentalData) -> DataFrame:
@@ -30,12 +31,8 @@ def genre_counts(data: RentalData) -> DataFrame:
 
 
 def genre_monthly(data: RentalData) -> DataFrame:
-    """month, label, genre, rental_count by rental month.
-
-    Pairs are de-duplicated before they meet the rental table, so that join
-    sees one row per (rental, genre) instead of one per item.
-    """
-    pairs = rental_genres(data).join(data.rental.select("rental_id", "rental_date"), "rental_id")
+    """month, label, genre, rental_count by rental month."""
+    pairs = rental_genres(data, "rental_date")
     return (
         pairs.groupBy(month_start("rental_date").alias("m"), "genre")
         .agg(F.count(F.lit(1)).cast("long").alias("rental_count"))

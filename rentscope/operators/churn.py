@@ -1,8 +1,8 @@
 """Churn features, a balanced random forest, its report and at-risk list.
 
 Features are one Spark aggregation (per rental, then per customer). The
-forest is trained with ``spark.ml`` (distributed tree aggregation); the
-split is a per-row hash, so it needs no global ordering or shuffle.
+forest is trained with ``spark.ml`` (distributed tree aggregation). The split
+is exact in each class, by a hash of the customer, without a global ordering.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentscope.functions import as_date, days_between, duration_micros, round_ratio
-from rentscope.functions.calendar import MICROS_PER_DAY
+from rentscope.functions import as_date, days_between, duration_micros, round_ratio, row_micros
 from rentscope.model import RentalData
 from rentscope.operators.rfm import latest_rental_date
 from rentscope.plans import customer_rollup, cut_lineage, paid_rentals
@@ -58,50 +57,85 @@ def churn_features(data: RentalData, as_of=None) -> DataFrame:
         F.col("rentals").cast("long").alias("frequency"),
         F.coalesce(F.round("paid", 2).cast("double"), F.lit(0.0)).alias("monetary"),
         F.coalesce(round_ratio("paid", "n_amt", 2).cast("double"), F.lit(0.0)).alias("avg_payment"),
-        F.coalesce(round_ratio("dur_us_w", F.col("n_rows") * MICROS_PER_DAY, 2, "decimal(28,0)").cast("double"),
+        F.coalesce(round_ratio("dur_us_w", row_micros("n_rows"), 2, "decimal(28,0)").cast("double"),
                    F.lit(0.0)).alias("avg_duration"),
     )
     return feats.withColumn("is_churn", (F.col("recency_days") > CHURN_AFTER_DAYS).cast("int"))
 
 
+# Fixed values of the split's hash: an odd multiplier and the modulus; buckets of it that are counted.
+HASH_FACTOR, HASH_SIZE, HASH_BUCKETS = 2654435761, 1 << 32, 1 << 16
+
+
+def with_split(features: DataFrame, test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """``features`` with split: 'test' for ``test_fraction`` of each class,
+    rounded half up, those with the smallest hash of customer_id, else 'train'.
+
+    Customers are counted by class and hash bucket; the counts, a fixed number
+    of rows a class, tell in which bucket the last test customer lies, and only
+    that bucket's customers are ranked. So nothing is sorted as a whole.
+    """
+    hashed = F.pmod(F.col("customer_id").cast("decimal(20,0)") * HASH_FACTOR, F.lit(HASH_SIZE)).cast("long")
+    rows = features.withColumn("_hash", hashed).withColumn("_bucket", F.floor(F.col("_hash") / (HASH_SIZE // HASH_BUCKETS)).cast("int"))
+    counts = rows.groupBy("is_churn", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    classes, ordered = Window.partitionBy("is_churn"), Window.partitionBy("is_churn").orderBy("_bucket")
+    wanted = F.floor(F.sum("n").over(classes) * F.lit(test_fraction) + 0.5)
+    counts = counts.select("is_churn", "_bucket", "n", wanted.alias("wanted"), F.sum("n").over(ordered).alias("upto"))
+    # One row a class: the first bucket that reaches the number wanted, and what is still open there.
+    edge = counts.filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.greatest("wanted", F.lit(1)))).select(
+        "is_churn", F.col("_bucket").alias("_edge"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("_open"))
+    rows = rows.join(F.broadcast(edge), "is_churn")
+    rank = F.row_number().over(Window.partitionBy("is_churn", "_bucket").orderBy("_hash", "customer_id"))
+    ranked = rows.filter(F.col("_bucket") == F.col("_edge")).withColumn("split", F.when(rank <= F.col("_open"), "test").otherwise("train"))
+    others = rows.filter(F.col("_bucket") != F.col("_edge")).withColumn("split", F.when(F.col("_bucket") < F.col("_edge"), "test").otherwise("train"))
+    return ranked.unionByName(others).select(*features.columns, "split")
+
+
+def split_weights(features: DataFrame, test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """is_churn, split, customers, class_weight (n / (2 * n of the class) over the training rows)."""
+    counts = with_split(features, test_fraction).groupBy("is_churn", "split").agg(F.count(F.lit(1)).alias("customers"))
+    train = F.when(F.col("split") == "train", F.col("customers"))
+    total, own = F.sum(train).over(Window.partitionBy()), F.sum(train).over(Window.partitionBy("is_churn"))
+    return counts.select("is_churn", "split", "customers", F.round(F.try_divide(total, 2.0 * own), 6).alias("class_weight"))
+
+
 @dataclass
 class ChurnResult:
     scores: DataFrame          # features + split, churn_predicted, churn_probability
-    model: PipelineModel
+    model: PipelineModel | None
     features: tuple[str, ...]
+    status: str = "ok"
 
-    def feature_importance(self) -> dict[str, float]:
+    def feature_importance(self) -> dict[str, float | None]:
+        if self.model is None:
+            return dict.fromkeys(self.features)
         forest = self.model.stages[-1]
         return {f: round(float(v), 4) for f, v in zip(self.features, forest.featureImportances.toArray())}
 
 
-def _split_column(seed: int, test_fraction: float):
-    """'test' for about ``test_fraction`` of the rows of each class, by a
-    seeded hash of the customer key (stable across reruns and retries)."""
-    u = F.pmod(F.xxhash64(F.col("customer_id"), F.lit(seed)), F.lit(10_000)) / 10_000.0
-    return F.when(u < test_fraction, F.lit("test")).otherwise(F.lit("train"))
-
-
 def train_churn(features: DataFrame, feature_cols=FEATURES, seed: int = SEED,
                 num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH,
                 test_fraction: float = TEST_FRACTION) -> ChurnResult:
-    """Fit scaler + balanced forest on the train split, score every customer."""
+    """Fit scaler + balanced forest on the train split, score every customer.
+
+    With fewer than MIN_CUSTOMERS customers (status 'too_few_customers') or one
+    class only ('one_class') nothing is fitted: the scores are the features with
+    NULL split, prediction and probability.
+    """
     feature_cols = tuple(feature_cols)
-    # One row per customer, spread over every core before it is checkpointed:
-    # each forest pass then runs as that many tasks (after AQE coalescing a
-    # small feature table would otherwise be one partition, one task).
-    parallelism = features.sparkSession.sparkContext.defaultParallelism
-    data = cut_lineage(features.withColumn("split", _split_column(seed, test_fraction)).repartition(parallelism))
+    # One row per customer, dealt by key into partitions sized to the data.
+    data = cut_lineage(with_split(features, test_fraction).repartition("customer_id"))
     stats = data.agg(
         F.count(F.lit(1)).alias("n"), F.sum("is_churn").alias("pos"),
         F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("n_train"),
         F.sum(F.when((F.col("split") == "train") & (F.col("is_churn") == 1), 1).otherwise(0)).alias("pos_train"),
     ).first()
     n, pos = stats["n"], stats["pos"] or 0
-    if n < MIN_CUSTOMERS:
-        raise ValueError(f"too few customers for churn model: {n} < {MIN_CUSTOMERS}")
-    if pos == 0 or pos == n:
-        raise ValueError(f"all {n} customers have the same churn label")
+    status = "too_few_customers" if n < MIN_CUSTOMERS else "one_class" if pos in (0, n) else "ok"
+    if status != "ok":
+        blank = {"split": "string", "churn_predicted": "int", "churn_probability": "double"}
+        scores = data.drop("split").select("*", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
+        return ChurnResult(scores, None, feature_cols, status)
     n_train, pos_train = stats["n_train"], stats["pos_train"] or 0
     neg_train = n_train - pos_train
     # Balanced class weights: n / (classes * n_class), from the train split.
@@ -129,7 +163,7 @@ def train_churn(features: DataFrame, feature_cols=FEATURES, seed: int = SEED,
 
 
 def churn_report(result: ChurnResult) -> DataFrame:
-    """One row: accuracy (test split), accuracy_pct, total_customers,
+    """One row: accuracy (test split), accuracy_pct, status, total_customers,
     predicted_churn, predicted_retain, churn_rate_pct, imp_<feature>...
     Model figures are rounded half to even, as Python rounds them."""
     s = result.scores
@@ -145,10 +179,10 @@ def churn_report(result: ChurnResult) -> DataFrame:
     return agg.select(
         F.bround(acc, 4).alias("accuracy"),
         F.bround(acc * 100, 1).alias("accuracy_pct"),
-        "total_customers", "predicted_churn",
+        F.lit(result.status).alias("status"), "total_customers", "predicted_churn",
         (F.col("total_customers") - F.col("predicted_churn")).alias("predicted_retain"),
         F.bround(F.col("predicted_churn") * 100.0 / F.col("total_customers"), 1).alias("churn_rate_pct"),
-        *[F.lit(v).alias(f"imp_{k}") for k, v in imp.items()],
+        *[F.lit(v).cast("double").alias(f"imp_{k}") for k, v in imp.items()],
     )
 
 

@@ -1,9 +1,9 @@
 """Customer reports: summary, search, detail (lookup and all-customer batch),
 history, top spenders, rentals-vs-revenue, spending tiers.
 
-Every lookup by ``customer_id`` is a filter on the batch form, so the
-filter is pushed into the scans; the batch forms compute every customer
-in one pass, for exports or a materialised serving table. Lookups are
+A lookup by ``customer_id`` first cuts the facts to the customer's rentals
+and then runs the same plan; the batch forms compute every customer in one
+pass, for exports or a materialised serving table. Lookups are
 ordered as the original pages; batch forms are not sorted globally (a
 total sort of every customer's history would only add a range shuffle).
 """
@@ -12,20 +12,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentscope.functions import (
-    as_date, duration_micros, money, month_label, month_start, round_ratio,
+    as_date, duration_micros, money, month_label, month_start, round_ratio, row_micros,
 )
-from rentscope.functions.calendar import MICROS_PER_DAY
 from rentscope.model import RentalData
 from rentscope.operators.catalog import rental_genres
-from rentscope.plans import customer_rollup, paid_rentals, top_k_per_group
+from rentscope.plans import customer_rollup, films, paid_rentals, rental_lines, top_k_per_group
 
 
-def _only(df: DataFrame, customer_id: int | None) -> DataFrame:
-    return df if customer_id is None else df.filter(F.col("customer_id") == F.lit(customer_id))
+def _only(data: RentalData, customer_id: int | None) -> RentalData:
+    return data if customer_id is None else data.for_customer(customer_id)
 
 
 def _dims(data: RentalData) -> DataFrame:
@@ -55,7 +54,7 @@ def customer_summary(data: RentalData) -> DataFrame:
         F.col("rentals").cast("long").alias("rental_count"),
         money("paid").alias("total_revenue"),
         round_ratio("paid", "n_amt", 2).cast("double").alias("avg_payment"),
-        round_ratio("dur_us_w", F.col("n_rows") * MICROS_PER_DAY, 1, "decimal(28,0)")
+        round_ratio("dur_us_w", row_micros("n_rows"), 1, "decimal(28,0)")
         .cast("double").alias("avg_duration"),
     )
     return out.orderBy(F.col("total_revenue").desc_nulls_first(), F.col("customer_id"))
@@ -91,6 +90,18 @@ def rentals_vs_revenue(data: RentalData) -> DataFrame:
     )
 
 
+def tier_of(spend: Column, cuts: Sequence[float], labels: Sequence[str] | None = None) -> Column:
+    """The label of the tier that ``spend`` falls into; 'tier_0' and so on by default."""
+    cuts = list(cuts)
+    labels = list(labels) if labels else [f"tier_{i}" for i in range(len(cuts) + 1)]
+    if len(labels) != len(cuts) + 1:
+        raise ValueError("need one label more than cuts")
+    tier = F.lit(labels[0])
+    for cut, label in zip(cuts, labels[1:]):
+        tier = F.when(spend >= F.lit(cut), F.lit(label)).otherwise(tier)
+    return tier
+
+
 def spending_tiers(data: RentalData, cuts: Sequence[float] = (100.0, 150.0),
                    labels: Sequence[str] | None = None) -> DataFrame:
     """tier, customers, revenue: customers bucketed by total spend.
@@ -98,33 +109,41 @@ def spending_tiers(data: RentalData, cuts: Sequence[float] = (100.0, 150.0),
     ``cuts`` are ascending lower edges of the tiers after the first; a
     customer spending exactly a cut value falls into the higher tier.
     """
-    cuts = list(cuts)
-    labels = list(labels) if labels else [f"tier_{i}" for i in range(len(cuts) + 1)]
-    if len(labels) != len(cuts) + 1:
-        raise ValueError("need one label more than cuts")
     per_customer = customer_rollup(paid_rentals(data)).join(
         data.customer.select("customer_id"), "customer_id", "left_semi"
     )
-    spend = F.round("paid", 2)
-    tier = F.lit(labels[0])
-    for cut, label in zip(cuts, labels[1:]):
-        tier = F.when(spend >= F.lit(cut), F.lit(label)).otherwise(tier)
     return (
-        per_customer.groupBy(tier.alias("tier"))
-        .agg(F.count(F.lit(1)).cast("long").alias("customers"), F.sum("paid").alias("rev"))
+        per_customer.groupBy(tier_of(F.round("paid", 2), cuts, labels).alias("tier"))
+        .agg(F.count(F.lit(1)).cast("long").alias("customers"), F.sum("paid").alias("rev"), F.min("paid").alias("_least"))
+        .orderBy(F.col("_least").asc_nulls_first(), "tier")
         .select("tier", "customers", money("rev").alias("revenue"))
-        .orderBy("tier")
     )
 
 
 # -- search ---------------------------------------------------------------
 
+def _like(q: str) -> str:
+    """``q`` as a LIKE pattern: a backslash takes the next character as it is,
+    which LIKE knows before ``%``, ``_`` and itself only; one at the end stands
+    for itself."""
+    out, escaped = [], False
+    for c in q:
+        if escaped:
+            out.append("\\" + c if c in "%_\\" else c)
+            escaped = False
+        elif c == "\\":
+            escaped = True
+        else:
+            out.append(c)
+    return "".join(out) + ("\\\\" if escaped else "")
+
+
 def customer_search(data: RentalData, q: str, limit: int = 20) -> DataFrame:
     """customer_id, name, email, country, active whose full name contains
     ``q`` (case-insensitive); ``%`` and ``_`` in q act as wildcards."""
     if not q:
         raise ValueError("q must not be empty")
-    pattern = F.lower(F.lit(f"%{q}%"))
+    pattern = F.lower(F.lit(f"%{_like(q)}%"))
     return (
         _dims(data)
         .filter(F.like(F.lower(F.col("name")), pattern))
@@ -142,7 +161,7 @@ def customer_kpi(data: RentalData, customer_id: int | None = None) -> DataFrame:
     With ``customer_id`` one row (also for an unknown id: counts 0, rest
     NULL); without, one row per customer with a paid rental.
     """
-    paid = _only(paid_rentals(data), customer_id)
+    paid = paid_rentals(_only(data, customer_id))
     aggs = [
         F.count(F.lit(1)).alias("rentals"), F.sum("paid").alias("paid"), F.sum("n_amt").alias("n_amt"),
         F.min("rental_date").alias("first_ts"), F.max("rental_date").alias("last_ts"),
@@ -161,7 +180,7 @@ def customer_kpi(data: RentalData, customer_id: int | None = None) -> DataFrame:
 
 def customer_timeline(data: RentalData, customer_id: int | None = None) -> DataFrame:
     """[customer_id,] month ('Mon yyyy'), month_sort (first day), rental_count."""
-    r = _only(data.rental, customer_id)
+    r = _only(data, customer_id).rental
     out = (
         r.groupBy("customer_id", month_start("rental_date").alias("month_sort"))
         .agg(F.count(F.lit(1)).cast("long").alias("rental_count"))  # one row per rental
@@ -173,11 +192,11 @@ def customer_timeline(data: RentalData, customer_id: int | None = None) -> DataF
 
 
 def _top_genres_ranked(data: RentalData, customer_id: int | None, n: int) -> DataFrame:
-    pairs = rental_genres(data).join(_only(data.rental, customer_id).select("rental_id", "customer_id"), "rental_id")
+    pairs = rental_genres(_only(data, customer_id), "customer_id")
     counts = pairs.groupBy("customer_id", "genre").agg(F.count(F.lit(1)).cast("long").alias("rental_count"))
     return top_k_per_group(
         counts, ["customer_id"], [F.col("rental_count").desc(), F.col("genre").asc_nulls_last()], n,
-        rank_col="genre_rank",
+        salt_cols=["genre"], rank_col="genre_rank",
     )
 
 
@@ -190,17 +209,11 @@ def customer_top_genres(data: RentalData, customer_id: int | None = None, n: int
 
 
 def _history_rows(data: RentalData, customer_id: int | None, paid_only: bool) -> DataFrame:
-    items = data.rental_item
+    lines = rental_lines(_only(data, customer_id))
     if paid_only:
-        items = items.filter(F.col("has_payment"))
-    r = _only(data.rental, customer_id).select("rental_id", "customer_id", "rental_date", "return_date")
-    rows = (
-        items.select("rental_id", "film_id", "amount")
-        .join(r, "rental_id")
-        .join(data.film.select("film_id", F.col("title").alias("film_title")), "film_id")
-        .join(data.film_genre.select("film_id", "genre"), "film_id")
-    )
-    return rows
+        lines = lines.filter(F.col("has_payment"))
+    lines = lines.select("rental_id", "customer_id", "rental_date", "return_date", "film_id", "amount")
+    return lines.join(films(data).withColumnRenamed("title", "film_title"), "film_id")
 
 
 def _history_ranked(data: RentalData, customer_id: int | None, n: int) -> DataFrame:
@@ -304,3 +317,26 @@ def customer_pages(data: RentalData, genres: int = 8, history: int = 100) -> Dat
         .join(top, "customer_id", "left")
         .join(lines, "customer_id", "left")
     )
+
+
+def customer_pages_text(data: RentalData, genres: int = 8, history: int = 100) -> DataFrame:
+    """``customer_pages`` as text: customer_id, kpi, timeline, genres and history,
+    fields joined by '|' and entries by ';' in the page's order, money in
+    cents, missing fields left out."""
+
+    def line(entry: Column, *fields: str) -> Column:
+        return F.concat_ws("|", *[entry[f].cast("string") if isinstance(f, str) else f(entry) for f in fields])
+
+    def cents(name: str):
+        return lambda entry: F.round(entry[name] * 100).cast("long").cast("string")
+
+    def entries(column: str, *fields) -> Column:
+        return F.array_join(F.transform(column, lambda e: line(e, *fields)), ";").alias(column)
+
+    return customer_pages(data, genres, history).select(
+        "customer_id",
+        line(F.col("kpi"), "total_rentals", cents("total_spent"), cents("avg_transaction"), "first_rental", "last_rental").alias("kpi"),
+        entries("timeline", "month_sort", "month", "rental_count"),
+        entries("genres", "genre", "rental_count"),
+        entries("history", "rental_id", "rental_date", "return_date", "film_title", "genre", cents("paid")),
+    )

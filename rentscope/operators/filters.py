@@ -1,88 +1,94 @@
-"""Global filters composed in front of any operator: month range and
-customer segment. Each returns a restricted ``RentalData``."""
+"""Global filters composed in front of any operator: month range, customer
+segment, spending tier and largest spenders. Each returns a restricted
+``RentalData`` in which rentals, payments and items agree, so every revenue
+figure under a filter is the same sum."""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentscope.functions import RfmThresholds
 from rentscope.model import RentalData
+from rentscope.operators.customers import tier_of, top_n_customers
 from rentscope.operators.rfm import segment_customers
-from rentscope.plans import cut_lineage, has_at_most, salted_semi_join
+from rentscope.plans import customer_rollup, paid_rentals
 
 
 def _month_bounds(start: str, end: str) -> tuple[dt.datetime, dt.datetime]:
     """'yyyy-MM' inclusive range -> [first instant, first instant after)."""
     y0, m0 = (int(x) for x in start.split("-"))
     y1, m1 = (int(x) for x in end.split("-"))
-    lo = dt.datetime(y0, m0, 1)
-    hi = dt.datetime(y1 + (m1 == 12), m1 % 12 + 1, 1)
-    return lo, hi
+    return dt.datetime(y0, m0, 1), dt.datetime(y1 + (m1 == 12), m1 % 12 + 1, 1)
 
 
-def restrict_months(data: RentalData, start: str, end: str) -> RentalData:
-    """Keep rentals rented and payments paid in months ``start``..``end``.
-
-    The bounds are timestamp literals, so the comparison is pushed into the
-    parquet scan (row groups outside the range are skipped; month-partitioned
-    facts are pruned by folder). Items follow their rental.
-    """
-    lo, hi = _month_bounds(start, end)
-
-    def within(col):
-        return (F.col(col) >= F.lit(lo).cast("timestamp_ntz")) & (F.col(col) < F.lit(hi).cast("timestamp_ntz"))
-
-    rental = data.rental.filter(within("rental_date"))
+def _of_rentals(data: RentalData, rental: DataFrame) -> RentalData:
+    """``data`` with ``rental`` and the payments and items that belong to it."""
+    ids = rental.select("rental_id")
     return data.with_tables(
         rental=rental,
-        payment=data.payment.filter(within("payment_date")),
-        rental_item=data.rental_item.join(rental.select("rental_id"), "rental_id", "left_semi"),
+        payment=data.payment.join(ids, "rental_id", "left_semi"),
+        rental_item=data.rental_item.join(ids, "rental_id", "left_semi"),
     )
 
 
-def restrict_segments(data: RentalData, segments: Sequence[str],
-                      thresholds: RfmThresholds = RfmThresholds(),
-                      broadcast_rows: int = 1_000_000) -> RentalData:
-    """Keep only customers whose RFM segment (on the unfiltered data) is in
-    ``segments``.
+def restrict_months(data: RentalData, start: str, end: str, axis: str = "payment") -> RentalData:
+    """Keep what falls in the months ``start``..``end`` of one axis.
 
-    The customer list is computed once and stored in the checkpoint folder.
-    If it has at most ``broadcast_rows`` customers it is broadcast and the
-    facts are filtered where they are read (no shuffle); a longer list is
-    semi-joined with salting, so a customer with a large share of the
-    rentals is split over many tasks.
+    axis 'payment': payments made then, the items they pay for, and the
+    rentals that have one. axis 'rental': rentals rented then, with all their
+    payments and items. The bounds are timestamp literals, so the comparison
+    reaches the scan (or prunes the folders of month-partitioned facts).
     """
-    keep = cut_lineage(segment_customers(data, segments, thresholds))
-    if has_at_most(keep, broadcast_rows):
-        small = F.broadcast(keep)
+    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in _month_bounds(start, end))
 
-        def semi(facts, salt_from):
-            return facts.join(small, "customer_id", "left_semi")
-    else:
-        def semi(facts, salt_from):
-            return salted_semi_join(facts, keep, "customer_id", salt_from=salt_from)
+    def within(column: str):
+        return (F.col(column) >= lo) & (F.col(column) < hi)
 
-    rental = semi(data.rental, "rental_id")
+    if axis == "rental":
+        return _of_rentals(data, data.rental.filter(within("rental_date")))
+    if axis != "payment":
+        raise ValueError(f"unknown axis {axis!r}")
+    payment = data.payment.filter(within("payment_date"))
     return data.with_tables(
+        rental=data.rental.join(payment.select("rental_id"), "rental_id", "left_semi"),
+        payment=payment,
+        rental_item=data.rental_item.filter(F.col("has_payment") & within("payment_date")),
+    )
+
+
+def restrict_customers(data: RentalData, keep: DataFrame) -> RentalData:
+    """Keep the customers of ``keep`` (customer_id, one row each) and their rentals.
+
+    Customers meet the rentals, one row each; payments and items are then cut
+    by rental, so no fact is shuffled by customer and a customer with a large
+    share of the facts doesn't gather them in one task.
+    """
+    keep = keep.select("customer_id")
+    cut = _of_rentals(data, data.rental.join(keep, "customer_id", "left_semi"))
+    return cut.with_tables(
         customer=data.customer.join(keep, "customer_id", "left_semi"),
         customer_geo=data.customer_geo.join(keep, "customer_id", "left_semi"),
-        rental=rental,
-        payment=semi(data.payment, ["rental_id", "payment_date", "amount"]),
-        rental_item=data.rental_item.join(rental.select("rental_id"), "rental_id", "left_semi"),
     )
 
 
 def with_filters(data: RentalData, months: tuple[str, str] | None = None,
-                 segments: Sequence[str] | None = None,
-                 thresholds: RfmThresholds = RfmThresholds(),
-                 broadcast_rows: int = 1_000_000) -> RentalData:
-    """Apply the dashboard's global filters; the segment is decided first,
-    on all data, then the month range is applied."""
+                 segments: Sequence[str] | None = None, thresholds: RfmThresholds = RfmThresholds(),
+                 tiers: Sequence[str] | None = None, cuts: Sequence[float] = (100.0, 150.0),
+                 labels: Sequence[str] | None = None, top_n: int | None = None,
+                 axis: str = "payment") -> RentalData:
+    """Apply the dashboard's global filters: RFM ``segments``, spending ``tiers``
+    (as ``customers.spending_tiers`` names them) and the ``top_n`` largest
+    spenders are decided on all data, then the month range is applied."""
+    whole = data
     if segments:
-        data = restrict_segments(data, segments, thresholds, broadcast_rows)
-    if months:
-        data = restrict_months(data, *months)
-    return data
+        data = restrict_customers(data, segment_customers(whole, segments, thresholds))
+    if tiers:
+        spend = customer_rollup(paid_rentals(whole))
+        data = restrict_customers(data, spend.filter(tier_of(F.round("paid", 2), cuts, labels).isin(list(tiers))))
+    if top_n is not None:
+        data = restrict_customers(data, top_n_customers(whole, top_n))
+    return restrict_months(data, *months, axis=axis) if months else data

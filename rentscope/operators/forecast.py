@@ -140,7 +140,7 @@ def attention_features(series: DataFrame) -> DataFrame:
     ).withColumn("z", (F.col("revenue") - F.col("mean")) / F.col("scale"))
     lagged = scaled.select("*", *[F.lag("z", WINDOW - k).over(months).alias(f"z{k}") for k in range(WINDOW)])
     vector = _attention_vector(*[F.col(f"z{k}") for k in range(WINDOW)])
-    return lagged.select(*scaled.columns, *[c.alias(name) for c, name in zip(vector, ATTENTION_FEATURES)])
+    return lagged.select(*scaled.columns, *[F.when(F.col("z0").isNotNull(), c).alias(name) for c, name in zip(vector, ATTENTION_FEATURES)])
 
 
 # -- fit ------------------------------------------------------------------

@@ -137,7 +137,7 @@ def duration_histogram(data: RentalData, cap: int = 12, bin_days: int = 1) -> Da
 
 def store_summary(data: RentalData) -> DataFrame:
     """store_label, unique_customers, rental_count, revenue per store (paid items)."""
-    items = data.rental_item.filter(F.col("has_payment")).select("rental_id", "store_id", "amount")
+    items = data.rental_item.filter(F.col("has_payment") & F.col("store_id").isNotNull()).select("rental_id", "store_id", "amount")
     # Join first, then reduce to one row per (store, rental): that grouping is
     # satisfied by the join's rental_id partitioning, so items shuffle once.
     joined = items.join(data.rental.select("rental_id", "customer_id"), "rental_id")

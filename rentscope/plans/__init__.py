@@ -1,13 +1,8 @@
-"""Physical-plan helpers: pre-aggregation, checked broadcast, skew-safe
-top-k, lineage cuts. Everything else is left to Catalyst and AQE."""
+"""Physical-plan helpers: pre-aggregation, skew-safe top-k, lineage cuts.
+Everything else is left to Catalyst and AQE."""
 
-from rentscope.plans.broadcast import bounded_broadcast, has_at_most
 from rentscope.plans.lineage import cut_lineage
-from rentscope.plans.preagg import customer_rollup, paid_rentals, payments_per_rental
-from rentscope.plans.skew import salted_semi_join
+from rentscope.plans.preagg import customer_rollup, films, paid_rentals, payments_per_rental, rental_lines
 from rentscope.plans.topk import top_k_per_group
 
-__all__ = [
-    "bounded_broadcast", "cut_lineage", "has_at_most", "customer_rollup", "paid_rentals",
-    "payments_per_rental", "salted_semi_join", "top_k_per_group",
-]
+__all__ = ["cut_lineage", "customer_rollup", "films", "paid_rentals", "payments_per_rental", "rental_lines", "top_k_per_group"]

@@ -40,6 +40,22 @@ def paid_rentals(data) -> DataFrame:
     return data.rental.select(*RENTAL_COLS).join(payments_per_rental(data.payment), "rental_id")
 
 
+def rental_lines(data) -> DataFrame:
+    """rental_id, customer_id, rental_date, return_date, film_id, store_id, amount,
+    has_payment: a row for each rented item and the payment made for it."""
+    if data.rental_line is not None:
+        return data.rental_line
+    items = data.rental_item.select("rental_id", "film_id", "store_id", "amount", "has_payment")
+    return items.join(data.rental.select(*RENTAL_COLS), "rental_id")
+
+
+def films(data) -> DataFrame:
+    """film_id, title, genre: a row for each genre of a film."""
+    if data.film_dim is not None:
+        return data.film_dim
+    return data.film.select("film_id", "title").join(data.film_genre.select("film_id", "genre"), "film_id")
+
+
 def customer_rollup(paid: DataFrame, *extra) -> DataFrame:
     """Per customer: rentals, paid, n_rows, n_amt (+ extra aggregate columns)."""
     return paid.groupBy("customer_id").agg(

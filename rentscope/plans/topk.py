@@ -8,31 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _partial_limit_applies(df: DataFrame, k: int) -> bool:
-    threshold = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    return 0 < k <= int(threshold)
-
-
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
-                    salt_cols: Sequence[str] | None = None, salt_buckets: int = 32,
-                    rank_col: str = "rank") -> DataFrame:
+                    salt_cols: Sequence[str], salt_buckets: int = 32, rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows of every group under ``order`` (a total order).
 
-    For k up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark plans
-    a partial WindowGroupLimit before the shuffle: every map task keeps at
-    most ``k`` rows per group, so a group holding a third of the rows sends
-    at most ``k`` rows per map task to the final window.
-
-    Above that threshold, and when ``salt_cols`` are given, a first phase
-    ranks rows inside (group, hash(salt_cols) % salt_buckets) buckets, which
-    spreads a hot group over ``salt_buckets`` tasks and keeps at most ``k``
-    per bucket; the final rank then sees at most ``k * salt_buckets`` rows
-    per group. Either way the result is the exact top-k.
+    A first phase ranks rows inside (group, hash(salt_cols) % salt_buckets),
+    which spreads a hot group over ``salt_buckets`` tasks and leaves at most
+    ``k`` of a bucket; the second ranks at most ``k * salt_buckets`` rows of a
+    group. For small ``k`` Spark also drops rows before either shuffle.
     """
     group_cols = list(group_cols)
-    if salt_cols and not _partial_limit_applies(df, k):
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets))
-        w1 = Window.partitionBy(*group_cols, salt).orderBy(*order)
-        df = df.withColumn("_rk1", F.row_number().over(w1)).filter(F.col("_rk1") <= k).drop("_rk1")
-    w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets))
+    within = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
+    first = df.withColumn("_salt", salt).withColumn(rank_col, F.row_number().over(within))
+    first = first.filter(F.col(rank_col) <= k).drop("_salt", rank_col)
+    final = Window.partitionBy(*group_cols).orderBy(*order)
+    return first.withColumn(rank_col, F.row_number().over(final)).filter(F.col(rank_col) <= k)

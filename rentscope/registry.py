@@ -8,8 +8,10 @@ the operator's own (top-n sizes, search text, thresholds).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rentscope import oracle
 from rentscope.functions import RfmThresholds, TUNED_THRESHOLDS
@@ -25,6 +27,9 @@ TIER_LABELS = ("1 low", "2 mid", "3 high")
 CHURN_AS_OF = "2001-09-01 00:00:00"
 FILTER_MONTHS = ("1997-01", "1999-12")
 FILTER_SEGMENTS = ("Champions", "Loyal")
+FILTER_TOP = 40
+KNOWN, UNKNOWN = 7, -1
+STRICT_THRESHOLDS = replace(TUNED_THRESHOLDS, champions_monetary=10**9, loyal_frequency=10**6, loyal_monetary=2_900_000)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,19 +43,21 @@ def _on_data(fn) -> Query:
     return lambda spark, sf_dir: fn(_data(spark, sf_dir))
 
 
-_CHURN: dict[tuple[int, str, tuple[str, ...]], churn.ChurnResult] = {}
-
 # The label is recency_days > 90, so the reference feature set leaks it; the
 # variant without recency shows what the other features predict.
 NO_RECENCY = tuple(f for f in churn.FEATURES if f != "recency_days")
 
 
-def _churn_result(spark: SparkSession, sf_dir: str, features=churn.FEATURES) -> churn.ChurnResult:
-    key = (id(spark), sf_dir, tuple(features))
-    if key not in _CHURN:
-        feats = churn.churn_features(_data(spark, sf_dir), as_of=CHURN_AS_OF)
-        _CHURN[key] = churn.train_churn(feats, feature_cols=features)
-    return _CHURN[key]
+def _of_segments(data):
+    return filters.with_filters(data, FILTER_MONTHS, FILTER_SEGMENTS, TUNED_THRESHOLDS)
+
+
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.withColumns({name: F.round(name, n) for name, n in digits.items()})
+
+
+def _churn_result(data, features=churn.FEATURES) -> churn.ChurnResult:
+    return churn.train_churn(churn.churn_features(data, as_of=CHURN_AS_OF), feature_cols=features)
 
 
 QUERIES: dict[str, Query] = {
@@ -89,9 +96,25 @@ QUERIES: dict[str, Query] = {
     "customer_history_full": _on_data(customers.customer_history_full),
     "customer_detail": _on_data(customers.customer_detail_batch),
     "customer_pages": _on_data(customers.customer_pages),
+    "customer_pages_text": _on_data(customers.customer_pages_text),
+    # lookups of one customer, known and unknown, and cuts that bite
+    "customer_kpi_one": _on_data(lambda d: customers.customer_kpi(d, KNOWN)),
+    "customer_kpi_unknown": _on_data(lambda d: customers.customer_kpi(d, UNKNOWN)),
+    "customer_timeline_one": _on_data(lambda d: customers.customer_timeline(d, KNOWN)),
+    "customer_top_genres_one": _on_data(lambda d: customers.customer_top_genres(d, KNOWN, n=3)),
+    "customer_history_one": _on_data(lambda d: customers.customer_history(d, KNOWN, n=10)),
+    "customer_history_full_one": _on_data(lambda d: customers.customer_history_full(d, KNOWN)),
+    "customer_history_unknown": _on_data(lambda d: customers.customer_history(d, UNKNOWN)),
+    "customer_top_genres_3": _on_data(lambda d: customers.customer_top_genres(d, n=3)),
+    "customer_history_10": _on_data(lambda d: customers.customer_history(d, n=10)),
+    "rfm_by_region_strict": _on_data(lambda d: rfm.rfm_by_region(d, STRICT_THRESHOLDS)),
     # global filters in front of an operator
-    "revenue_filtered": _on_data(lambda d: metrics.monthly_revenue_payments(
-        filters.with_filters(d, FILTER_MONTHS, FILTER_SEGMENTS, TUNED_THRESHOLDS))),
+    "revenue_filtered": _on_data(lambda d: metrics.monthly_revenue_payments(_of_segments(d))),
+    "kpi_filtered": _on_data(lambda d: metrics.kpi_summary(_of_segments(d))),
+    "store_filtered": _on_data(lambda d: metrics.store_summary(filters.with_filters(
+        d, FILTER_MONTHS, tiers=TIER_LABELS[1:2], cuts=TIER_CUTS, labels=TIER_LABELS))),
+    "customer_summary_filtered": _on_data(lambda d: customers.customer_summary(filters.with_filters(
+        d, FILTER_MONTHS, top_n=FILTER_TOP))),
     # forecasts
     "forecast_linear": _on_data(lambda d: forecast.forecast_linear(
         forecast.revenue_series(d, axis="rental"), horizon=3)),
@@ -101,17 +124,22 @@ QUERIES: dict[str, Query] = {
         forecast.revenue_series(d, axis="payment"), horizon=6)),
     "forecast_by_country": _on_data(lambda d: forecast.forecast_linear(
         forecast.revenue_series(d, axis="rental", by="country"), horizon=3)),
+    "linear_features": _on_data(lambda d: _rounded(forecast.linear_features(
+        forecast.revenue_series(d, axis="rental")), {"rolling_avg_3": 4})),
+    "attention_features": _on_data(lambda d: _rounded(forecast.attention_features(
+        forecast.revenue_series(d, axis="payment")),
+        {"mean": 4, "scale": 4, "z": 6, **dict.fromkeys(forecast.ATTENTION_FEATURES, 6)})),
     "forecast_attention": _on_data(lambda d: forecast.forecast_attention(
         forecast.revenue_series(d, axis="payment"))),
     "forecast_attention_by_country": _on_data(lambda d: forecast.forecast_attention(
         forecast.revenue_series(d, axis="payment", by="country"))),
     # churn
     "churn_features": _on_data(lambda d: churn.churn_features(d, as_of=CHURN_AS_OF)),
-    "churn_scores": lambda spark, sf_dir: _churn_result(spark, sf_dir).scores,
-    "churn_report": lambda spark, sf_dir: churn.churn_report(_churn_result(spark, sf_dir)),
-    "churn_at_risk": lambda spark, sf_dir: churn.churn_at_risk(_churn_result(spark, sf_dir)),
-    "churn_report_no_recency": lambda spark, sf_dir: churn.churn_report(
-        _churn_result(spark, sf_dir, NO_RECENCY)),
+    "churn_split": _on_data(lambda d: churn.split_weights(churn.churn_features(d, as_of=CHURN_AS_OF))),
+    "churn_scores": _on_data(lambda d: _churn_result(d).scores),
+    "churn_report": _on_data(lambda d: churn.churn_report(_churn_result(d))),
+    "churn_at_risk": _on_data(lambda d: churn.churn_at_risk(_churn_result(d))),
+    "churn_report_no_recency": _on_data(lambda d: churn.churn_report(_churn_result(d, NO_RECENCY))),
 }
 
 
@@ -120,6 +148,8 @@ def _filter_end(month: str) -> str:
     return f"{y + (m == 12):04d}-{m % 12 + 1:02d}-01 00:00:00"
 
 
+_FILTER_SPAN = (f"{FILTER_MONTHS[0]}-01 00:00:00", _filter_end(FILTER_MONTHS[1]))
+
 ORACLE: dict[str, str] = {
     "kpi_summary": oracle.kpi_sql(),
     "monthly_revenue": oracle.MONTHLY,
@@ -150,8 +180,27 @@ ORACLE: dict[str, str] = {
     "customer_history": oracle.history_sql(),
     "customer_history_full": oracle.HISTORY_FULL,
     "customer_detail": oracle.customer_detail_sql(),
-    "revenue_filtered": oracle.filtered_revenue_sql(
-        f"{FILTER_MONTHS[0]}-01 00:00:00", _filter_end(FILTER_MONTHS[1]), FILTER_SEGMENTS, TUNED_THRESHOLDS),
+    "customer_pages_text": oracle.customer_pages_sql(),
+    "customer_kpi_one": oracle.one_kpi_sql(KNOWN),
+    "customer_kpi_unknown": oracle.one_kpi_sql(UNKNOWN),
+    "customer_timeline_one": oracle.timeline_sql(KNOWN),
+    "customer_top_genres_one": oracle.top_genres_sql(3, KNOWN),
+    "customer_history_one": oracle.history_sql(10, KNOWN),
+    "customer_history_full_one": oracle.history_full_sql(KNOWN),
+    "customer_history_unknown": oracle.history_sql(100, UNKNOWN),
+    "customer_top_genres_3": oracle.top_genres_sql(3),
+    "customer_history_10": oracle.history_sql(10),
+    "rfm_by_region_strict": oracle.rfm_by_region_sql(STRICT_THRESHOLDS),
+    "revenue_filtered": oracle.filtered_revenue_sql(*_FILTER_SPAN, oracle.keep_segments(FILTER_SEGMENTS, TUNED_THRESHOLDS)),
+    "kpi_filtered": oracle.filtered_kpi_sql(*_FILTER_SPAN, oracle.keep_segments(FILTER_SEGMENTS, TUNED_THRESHOLDS)),
+    "store_filtered": oracle.filtered_store_sql(*_FILTER_SPAN, oracle.keep_tier(*TIER_CUTS)),
+    "customer_summary_filtered": oracle.filtered_summary_sql(*_FILTER_SPAN, oracle.keep_top(FILTER_TOP)),
+    "linear_features": oracle.linear_features_sql("rental"),
+    "attention_features": oracle.attention_features_sql(),
+    "forecast_linear_lagged": oracle.lagged_forecast_sql("rental", 3),
+    "forecast_attention": oracle.attention_forecast_sql(),
+    "forecast_attention_by_country": oracle.attention_forecast_sql(by_country=True),
+    "churn_split": oracle.churn_split_sql(CHURN_AS_OF),
     "churn_features": oracle.churn_features_sql(CHURN_AS_OF),
     "forecast_linear": oracle.linear_forecast_sql("rental", 3),
     "forecast_linear_extended": oracle.linear_forecast_sql("payment", 6),

@@ -65,7 +65,9 @@ def from_tables(t: Mapping[str, DataFrame]) -> RentalData:
     item = (
         t["rental"].select("rental_id", "inventory_id")
         .join(t["inventory"].select("inventory_id", "film_id", "store_id"), "inventory_id")
-        .join(t["store"].select("store_id"), "store_id")
+        # Only the store report needs an existing store; an item without one has none here.
+        .join(t["store"].select(F.col("store_id").alias("_store")), F.col("store_id") == F.col("_store"), "left")
+        .select("rental_id", "film_id", F.col("_store").alias("store_id"))
     )
     paid = t["payment"].select("rental_id", "amount", "payment_date", F.lit(True).alias("paid_flag"))
     rental_item = item.join(paid, "rental_id", "left").select(

@@ -8,12 +8,14 @@ Mapping (fixed; the oracle SQL in ``rentscope.oracle`` spells out the same):
 * rental: orders; o_orderkey -> rental_id, o_custkey -> customer_id,
   o_orderdate -> rental_date; return_date = latest l_shipdate of the order,
   NULL when the order has no line or that date is before the order date
-* payment: one per lineitem; amount = l_extendedprice as decimal(8,2),
+* payment: one per lineitem; amount = l_extendedprice as decimal(12,2),
   payment_date = l_shipdate, customer from the order (left join on the
   order key, removed by the optimizer when no customer is read)
 * rental_item: the same lineitem row; l_partkey -> film_id,
   l_suppkey -> store_id, with its amount and date
-* film / film_genre: part; p_name -> title, p_type -> genre
+* film / film_genre / film_dim: part; p_name -> title, p_type -> genre
+* rental_line: lineitem joined to its order; the return date is the latest
+  ship date over the order's lines, which lie together after that join
 * rental_paid: orders joined to one aggregate of their lines (return date
   and payment totals from the same scan)
 
@@ -22,7 +24,7 @@ Every reader selects only the columns it maps, so scans are pruned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rentscope.model import LazyRentalData, RentalData
@@ -44,11 +46,8 @@ SCHEMAS = {
                  "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
 }
 
-# A line's price is at most 50 x the part price (about 105,000 here), so
-# decimal(8,2) holds it exactly; at precision <= 8 Spark sums the unscaled
-# value as a long (no BigDecimal buffers). A larger value fails the ANSI cast
-# instead of being rounded or wrapped.
-MONEY = "decimal(8,2)"
+# The type of an amount, as in the original schema; sums are decimal(22,2).
+MONEY = "decimal(12,2)"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +178,43 @@ def _film_genre(read):
     return p.select(F.col("p_partkey").cast("long").alias("film_id"), F.col("p_type").alias("genre"))
 
 
+def _film_dim(read):
+    p = read("part")
+    return p.select(F.col("p_partkey").cast("long").alias("film_id"),
+                    F.col("p_name").alias("title"), F.col("p_type").alias("genre"))
+
+
+def _rental_line(read):
+    o = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    li = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    rows = o.join(li, o.o_orderkey == li.l_orderkey)
+    rows = rows.withColumn("last_ship", F.max("l_shipdate").over(Window.partitionBy("l_orderkey")))
+    return rows.select(
+        *_rental_cols(),
+        F.col("l_partkey").cast("long").alias("film_id"),
+        F.col("l_suppkey").cast("long").alias("store_id"),
+        F.col("l_extendedprice").cast(MONEY).alias("amount"),
+        F.lit(True).alias("has_payment"),
+    )
+
+
+def _of_customer(read, customer_id: int):
+    """A reader of the rows that belong to one customer: orders are filtered
+    where they are read and lines are semi-joined to them before anything else."""
+
+    def only(name: str) -> DataFrame:
+        if name == "customer":
+            return read(name).filter(F.col("c_custkey") == F.lit(customer_id))
+        if name == "orders":
+            return read(name).filter(F.col("o_custkey") == F.lit(customer_id))
+        if name == "lineitem":
+            own = only("orders").select("o_orderkey")
+            return read(name).join(own, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+        return read(name)
+
+    return only
+
+
 def load(spark: SparkSession, sf_dir: str) -> RentalData:
     """``RentalData`` over the driver parquet in ``sf_dir``; each table is
     built on first use (and every parquet file is read at most once)."""
@@ -193,5 +229,7 @@ def load_with(read) -> RentalData:
         "customer": _customer, "customer_geo": _customer_geo, "rental": _rental,
         "payment": _payment, "rental_item": _rental_item, "film": _film,
         "film_genre": _film_genre, "rental_paid": _rental_paid, "customer_dim": _customer_dim,
+        "film_dim": _film_dim, "rental_line": _rental_line,
     }
-    return LazyRentalData({name: (lambda fn=fn: fn(read)) for name, fn in builders.items()})
+    return LazyRentalData({name: (lambda fn=fn: fn(read)) for name, fn in builders.items()},
+                          lambda customer_id: load_with(_of_customer(read, customer_id)))

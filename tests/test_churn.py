@@ -42,7 +42,16 @@ def test_at_risk_top_list(result):
     assert probs == sorted(probs, reverse=True)
 
 
+def test_split_is_exact_in_each_class(result):
+    for churned in (0, 1):
+        own = result.scores.filter(F.col("is_churn") == churned)
+        assert own.filter(F.col("split") == "test").count() == int(own.count() * 0.2 + 0.5)
+
+
 def test_single_class_guard(spark):
     feats = churn.churn_features(driver.load(spark, SF01), as_of=AS_OF).withColumn("is_churn", F.lit(1))
-    with pytest.raises(ValueError, match="same churn label"):
-        churn.train_churn(feats, num_trees=5)
+    result = churn.train_churn(feats, num_trees=5)
+    assert result.status == "one_class" and result.model is None
+    (r,) = churn.churn_report(result).collect()
+    assert r["status"] == "one_class" and r["total_customers"] == 1500 and r["predicted_churn"] is None
+    assert churn.churn_at_risk(result).count() == 0

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rentscope.functions import TUNED_THRESHOLDS
-from rentscope.operators import catalog, customers, forecast, metrics, rfm
+from rentscope.operators import catalog, customers, filters, forecast, metrics, rfm
 from rentscope.sources import driver
 from tests.conftest import SF01
 
@@ -67,14 +67,25 @@ def test_drop_incomplete_last_month(data):
     assert trimmed.agg(F.max("month")).first()[0] == "2001-07"
 
 
-def test_segment_filter_broadcast_and_salted_paths_agree(data):
-    from rentscope.operators import filters
-    months, segs = ("1997-01", "1999-12"), ("Champions", "Loyal")
-    small = filters.with_filters(data, months, segs, TUNED_THRESHOLDS)
-    large = filters.with_filters(data, months, segs, TUNED_THRESHOLDS, broadcast_rows=10)
-    a = metrics.monthly_revenue_payments(small)
-    b = metrics.monthly_revenue_payments(large)
-    assert sorted(a.collect()) == sorted(b.collect())
-    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
-    plan_b = b._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in plan_b
+FILTERS = {
+    "payment months": dict(months=("1997-01", "1999-12")),
+    "rental months": dict(months=("1997-01", "1999-12"), axis="rental"),
+    "segments": dict(segments=("Champions", "Loyal"), thresholds=TUNED_THRESHOLDS),
+    "tier": dict(tiers=("tier_1",), cuts=(1_500_000, 3_000_000), months=("1996-03", "1998-02")),
+    "top": dict(top_n=25, months=("1996-03", "1998-02"), axis="rental"),
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_revenue_agrees_on_every_path_under_a_filter(data, name):
+    cut = filters.with_filters(data, **FILTERS[name])
+    (kpi,) = metrics.kpi_summary(cut).collect()
+    expected = kpi["total_revenue"]
+    assert expected > 0
+    for df, col in (
+        (metrics.monthly_revenue(cut), "revenue"), (metrics.monthly_revenue_payments(cut), "revenue"),
+        (metrics.monthly_revenue_by_rental(cut), "revenue"), (metrics.store_summary(cut), "revenue"),
+        (customers.customer_history_full(cut), "amount"), (customers.customer_spend(cut), "total_revenue"),
+        (forecast.revenue_series(cut, axis="payment"), "revenue"),
+    ):
+        assert round(total(df, col), 2) == pytest.approx(expected, abs=0.05)

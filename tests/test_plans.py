@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from rentscope.operators import customers, metrics
-from rentscope.plans import bounded_broadcast, top_k_per_group
+from rentscope.plans import top_k_per_group
+from rentscope.registry import QUERIES
 from rentscope.sources import driver
-from tests.conftest import SF001
+from tests.conftest import SF001, SF01
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if not n.startswith("churn_")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("churn_")])
 def test_no_cartesian_or_nested_loop(spark, name):
-    p = plan(E.queries()[name](spark, SF001))
+    p = plan(QUERIES[name](spark, SF001))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
@@ -34,13 +35,6 @@ def test_customer_lookup_pushes_filter_into_scan(spark):
     assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)" in p
 
 
-def test_bounded_broadcast(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    assert "ResolvedHint" in bounded_broadcast(small, 100)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in bounded_broadcast(big, 100)._jdf.queryExecution().analyzed().toString()
-
-
 def test_top_k_exact_with_one_hot_group(spark):
     rnd = random.Random(7)
     rows = [(0 if i % 3 == 0 else rnd.randint(1, 50), i, rnd.randint(0, 10_000)) for i in range(6000)]
@@ -97,20 +91,54 @@ def test_customer_shuffles_carry_reduced_rows(spark, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")        # inspect the static plan
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if every table were large
     try:
-        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan()
+        plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan()
         assert _raw_fact_shuffles(plan, "customer_id") == []
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_salted_semi_join_is_exact_with_a_hot_key(spark):
-    from rentscope.plans import salted_semi_join
-    rows = [(0 if i % 3 == 0 else i % 40, i) for i in range(3000)]
-    facts = spark.createDataFrame(rows, "k long, id long")
-    keys = spark.createDataFrame([(0,), (5,), (7,)], "k long")
-    got = sorted(tuple(r) for r in salted_semi_join(facts, keys, "k", salt_from="id", salts=8).collect())
-    assert got == sorted(r for r in rows if r[0] in (0, 5, 7))
+def test_customer_lookup_cuts_lines_before_it_aggregates(spark):
+    """For one id, lines meet the customer's orders before any aggregate or film."""
+    data = driver.load(spark, SF001)
+    for df in (customers.customer_kpi(data, 7), customers.customer_top_genres(data, 7), customers.customer_history(data, 7)):
+        text = plan(df)
+        scan = text.index("lineitem.parquet")
+        above = text[:scan].splitlines()[-12:]
+        assert any("LeftSemi" in line for line in above) or "LeftSemi" in text
+        assert text.count("LeftSemi") >= text.count("lineitem.parquet")
+
+
+@pytest.mark.parametrize("name", ["customer_history", "customer_history_full", "customer_top_genres", "genre_monthly"])
+def test_pages_scan_lines_and_films_once(spark, name):
+    text = plan(QUERIES[name](spark, SF001))
+    assert text.count("lineitem.parquet") == 1 and text.count("part.parquet") == 1
+
+
+def _final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("report", [customers.customer_history, customers.customer_history_full, customers.customer_top_genres])
+def test_hot_film_is_split(spark, report):
+    """A film with a third of all lines: the join with films is split at run time."""
+    data = driver.load(spark, SF01)
+    line = data.rental_line
+    hot = line.withColumn("film_id", F.when(F.pmod(F.xxhash64("rental_id", "amount"), F.lit(3)) == 0, 1).otherwise(F.col("film_id")))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        assert "skew=true" in _final_plan(report(data.with_tables(rental_line=hot)))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
 
 
 UNUSED_COLUMNS = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -118,11 +146,11 @@ UNUSED_COLUMNS = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_return
                   "p_brand", "p_size", "p_retailprice", "s_name", "s_acctbal", "n_regionkey")
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if not n.startswith("churn_")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("churn_")])
 def test_scans_read_only_mapped_columns(spark, name):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")   # full ReadSchema text
     try:
-        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)

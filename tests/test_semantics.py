@@ -3,10 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from rentscope.functions import RfmThresholds
 from rentscope.operators import catalog, churn, customers, filters, metrics, rfm
+from rentscope.sources import domain, driver
 from tests import fixtures
+from tests.conftest import SF001
 
 D = dt.date
 
@@ -161,6 +164,58 @@ def test_churn_features_extend_unreturned_to_as_of(data):
 
 
 def test_churn_guard_too_few_customers(data):
-    feats = churn.churn_features(data, as_of="2020-06-01 00:00:00")
-    with pytest.raises(ValueError, match="too few"):
-        churn.train_churn(feats)
+    result = churn.train_churn(churn.churn_features(data, as_of="2020-06-01 00:00:00"))
+    assert result.status == "too_few_customers"
+    (r,) = rows(churn.churn_report(result))
+    assert r["status"] == "too_few_customers" and r["accuracy"] is None and r["imp_monetary"] is None
+
+
+def _without_store(spark):
+    t = fixtures.tables(spark)
+    t["inventory"] = t["inventory"].withColumn("store_id", F.when(F.col("inventory_id") != 500, F.col("store_id")))
+    return domain.from_tables(t)
+
+
+def test_item_without_a_store_counts_everywhere_but_in_the_store_report(spark, data):
+    bare = _without_store(spark)
+    assert rows(catalog.genre_counts(bare)) == rows(catalog.genre_counts(data))
+    assert customers.customer_history_full(bare).count() == customers.customer_history_full(data).count()
+    assert [r["store_label"] for r in rows(metrics.store_summary(bare))] == ["Store 2"]
+
+
+def test_items_of_missing_rentals_are_not_counted(spark):
+    data = fixtures.data(spark)
+    orphan = spark.createDataFrame([(999, 50, 1, None, None, False)], data.rental_item.schema)
+    more = data.with_tables(rental_item=data.rental_item.unionByName(orphan))
+    assert rows(catalog.genre_counts(more)) == rows(catalog.genre_counts(data))
+
+
+@pytest.mark.parametrize("q, found", [(r"a\n", [1]), (r"y\%", [3]), (r"\_", [3]), ("\\", []), (r"n\\", [])])
+def test_search_takes_a_backslash_as_an_escape(data, q, found):
+    assert [r["customer_id"] for r in rows(customers.customer_search(data, q))] == found
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_large_amounts_and_many_payments_stay_exact(spark, ansi):
+    """A price of 2,500,000 and a customer with 3e11 payment rows (already aggregated)."""
+    from decimal import Decimal
+
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        li = driver.read_table(spark, SF001, "lineitem").withColumn("l_extendedprice", F.lit(2_500_000.25))
+        read = lambda name: li if name == "lineitem" else driver.read_table(spark, SF001, name)
+        (kpi,) = rows(metrics.kpi_summary(driver.load_with(read)))
+        assert kpi["total_revenue"] == 2_500_000.25 * li.count() and kpi["avg_transaction"] == 2_500_000.25
+
+        data = fixtures.data(spark)
+        n = 300_000_000_000
+        paid = spark.createDataFrame(
+            [(1, 1, dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 6), Decimal(n) * 2, n, n)],
+            "rental_id long, customer_id long, rental_date timestamp_ntz, return_date timestamp_ntz, "
+            "paid decimal(22,2), n_rows long, n_amt long")
+        big = data.with_tables(rental_paid=paid)
+        assert rows(customers.customer_summary(big))[0]["avg_duration"] == 5.0
+        assert rows(churn.churn_features(big, as_of="2020-06-01 00:00:00"))[0]["avg_duration"] == 5.0
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
