@@ -162,6 +162,9 @@ class Pieces:
         return "".join(out).replace(SPACE, " ")[1:]
 
 
+_CHECKED = ["n_pieces", "ids_crc32", "n_chars", "text_crc32"]
+
+
 def pieces_of(path: str) -> Pieces:
     return in_worker(("pieces", path), lambda: Pieces(path))
 
@@ -200,9 +203,19 @@ def _grouped(batches):
         yield held
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+def _checked(pieces: Pieces, ids: list[list[int]]) -> list[pa.Array]:
+    """n_pieces, ids_crc32, n_chars and text_crc32 of ids and of what they decode to."""
+    texts = [pieces.decode(x) for x in ids]
+    figures = [len(x) for x in ids], [zlib.crc32(_ids(x)) for x in ids], [len(t) for t in texts], [zlib.crc32(t.encode()) for t in texts]
+    return [pa.array(x, pa.int64()) for x in figures]
+
+
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK, checked: bool = False) -> DataFrame:
     """doc_id, score, ids (little-endian unsigned 32-bit) of each whole text.
 
+    With ``checked`` the ids are decoded where they were made, and their number
+    and checksum and the decoded text's (_checked) take their place.
+
     Texts of one chunk are segmented where they lie. Of longer ones each chunk
     gives its transfer matrix; the matrices of a text, small ones, are combined
     by a prefix scan into the best score of every state at every boundary; each
@@ -224,7 +237,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         pieces = pieces_of(path)
         for batch in batches:
             found = [pieces.whole(pieces.normal(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([_ids(i) for _, i in found], pa.binary())], ["doc_id", "score", "ids"])
+            ids = [i for _, i in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), *(_checked(pieces, ids) if checked else [pa.array(map(_ids, ids), pa.binary())])], names)
 
     def split(batches):
         pieces = pieces_of(path)
@@ -236,7 +250,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                     row = {"doc_id": doc, "text_id": text_id, "k": k, "size": size, "last": at + size == len(text), "before": text[at - 1] if at else "", "text": text[at : at + size + pieces.longest]}
                     yield pa.RecordBatch.from_pylist([row])
 
-    out = rows.where(~long).mapInArrow(short, "doc_id long, score double, ids binary")
+    names = ["doc_id", "score", *(_CHECKED if checked else ["ids"])]
+    out = rows.where(~long).mapInArrow(short, "doc_id long, score double, " + (", ".join(f"{x} long" for x in _CHECKED) if checked else "ids binary"))
     # Rows that repeat a doc_id are told apart by a number, written with the chunks.
     giant = rows.where(long).withColumn("text_id", F.monotonically_increasing_id())
     chunks = written(giant.mapInArrow(split, "doc_id long, text_id long, k long, size long, last boolean, before string, text string").repartition("text_id", "k"), "chunks")
@@ -297,6 +312,14 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     traced = chunks.join(ends, ["text_id", "k"]).mapInArrow(finish, "doc_id long, text_id long, k long, ids binary, total double")
     joined = traced.groupBy("text_id").agg(F.first("doc_id").alias("doc_id"), F.max("total").alias("score"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     joined = joined.select("doc_id", "score", F.expr("aggregate(parts, X'', (a, x) -> concat(a, x.ids))").alias("ids"))
+    if checked:
+
+        def check(batches):
+            for batch in batches:
+                ids = [np.frombuffer(b, "<u4").tolist() for b in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_checked(pieces_of(path), ids)], names)
+
+        joined = joined.mapInArrow(check, out.schema)
     return out.unionByName(joined)
 
 
@@ -314,16 +337,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
     """doc_id, score, n_pieces, ids_crc32, n_chars and text_crc32 of what the ids decode to, for each document."""
-    path = tokenizer_path("piece_bpe_32k.model")
-
-    def told(batches):
-        pieces = pieces_of(path)
-        for batch in batches:
-            ids = [np.frombuffer(b, "<u4") for b in batch.column(2).to_pylist()]
-            texts = [pieces.decode(x.tolist()) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in ([len(x) for x in ids], [zlib.crc32(x) for x in ids], [len(t) for t in texts], [zlib.crc32(t.encode()) for t in texts]))],
-                ["doc_id", "score", "n_pieces", "ids_crc32", "n_chars", "text_crc32"],
-            )
-
-    return encode(docs, path).mapInArrow(told, "doc_id long, score double, n_pieces long, ids_crc32 long, n_chars long, text_crc32 long")
+    return encode(docs, tokenizer_path("piece_bpe_32k.model"), checked=True)
