@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.common import WORDS_KEPT, Words, in_worker, keeping, pick, segments, sent_if_bounded, written
+from rentscope.llm.common import Words, in_worker, keeping, pick, segments, sent_if_bounded, written
 from rentscope.llm.components import connected_components
 
 #: Words in a gram; least similarity in percent.
@@ -26,6 +26,9 @@ BITMAP = 1024
 #: Sets of one gram that are compared in one go; pairs looked at together.
 BUCKET, PAIRS = 1024, 200_000
 
+#: Words whose hashes a worker remembers.
+KEPT = 200_000
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -45,7 +48,7 @@ def gram_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     A-Z are lower-cased; words are runs of anything but ASCII white space; a
     text of fewer words than a gram has is one gram, one without words none.
     """
-    words = in_worker("gram words", lambda: Words(_hash_words, WORDS_KEPT))
+    words = in_worker("gram words", lambda: Words(_hash_words, KEPT))
     waiting: list[np.ndarray] = []
     at = 0
 
@@ -92,7 +95,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
             for s in gram_sets(batch.column(0).to_pylist()):
                 held.append((s >> np.uint64(64 - CELL_BITS)).astype(np.int64))
                 n += len(s)
-                if n > 1 << 21:
+                if n > 1 << 20:
                     cells += np.bincount(np.concatenate(held), minlength=len(cells))
                     held, n = [], 0
         if held:
