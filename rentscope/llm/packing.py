@@ -55,23 +55,26 @@ def token_table(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFr
     return written(rows.mapInArrow(tokens, "part long, doc_id long, start long, n_tokens long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, path: str, spaced: bool, end_id: int, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str, spaced: bool, end_id: int, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, boundary, ids.
 
     All documents, in doc_id order and each with ``end_id`` after it, make one
     stream, cut every ``length`` ids; only the last sequence may be short. The
     first pass writes the ids with their offsets within a range partition and
-    the partitions' totals; prefix sums over the totals (a row a partition)
-    give the global offsets; the second pass cuts each document where windows
+    the partitions' totals; prefix sums over the totals (a row a partition, so
+    they are sent to every task) give the global offsets; the second pass cuts each document where windows
     end. ``boundary`` marks pieces of windows that hold ids of two partitions.
-    ``ids`` are little-endian unsigned integers of ``id_type(path)``.
+    ``ids`` are little-endian unsigned integers of ``id_type(path)``; with
+    ``digest`` ids_crc32, over them as unsigned 32-bit integers, takes their place.
 
     Null and empty texts are their end id alone. Rows without doc_id are left
     out; rows that repeat a doc_id are packed each; other columns are ignored;
     an empty table gives none.
     """
     table = token_table(docs, path, spaced, end_id)
-    width = id_type(path).itemsize
+    kind = id_type(path)
+    width = kind.itemsize
+    last = ("ids_crc32", "long") if digest else ("ids", "binary")
     totals = table.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     bases = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("base"), "total")
 
@@ -88,14 +91,15 @@ def pack(docs: DataFrame, path: str, spaced: bool, end_id: int, length: int = LE
             ids = batch.column(3).to_pylist()
             own = begin - at[row]
             data = [ids[r][a * width : b * width] for r, a, b in zip(row, own, own + end - begin)]
+            data = pa.array([zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in data], pa.int64()) if digest else pa.array(data, pa.binary())
             edge = (sequence * length < base[row]) | ((sequence + 1) * length > (base + total)[row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (doc[row], own, end - begin, n[row], sequence, begin - sequence * length, edge)] + [pa.array(data, pa.binary())],
-                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "boundary", "ids"],
+                [pa.array(x) for x in (doc[row], own, end - begin, n[row], sequence, begin - sequence * length, edge)] + [data],
+                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "boundary", last[0]],
             )
 
-    rows = table.join(bases, "part").select("doc_id", "start", "n_tokens", "ids", "base", "total")
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, boundary boolean, ids binary")
+    rows = table.join(F.broadcast(bases), "part").select("doc_id", "start", "n_tokens", "ids", "base", "total")
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, boundary boolean, " + " ".join(last))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -105,20 +109,6 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return whole.select("sequence_id", "n_tokens", F.col("p.doc_id").alias("doc_ids"), F.expr("aggregate(p, X'', (a, x) -> concat(a, x.ids))").alias("ids"))
 
 
-def crc32_ids(pieces: DataFrame, kind: np.dtype) -> DataFrame:
-    """``pieces`` with ids_crc32, over unsigned 32-bit ids, in place of ids."""
-    at = pieces.columns.index("ids")
-
-    def crc(batches):
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(b, kind).astype("<u4")) for b in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), pa.array(sums, pa.int64())], [*batch.schema.names[:at], "ids_crc32"])
-
-    fields = ", ".join(f"{name} {t}" for name, t in pieces.dtypes[:at])
-    return pieces.mapInArrow(crc, f"{fields}, ids_crc32 long")
-
-
 def byte_packing(docs: DataFrame) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-    out = crc32_ids(pack(docs, path, spaced=True, end_id=0), id_type(path))
+    out = pack(docs, tokenizer_path("byte_bpe_50k.json"), spaced=True, end_id=0, digest=True)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
