@@ -9,6 +9,7 @@ distinct piece that a worker meets.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 
@@ -137,52 +138,54 @@ class RankBpe:
 
 #: Marks the first piece of a text, which no space precedes; no text holds a lone surrogate.
 OPENING = "\udc80"
-SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
-
-
+#: A space and more white space, at which the byte tokenizer's pieces can't be told by spaces alone.
+SPACES = [" " + c for c in map(chr, range(0x3001)) if c.isspace()]
+ASCII_SPACES = [x for x in SPACES if x.isascii()]
 class LibraryEncoder:
     """Token ids as the tokenizers library gives them, each distinct piece encoded once."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, kept: int = WORDS_KEPT):
         """spaced: a word's leading space is part of its token (byte-level vocabularies)."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core of its own and no more
         from tokenizers import Tokenizer
 
         self.lib, self.spaced = Tokenizer.from_file(path), spaced
         added = self.lib.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
         self.end_id, self.end = next((k, t.content) for k, t in added.items())
-        self.words = Words(self.fill, WORDS_KEPT)
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
+        self.words = Words(self.fill, kept)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def fill(self, words: list[str]) -> np.ndarray:
-        """(start, length) of each new word's ids in ``flat``; many go in one text, a special token between."""
-        if not len(self.words) - len(words):
-            self.used = 0
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) from the library; many go in one text, a special token between."""
         if self.spaced:
             words = [w[1:] if w[:1] == OPENING else " " + w for w in words]
-        at = range(0, len(words), 64)
-        texts = [self.end + self.end.join(words[k : k + 64]) for k in at]
+        texts = [self.end + self.end.join(words[k : k + 64]) for k in range(0, len(words), 64)]
         ids = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
         marks = np.flatnonzero(ids == self.end_id)
         if len(marks) != len(words):
             raise ValueError("a piece holds a special token")
-        lengths = np.diff(np.append(marks, len(ids))) - 1
-        rows = np.stack([marks - np.arange(len(marks)) + self.used, lengths], axis=1)
-        ids = np.delete(ids, marks)
+        return np.delete(ids, marks), np.diff(np.append(marks, len(ids))) - 1
+
+    def fill(self, words: list[str]) -> np.ndarray:
+        """Rows of new words: where their ids start in ``flat``, and how many they are."""
+        # What the table has forgotten lies at the end of ``flat`` and is written over.
+        self.used = int(self.words.rows[self.words.used - 1].sum()) if self.words.used else 0
+        ids, lengths = self.encoded(words)
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * (self.used + len(ids)), np.uint32)])
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used // 2 + 2 * len(ids), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return rows.reshape(-1, 2).astype(np.int64)
+        rows = np.stack([self.used + np.cumsum(lengths) - lengths, lengths], axis=1).astype(np.int64)
+        return rows.reshape(-1, 2)
 
     def pieces(self, text: str, opening: bool) -> list[str]:
         if not self.spaced:
             return text.split()
-        if any(" " + c in text for c in SPACES):
+        if any(x in text for x in (ASCII_SPACES if text.isascii() else SPACES)):
             out = re.split(r" (?=\S)", text)
         else:
             out = text.split(" ")

@@ -97,12 +97,14 @@ class Words(dict):
     """Numbers words in the order seen and keeps one row of figures for each.
 
     ``fill`` takes a list of new words and returns their rows, an array whose
-    first axis is the words. Past ``kept`` words the numbering starts afresh.
+    first axis is the words. The first ``kept`` words are remembered, which are
+    the frequent ones; others are filled anew by each call. When many of a
+    call's words are others, the text has changed and numbering starts afresh.
     """
 
     def __init__(self, fill: Callable[[list[str]], np.ndarray], kept: int = WORDS_KEPT):
         super().__init__()
-        self.fill, self.kept, self.new, self.rows = fill, kept, [], None
+        self.fill, self.kept, self.new, self.rows, self.used = fill, kept, [], None, 0
 
     def __missing__(self, word):
         self[word] = n = len(self)
@@ -111,25 +113,34 @@ class Words(dict):
 
     def of(self, words: list) -> np.ndarray:
         """The row of each word."""
-        if len(self) > self.kept:
-            self.clear()
-            self.rows = None
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if not self.new and self.rows is None:
+            return self.fill([])
         if self.new:
             made = self.fill(self.new)
-            self.new = []
-            done = 0 if self.rows is None else self.used
-            need = done + len(made)
+            need = self.used + len(made)
             if self.rows is None or need > len(self.rows):
-                grown = np.empty((max(2 * need, 1024), *made.shape[1:]), made.dtype)
-                if done:
-                    grown[:done] = self.rows[:done]
+                grown = np.empty((need + need // 2 + 1024, *made.shape[1:]), made.dtype)
+                if self.used:
+                    grown[: self.used] = self.rows[: self.used]
                 self.rows = grown
-            self.rows[done:need] = made
-            self.used = need
-        if self.rows is None:
-            return self.fill([])
-        return self.rows[ids]
+            self.rows[self.used : need] = made
+        out = self.rows[ids]
+        if self.new:
+            self.trim(len(words))
+        return out
+
+    def trim(self, n_words: int) -> None:
+        """After a call: forget what goes beyond ``kept``, or all if that was a third of the call's words."""
+        self.used = len(self)
+        if len(self) > self.kept:
+            if 3 * len(self.new) > n_words:
+                self.clear()
+            else:
+                for word in self.new[len(self.new) - (len(self) - self.kept) :]:
+                    del self[word]
+            self.used = len(self)
+        self.new = []
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -85,7 +85,7 @@ def test_encoder_cuts_long_texts_exactly(name, spaced, monkeypatch):
     """Texts over a segment are cut at spaces; a word table that starts afresh changes nothing."""
     monkeypatch.setattr(bpe, "segments", lambda texts: common.segments(texts, limit=40))
     encoder, lib = bpe.LibraryEncoder(bpe.tokenizer_path(name), spaced), library(name)
-    encoder.store.words.kept = encoder.parts.words.kept = 20
+    encoder.words.kept = 20
     texts = ["" if t is None else t for t in odd_texts()]
     for own, t in zip(encoder.encode(texts), texts):
         assert own.tolist() == lib.encode(t, add_special_tokens=False).ids
