@@ -25,3 +25,17 @@ def test_forecast_runs_from_another_directory():
                          env=env, capture_output=True, text=True, timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
     assert int(out.stdout.split("ROWS")[1].split()[0]) > 0
+
+
+def test_entry_without_the_text_operators():
+    """The reports are registered and import nothing of the text operators when those are not there."""
+    import shutil
+
+    root = tempfile.mkdtemp(prefix="rentscope-bare-")
+    shutil.copy(f"{REPO}/__spark_entry__.py", root)
+    shutil.copytree(f"{REPO}/rentscope", f"{root}/rentscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as E; from rentscope.registry import ORACLE, QUERIES; " \
+           "print(E.queries().keys() == QUERIES.keys() and E.oracle_sql() == ORACLE)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120,
+                         env={**os.environ, "PYTHONPATH": root})
+    assert out.stdout.strip() == "True", out.stderr[-2000:]
