@@ -56,11 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def in_worker(key, make: Callable):
-    """What ``make`` returns, made once for each Python worker process."""
-    store = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    """What ``make`` returns, kept by the Python worker process until another key is asked for.
+
+    A worker outlives its task and serves other operators; it holds the tables of one at a time.
+    """
+    held = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker"))
+    if getattr(held, "key", None) != key:
+        held.key = held.value = None
+        held.key, held.value = key, make()
+    return held.value
 
 
 def held_out(divisor: int, remainder: int):

@@ -254,13 +254,16 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast(plain), uuid.uuid4().hex
 
     def score(batches):
-        own = in_worker(("toxicity", key), lambda: ToxicityModel(shared.value[0].astype(np.float32), *shared.value[1:]))
+        def tables() -> tuple[ToxicityModel, Words]:
+            own = ToxicityModel(shared.value[0].astype(np.float32), *shared.value[1:])
 
-        def fill(words: list[str]) -> np.ndarray:
-            ids = np.array([word_buckets(w) for w in words], np.int64).reshape(-1, PARTS)
-            return own.parts(vectors_of(own.embeddings, only_known(ids, own.known)))
+            def fill(words: list[str]) -> np.ndarray:
+                ids = np.array([word_buckets(w) for w in words], np.int64).reshape(-1, PARTS)
+                return own.parts(vectors_of(own.embeddings, only_known(ids, own.known)))
 
-        words = in_worker(("toxicity words", key), lambda: Words(fill, KEPT))
+            return own, Words(fill, KEPT)
+
+        own, words = in_worker(("toxicity", key), tables)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             pooled = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
