@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentscope.llm.bpe import tokenizer_path
-from rentscope.llm.common import WORDS_KEPT, in_worker, pick, written
+from rentscope.llm.common import in_worker, pick, written
 
 #: Characters of a chunk.
 CHUNK = 1 << 15
+#: Words that a worker remembers.
+KEPT = 1_000_000
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 _CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
@@ -51,32 +53,42 @@ class Pieces:
         self.longest = max(map(len, self.score))
         #: A character that no piece covers becomes its bytes, below any score but those of mark runs.
         self.unknown = min(s for s, _ in self.score.values() if s > -1e8) - 10
+        #: Pieces by text, and None for what pieces begin with.
+        self.table = {t[:n]: None for t in self.score for n in range(1, len(t))} | self.score
+        #: ASCII bytes stand for themselves; other bytes are read together.
+        self.plain = [chr(self.byte_of[i]) if i in self.byte_of else t for i, t in enumerate(self.text)]
+        self.high = {i for i, b in self.byte_of.items() if b > 127}
         self.words: dict[str, tuple[float, list[int]]] = {}
+        self.others = 0
 
     def normal(self, text: str | None) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def reach(self, text: str, begin: int, stop: int, best: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    def reach(self, text: str, begin: int, stop: int, best: dict[int, float]) -> tuple[list[float], list[int]]:
         """Best score and last piece's start of the positions from ``begin``; pieces start below ``stop``."""
         end = min(len(text), stop + self.longest - 1)
         score, back = [LOW] * (end - begin + 1), [-1] * (end - begin + 1)
         for at, value in best.items():
             score[at - begin] = value
-        get, unknown = self.score.get, self.unknown
+        get, unknown = self.table.get, self.unknown
         for at in range(begin, stop):
             base = score[at - begin]
             if base == LOW:
                 continue
             for to in range(at + 1, min(at + self.longest, end) + 1):
-                found = get(text[at:to])
-                if found is None:
-                    if to > at + 1:
-                        continue
-                    found = (unknown, -1)
+                found = get(text[at:to], False)
+                if not found:
+                    if to == at + 1:
+                        value, k = base + unknown, to - begin
+                        if value > score[k]:
+                            score[k], back[k] = value, at
+                    if found is False:  # no piece begins like this
+                        break
+                    continue
                 value, k = base + found[0], to - begin
                 if value > score[k]:  # an earlier start, so a longer piece, stays in a tie
                     score[k], back[k] = value, at
-        return np.array(score), np.array(back)
+        return score, back
 
     def ids_between(self, text: str, cuts: list[int]) -> list[int]:
         out = []
@@ -86,69 +98,33 @@ class Pieces:
         return out
 
     def word(self, w: str) -> tuple[float, list[int]]:
-        """Score and ids of a whole word with the spaces before it."""
+        """Score and ids of a whole word with the spaces before it; the first KEPT words are remembered."""
         found = self.words.get(w)
         if found is None:
-            if len(self.words) >= WORDS_KEPT // 2:
-                self.words.clear()
             score, back = self.reach(w, 0, len(w), {0: 0.0})
-            cuts = [len(w)]
-            while cuts[-1]:
-                cuts.append(int(back[cuts[-1]]))
-            found = self.words[w] = float(score[-1]), self.ids_between(w, cuts[::-1])
+            found = score[-1], self.ids_between(w, path_to(back, len(w)))
+            if len(self.words) < KEPT:
+                self.words[w] = found
+            else:
+                self.others += 1
+                if self.others > KEPT:  # the text has changed
+                    self.words.clear()
+                    self.others = 0
         return found
 
     def whole(self, text: str) -> tuple[float, list[int]]:
         """Score and ids of a text that is one chunk."""
-        total, ids = 0.0, []
+        total, ids, get = 0.0, [], self.words.get
         for w in _SEGMENT.findall(text):
-            score, own = self.word(w)
+            score, own = get(w) or self.word(w)
             total += score
             ids += own
         return total, ids
 
-    def chunk(self, text: str, size: int, before: str, starts: dict[int, float]):
-        """(exit scores, trace): best scores of ending ``size`` + e, e from 0, and the way back from there.
-
-        ``text`` is the chunk and what follows it, as far as a piece can reach;
-        ``before`` the character ahead of it. ``trace(position)`` gives the
-        start state and the ids up to the position.
-        """
-        cuts = [m.start() for m in _CUT.finditer(before + text, len(before), len(before) + size + 1)]
-        cuts = [c - len(before) for c in cuts if c - len(before) >= max(starts)]
-        if cuts:  # every way leads through each of these cuts
-            first, last = cuts[0], cuts[-1]
-            head = self.reach(text, 0, first, starts)
-            inner = [self.word(w) for w in _SEGMENT.findall(text[first:last])]
-            through = float(head[0][first]) + sum(s for s, _ in inner)
-            tail = self.reach(text, last, size, {last: through})
-        else:
-            first = last = 0
-            inner, head = [], (np.array([]), np.array([]))
-            tail = self.reach(text, 0, size, starts)
-        begin = last if cuts else 0
-
-        def back(table, offset, at):
-            places = [at]
-            while int(table[1][places[-1] - offset]) >= 0:
-                places.append(int(table[1][places[-1] - offset]))
-            return places[::-1]
-
-        def trace(at: int) -> tuple[int, list[int]]:
-            places = back(tail, begin, at)
-            ids = self.ids_between(text, places)
-            if not cuts:
-                return places[0], ids
-            lead = back(head, 0, first)
-            return lead[0], self.ids_between(text, lead) + [i for _, own in inner for i in own] + ids
-
-        exits = np.full(self.longest, LOW)
-        own = tail[0][size - begin :]
-        exits[: len(own)] = own
-        return exits, trace
-
     def decode(self, ids: list[int]) -> str:
         """The text that ids stand for; bytes that are no UTF-8 become U+FFFD."""
+        if self.high.isdisjoint(ids):
+            return "".join(map(self.plain.__getitem__, ids)).replace(SPACE, " ")[1:]
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -162,6 +138,79 @@ class Pieces:
         return "".join(out).replace(SPACE, " ")[1:]
 
 
+def path_to(back: list[int], at: int, begin: int = 0) -> list[int]:
+    """The cuts that lead to position ``at``; ``back`` starts at position ``begin``."""
+    cuts = [at]
+    while back[cuts[-1] - begin] >= 0:
+        cuts.append(back[cuts[-1] - begin])
+    return cuts[::-1]
+
+
+class Chunk:
+    """A chunk of a text: the first ``size`` characters of ``text``, whose rest is as far as a piece can reach.
+
+    Every way through the chunk leads through its cuts, the places before a
+    space mark. What lies between the first cut that any start state is before
+    and the last one is the same for all states; so the transfer matrix is the
+    sum of a head for each start, that middle, and a tail for each end.
+    """
+
+    def __init__(self, pieces: Pieces, text: str, size: int, before: str):
+        """before: the character ahead of the chunk, if any."""
+        self.pieces, self.text, self.size = pieces, text, size
+        found = (m.start() - len(before) for m in _CUT.finditer(before + text, 0, len(before) + size + 1))
+        cuts = [c for c in found if pieces.longest <= c <= size]
+        self.first, self.last = (cuts[0], cuts[-1]) if cuts else (None, 0)
+        self.tail = pieces.reach(text, self.last, size, {self.last: 0.0}) if cuts else None
+
+    def middle(self) -> list[tuple[float, list[int]]]:
+        return [self.pieces.word(w) for w in _SEGMENT.findall(self.text[self.first : self.last])]
+
+    def ends(self, table: tuple[list[float], list[int]], gain: float = 0.0) -> np.ndarray:
+        """Scores of the end states in a table that starts at the last cut."""
+        out = np.full(self.pieces.longest, LOW)
+        own = table[0][self.size - self.last :]
+        out[: len(own)] = own
+        return out + gain
+
+    def matrix(self, states: int) -> np.ndarray:
+        """Gain from each of the first ``states`` start states to each end state."""
+        out = np.full((self.pieces.longest, self.pieces.longest), LOW)
+        if self.first is not None:
+            middle, tail = sum(s for s, _ in self.middle()), self.ends(self.tail)
+        for s in range(states):
+            if s >= self.size:
+                out[s, s - self.size] = 0.0
+            elif self.first is None:
+                out[s] = self.ends(self.pieces.reach(self.text, 0, self.size, {s: 0.0}))
+            else:
+                out[s] = tail + (self.pieces.reach(self.text, 0, self.first, {s: 0.0})[0][self.first] + middle)
+        return out
+
+    def sources(self, starts: dict[int, float]) -> np.ndarray:
+        """The start state on the best way to each end state, -1 if there is none."""
+        out = np.full(self.pieces.longest, -1)
+        if self.first is None:
+            table = self.pieces.reach(self.text, 0, self.size, starts)
+            for e in np.flatnonzero(self.ends(table) > LOW):
+                out[e] = path_to(table[1], self.size + int(e))[0]
+        else:
+            head = self.pieces.reach(self.text, 0, self.first, starts)
+            out[self.ends(self.tail) > LOW] = path_to(head[1], self.first)[0]
+        return out
+
+    def ids(self, starts: dict[int, float], end: int) -> list[int]:
+        """Ids of the pieces that start in the chunk, on the best way to end state ``end``."""
+        at = self.size + end
+        if self.first is None:
+            return self.pieces.ids_between(self.text, path_to(self.pieces.reach(self.text, 0, self.size, starts)[1], at))
+        head = path_to(self.pieces.reach(self.text, 0, self.first, starts)[1], self.first)
+        out = self.pieces.ids_between(self.text, head)
+        for _, own in self.middle():
+            out += own
+        return out + self.pieces.ids_between(self.text, path_to(self.tail[1], at, self.last))
+
+
 _CHECKED = ["n_pieces", "ids_crc32", "n_chars", "text_crc32"]
 
 
@@ -260,13 +309,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, checked: bool = False
         pieces = pieces_of(path)
         for batch in batches:
             for row in batch.to_pylist():
-                states = range(1 if row["k"] == 0 else min(pieces.longest, row["size"] + 1))
-                matrix = np.full((pieces.longest, pieces.longest), LOW)
-                for s in states:
-                    if s < row["size"]:
-                        matrix[s] = pieces.chunk(row["text"], row["size"], row["before"], {s: 0.0})[0]
-                    else:
-                        matrix[s, s - row["size"]] = 0.0
+                states = 1 if row["k"] == 0 else pieces.longest
+                matrix = Chunk(pieces, row["text"], row["size"], row["before"]).matrix(states)
                 yield pa.RecordBatch.from_pylist([{"text_id": row["text_id"], "k": row["k"], "matrix": matrix.tobytes()}])
 
     def scan(batches):
@@ -276,15 +320,14 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, checked: bool = False
             for r, v, after in zip(group, best, best[1:]):
                 yield pa.RecordBatch.from_pylist([{"text_id": r["text_id"], "k": r["k"], "best": v.tobytes(), "total": float(after[0])}])
 
+    def open_states(row) -> dict[int, float]:
+        return {s: float(v) for s, v in enumerate(np.frombuffer(row["best"])) if v > LOW and s <= row["size"]}
+
     def ways(batches):
         pieces = pieces_of(path)
         for batch in batches:
             for row in batch.to_pylist():
-                starts = {s: v for s, v in enumerate(np.frombuffer(row["best"])) if v > LOW}
-                back = np.full(pieces.longest, -1)
-                exits, trace = pieces.chunk(row["text"], row["size"], row["before"], {s: v for s, v in starts.items() if s <= row["size"]})
-                for e in np.flatnonzero(exits > LOW):
-                    back[e] = trace(row["size"] + int(e))[0]
+                back = Chunk(pieces, row["text"], row["size"], row["before"]).sources(open_states(row))
                 yield pa.RecordBatch.from_pylist([{"text_id": row["text_id"], "k": row["k"], "back": back.tobytes(), "best": row["best"], "total": row["total"]}])
 
     def choose(batches):
@@ -300,9 +343,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, checked: bool = False
         pieces = pieces_of(path)
         for batch in batches:
             for row in batch.to_pylist():
-                starts = {s: v for s, v in enumerate(np.frombuffer(row["best"])) if v > LOW and s <= row["size"]}
-                _, trace = pieces.chunk(row["text"], row["size"], row["before"], starts)
-                ids = trace(row["size"] + row["exit"])[1]
+                ids = Chunk(pieces, row["text"], row["size"], row["before"]).ids(open_states(row), row["exit"])
                 yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "text_id": row["text_id"], "k": row["k"], "ids": _ids(ids), "total": row["total"] if row["last"] else LOW}])
 
     ordered = lambda df: df.repartition("text_id").sortWithinPartitions("text_id", "k")
