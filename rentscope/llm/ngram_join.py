@@ -151,7 +151,7 @@ def describe(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 def _buckets(batches) -> Iterator[pa.Table]:
-    """Sorted rows in tables that end where a bucket (gram, i, j) does."""
+    """Sorted rows in tables that end where a bucket (gram, i) does."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -160,8 +160,8 @@ def _buckets(batches) -> Iterator[pa.Table]:
         table = pa.Table.from_batches(held)
         if table.num_rows < 4 * BUCKET:
             continue
-        g, i, j = (table.column(k).to_numpy() for k in ("gram", "i", "j"))
-        last = np.flatnonzero((g != g[-1]) | (i != i[-1]) | (j != j[-1]))
+        g, i = (table.column(k).to_numpy() for k in ("gram", "i"))
+        last = np.flatnonzero((g != g[-1]) | (i != i[-1]))
         if len(last):
             yield table.slice(0, last[-1] + 1)
             held = table.slice(last[-1] + 1).combine_chunks().to_batches()
@@ -172,12 +172,13 @@ def _buckets(batches) -> Iterator[pa.Table]:
 def _likely(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs (a, b) of one bucket that the length, positional and bitmap filters let pass.
 
-    ``a`` comes before ``b`` in the bucket. Where both sides are in one label,
-    or in the same half of a bucket in two halves, there is nothing to look for.
+    ``a`` comes before ``b`` in the bucket. There is nothing to look for within
+    a label, or between two sets that are both guests from other blocks.
     """
-    g, i, j, block, n, at, label = (table.column(k).to_numpy() for k in ("gram", "i", "j", "block", "n", "at", "label"))
+    g, i, block, n, at, label = (table.column(k).to_numpy() for k in ("gram", "i", "block", "n", "at", "label"))
+    native = i == block
     maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(g), BITMAP // 64)
-    fresh = np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    fresh = np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])]
     starts = np.flatnonzero(fresh)
     ends = np.append(starts[1:], len(g))[np.cumsum(fresh) - 1]
     partners = ends - np.arange(len(g)) - 1
@@ -190,7 +191,7 @@ def _likely(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
         row = stop
         pass_ = (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])) & (label[a] != label[b])
-        pass_ &= (i[a] == j[a]) | (block[a] != block[b])
+        pass_ &= native[a] | native[b]
         a, b = a[pass_], b[pass_]
         need = least_overlap(n[a] + n[b])
         pass_ = np.minimum(n[a] - at[a], n[b] - at[b]) >= need  # at the first gram that both prefixes hold
@@ -199,12 +200,12 @@ def _likely(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield a[pass_], b[pass_]
 
 
-_ROWS = "gram long, i int, j int, block int, blocks int, set_id long, n long, at int, bitmap binary, label long"
+_ROWS = "gram long, i int, block int, blocks int, set_id long, n long, at int, bitmap binary, label long"
 _KEPT = [x.split()[0] for x in _ROWS.split(", ")]
 
 
 def _hook(batches):
-    """The rows that have a likely partner, or that other halves of the bucket may have, each with the first such set."""
+    """The rows that have a likely partner, or that other blocks of the bucket may have, each with the first such set."""
     for table in _buckets(batches):
         ids = table.column("set_id").to_numpy()
         first = np.full(len(ids), len(ids))
@@ -226,7 +227,7 @@ def _pairs(batches):
 
 
 def _by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.select(*_KEPT).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "set_id")
+    return rows.select(*_KEPT).repartition("gram", "i").sortWithinPartitions("gram", "i", "set_id")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
@@ -236,17 +237,23 @@ def buckets(sets: DataFrame) -> DataFrame:
     rows = postings.join(shared, "gram").join(sets.select("set_id", "bitmap"), "set_id")
     blocks = F.ceil(F.col("n_sets") / BUCKET).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    return rows.withColumns({"i": F.col("block"), "j": F.col("block"), "label": F.col("set_id")})
+    return rows.withColumns({"i": F.col("block"), "label": F.col("set_id")})
 
 
 def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one label, each block against each."""
+    """Rows of buckets that hold more than one label.
+
+    The sets of a bucket's most frequent label stay in their own block; the
+    others are guests in every other block too. So two sets of different labels
+    meet in a block, and a group that is one component already costs a row a set.
+    """
     rows = rows.drop("label").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
     rows = rows.withColumn("label", F.coalesce("label", "set_id"))
-    mixed = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    rows = rows.join(mixed, "gram")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    held = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n_held"))
+    mixed = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n_labels"), F.max_by("label", F.struct("n_held", "label")).alias("main"))
+    rows = rows.join(mixed.where("n_labels > 1"), "gram")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return rows.withColumn("i", F.explode(F.when(F.col("label") == F.col("main"), F.array("block")).otherwise(every)))
 
 
 def verified(docs: DataFrame, first_docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -289,7 +296,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     group of near copies without its pairs; then every likely pair that still
     lies in two components is verified. So no link between components is lost
     and the pairs within one are never made. A gram that very many sets hold is
-    dealt over blocks of sets, first each by itself, then block against block.
+    dealt over blocks of sets, first each by itself; then sets outside the
+    gram's largest component visit every block.
 
     Null and empty texts and those of white space alone have no grams and are
     components of their own. Rows without doc_id are left out; a doc_id that
@@ -330,3 +338,27 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` less all but the smallest doc_id of each component; all columns stay."""
     return keeping(docs, similar_documents(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+
+
+SQL = r"""
+    with recursive split as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') as w
+      from documents where doc_id is not null),
+    grams as (
+      select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+               else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
+      from split),
+    sizes as (select doc_id, count(*) as n from grams group by doc_id),
+    shared as (
+      select a.doc_id as x, b.doc_id as y, count(*) as k
+      from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+    links as (
+      select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+      where 100 * k >= 90 * (a.n + b.n - k)),
+    reached as (
+      select doc_id, doc_id as r from split
+      union
+      select doc_id, y from reached join links on x = r)
+    select doc_id, coalesce(n, 0) as n_shingles, min(r) as component_id
+    from reached left join sizes using (doc_id) group by doc_id, n"""

@@ -38,6 +38,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_quality_rules": quality_rules.SQL,
+    "op3_ngram_join": ngram_join.SQL,
     "op8_exact_dedup": """
         with normal as (
           select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm
