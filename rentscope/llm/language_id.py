@@ -101,7 +101,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, passes: int = PASSES, penalty: float
     weight = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean()) / len(y)
     weight = weight.astype(x.dtype)
     w = look = np.zeros(x.shape[1] + 1, x.dtype)
-    rate = 0.5 / ((weight * ((x * x).sum(axis=1) + 1)).sum() + penalty)
+    rate = 0.5 / ((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum() + penalty)
     for k in range(passes):
         short = np.maximum(0, 1 - y * (x @ look[:-1] + look[-1])) * weight * y
         step = look + rate * (2 * np.append(short @ x, short.sum()) - penalty * np.append(look[:-1], 0))
@@ -111,7 +111,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, passes: int = PASSES, penalty: float
 
 def shares(counts: np.ndarray) -> np.ndarray:
     """Rows of n-gram counts as shares of the text's n-grams, scaled to margins near 1."""
-    return SCALE * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    return counts * (SCALE / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -124,15 +124,14 @@ def gram_counts(text: str) -> np.ndarray:
     return out
 
 
-def train(sample: list[tuple[str, np.ndarray]]) -> LanguageModel:
-    """A model from (language, n-gram counts) of labelled documents."""
-    names = sorted({lang for lang, _ in sample})
+def train(langs: list[str], x: np.ndarray) -> LanguageModel:
+    """A model from the languages and n-gram shares of labelled documents."""
+    names = sorted(set(langs))
     families: dict[str, list[str]] = {}
     for name in names:
         families.setdefault(FAMILY.get(name, name), []).append(name)
-    lang = np.array([name for name, _ in sample], object)
+    lang = np.array(langs, object)
     family = np.array([FAMILY.get(name, name) for name in lang], object)
-    x = shares(np.stack([c for _, c in sample])).astype(np.float32) if sample else np.empty((0, BUCKETS))
 
     def votes(labels: np.ndarray, of: list[str]) -> list[Linear]:
         out = []
@@ -153,19 +152,17 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> LanguageMode
             counts = [gram_counts(t) for t in batch.column(1).to_pylist()]
             used = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([u.tolist() for u in used], pa.list_(pa.int32())), pa.array([c[u].tolist() for c, u in zip(counts, used)], pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2), pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())), pa.array([c[u] for c, u in zip(counts, used)], pa.list_(pa.int64()))],
                 ["doc_id", "lang", "used", "n"],
             )
 
     kinds = dict(rows.dtypes)
     told = rows.select("doc_id", "text", "lang").mapInArrow(count, f"doc_id {kinds['doc_id']}, lang string, used array<int>, n array<long>")
-    found = []
-    for row in told.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")]).to_pylist():
-        if row["used"]:
-            counts = np.zeros(BUCKETS, np.int64)
-            counts[row["used"]] = row["n"]
-            found.append((row["lang"], counts))
-    return train(found)
+    found = told.where(F.size("used") > 0).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    x = np.zeros((len(found), BUCKETS), np.float32)
+    for row, used, n in zip(x, found.column("used"), found.column("n")):
+        row[used.values.to_numpy()] = n.values.to_numpy()
+    return train(found.column("lang").to_pylist(), shares(x))
 
 
 def predictor(model: LanguageModel):
