@@ -233,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
 
     told = rows.select("doc_id", "text", "lang", "toxic").mapInArrow(buckets, "doc_id long, lang string, toxic long, buckets array<int>").toArrow().sort_by("doc_id")
     flat = told.column("buckets").combine_chunks()
-    data = [x.values.to_numpy().reshape(-1, PARTS).astype(np.int64) for x in flat] if len(told) else []
+    data = [x.values.to_numpy().reshape(-1, PARTS) for x in flat] if len(told) else []
     return train(data, told.column("toxic").to_numpy().astype(np.int64), told.column("lang").to_pylist())
 
 
