@@ -24,7 +24,7 @@ CHUNK = 1 << 15
 #: Words that a worker remembers.
 KEPT = 1_000_000
 SPACE = "▁"
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
+_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 _CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 LOW = -np.inf
 
@@ -98,11 +98,15 @@ class Pieces:
         return out
 
     def word(self, w: str) -> tuple[float, list[int]]:
-        """Score and ids of a whole word with the spaces before it; the first KEPT words are remembered."""
+        """Score and ids of a whole word with the spaces before it; the first KEPT words are remembered.
+
+        A word without a space mark ahead stands for one with a single mark.
+        """
         found = self.words.get(w)
         if found is None:
-            score, back = self.reach(w, 0, len(w), {0: 0.0})
-            found = score[-1], self.ids_between(w, path_to(back, len(w)))
+            text = w if w[:1] == SPACE else SPACE + w
+            score, back = self.reach(text, 0, len(text), {0: 0.0})
+            found = score[-1], self.ids_between(text, path_to(back, len(text)))
             if len(self.words) < KEPT:
                 self.words[w] = found
             else:
@@ -113,9 +117,10 @@ class Pieces:
         return found
 
     def whole(self, text: str) -> tuple[float, list[int]]:
-        """Score and ids of a text that is one chunk."""
+        """Score and ids of a normal text that is one chunk."""
         total, ids, get = 0.0, [], self.words.get
-        for w in _SEGMENT.findall(text):
+        simple = text and text[-1] != SPACE and SPACE * 2 not in text
+        for w in text[1:].split(SPACE) if simple else _SEGMENT.findall(text):
             score, own = get(w) or self.word(w)
             total += score
             ids += own
