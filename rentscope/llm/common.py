@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import types
@@ -17,7 +18,7 @@ from rentscope.session import configure, ensure_checkpoint_dir
 #: Characters of text handled at a time inside a task.
 SEGMENT = 1 << 20
 #: Distinct words a worker remembers before it starts afresh.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
 
 _BREAK = re.compile(r" (?=\S)")
 
@@ -63,6 +64,7 @@ def in_worker(key, make: Callable):
     held = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker"))
     if getattr(held, "key", None) != key:
         held.key = held.value = None
+        gc.collect()  # tables and what fills them refer to each other
         held.key, held.value = key, make()
     return held.value
 
