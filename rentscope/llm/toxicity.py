@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.common import Words, bounded, held_out, in_worker, pick, segments, sums_by
+from rentscope.llm.common import Words, bounded, held_out, in_worker, pick, ragged, segments, sums_by
 
 #: Buckets of hashed words, numbers a word, filter widths, filters of each.
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 6
@@ -25,8 +25,8 @@ PREFIXES = (4, 5, 6, 7)
 PARTS = 1 + len(PREFIXES)
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 CHANNELS = FILTERS * sum(WIDTHS)
-#: Stands after a text's last word, so that each width has a window at every word.
-PAD = ""
+#: Stands PADS times after a text's last word, so that each width has a window at every word; and for a text without words.
+PAD, PADS = "", max(WIDTHS) - 1
 
 
 def word_buckets(word: str) -> list[int]:
@@ -53,21 +53,37 @@ class ToxicityModel:
     thresholds: dict[str | None, float]
 
     def parts(self, vectors: np.ndarray) -> np.ndarray:
-        """What each word adds to the filters, for every width and place in the window."""
-        return np.concatenate([vectors @ tap for width in self.taps for tap in width], axis=1).astype(np.float32)
+        """What each word adds to the filters, for every width and place in the window.
+
+        Added up by column, so that a word's numbers don't depend on the words around it.
+        """
+        taps = np.concatenate([tap for width in self.taps for tap in width], axis=1).astype(np.float32)
+        out = np.zeros((len(vectors), taps.shape[1]), np.float32)
+        for k in range(SIZE):
+            out += vectors[:, k : k + 1] * taps[k]
+        return out
 
     def score(self, pooled: np.ndarray) -> np.ndarray:
-        z = np.maximum(pooled + self.biases, 0) @ self.output + self.offset
+        z = (np.maximum(pooled + self.biases, 0) * self.output).sum(axis=1) + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def pool(parts: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Maximum over each text's windows for every filter; two pads follow a text's words."""
+def pool(parts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Maximum over the windows that start on a text's own words, for every filter.
+
+    ``sizes`` counts the words of each text; PADS pads follow them, so no window
+    reaches into the next text. Where ``more`` is set the text goes on: only
+    windows that end on its words count, and a text without any gives -inf.
+    """
     out, at = [], 0
     for width in WIDTHS:
         total = parts[:, at : at + FILTERS].copy()
         for k in range(1, width):
             total[:-k] += parts[k:, at + k * FILTERS : at + (k + 1) * FILTERS]
+        used = sizes if more is None else np.where(more, np.maximum(sizes - (width - 1), 0), sizes)
+        own = np.zeros(len(total), bool)
+        own[ragged(starts, used)] = True
+        total[~own] = -np.inf
         out.append(np.maximum.reduceat(total, starts, axis=0))
         at += width * FILTERS
     return np.concatenate(out, axis=1)
@@ -112,11 +128,12 @@ def best_cut(margins: np.ndarray, labels: np.ndarray) -> float:
     return float(np.clip(m[k] - gaps[k] / 2, -6, 6))
 
 
-def arrays(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all texts' words with two pads (-1) after each, and where texts start."""
-    sizes = np.array([len(t) + 2 for t in texts], np.int64)
-    pads = np.full((2, PARTS), -1, np.int64)
-    return np.concatenate([x for t in texts for x in (t, pads)]), np.cumsum(sizes) - sizes
+def arrays(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all texts' words with pads (-1) after each, where texts start, and their words; a pad stands for none."""
+    pads = np.full((PADS, PARTS), -1, np.int64)
+    own = [t if len(t) else pads[:1] for t in texts]
+    sizes = np.array([len(t) for t in own], np.int64)
+    return np.concatenate([x for t in own for x in (t, pads)]), np.cumsum(sizes + PADS) - sizes - PADS, sizes
 
 
 def vectors_of(embeddings: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -146,8 +163,8 @@ def only_known(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
 def logits(model: ToxicityModel, texts: list) -> np.ndarray:
     out = []
     for at in range(0, len(texts), 32):
-        ids, starts = arrays(texts[at : at + 32])
-        pooled = pool(model.parts(vectors_of(model.embeddings, only_known(ids, model.known))), starts)
+        ids, starts, sizes = arrays(texts[at : at + 32])
+        pooled = pool(model.parts(vectors_of(model.embeddings, only_known(ids, model.known))), starts, sizes)
         out.append(np.maximum(pooled + model.biases, 0) @ model.output + model.offset)
     return np.concatenate(out) if out else np.empty(0)
 
@@ -177,15 +194,14 @@ def fit(texts: list, labels: np.ndarray, passes: int) -> ToxicityModel:
         order = rng.permutation(len(labels))
         for at in range(0, len(order), 32):
             batch = order[at : at + 32]
-            ids, starts = arrays([texts[i] for i in batch])
+            ids, starts, sizes = arrays([texts[i] for i in batch])
             x = vectors_of(table, ids)
-            ends = np.append(starts[1:], len(ids))
             best, peak = [], []
             for w, tap in zip(WIDTHS, taps):
                 total = x @ tap[0]
                 for k in range(1, w):
                     total[:-k] += x[k:] @ tap[k]
-                where = np.stack([a + np.argmax(total[a:b], axis=0) for a, b in zip(starts, ends)])
+                where = np.stack([a + np.argmax(total[a:b], axis=0) for a, b in zip(starts, starts + sizes)])
                 best.append(where)
                 peak.append(np.take_along_axis(total, where, axis=0))
             pooled = np.concatenate(peak, axis=1) + bias
@@ -199,7 +215,7 @@ def fit(texts: list, labels: np.ndarray, passes: int) -> ToxicityModel:
                 d = dh[:, j * FILTERS : (j + 1) * FILTERS]
                 g = np.zeros_like(tap)
                 for k in range(w):
-                    at_k = np.minimum(best[j] + k, len(x) - 1)
+                    at_k = best[j] + k
                     g[k] = np.einsum("nfs,nf->sf", x[at_k], d)
                     rows.append(at_k.ravel())
                     grads.append((d[:, :, None] * tap[k].T[None]).reshape(-1, SIZE))
@@ -244,9 +260,10 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     threshold that was calibrated for the document's ``lang`` (0.5 if there was
     too little to calibrate on). Each word costs one lookup and a few additions:
     what it adds to every filter is kept by word, and a text's filters are
-    maxima over all its windows, however long it is.
+    maxima over all its windows, however long it is. A window starts on a word
+    of the text and takes in no other text, so a score is the same in any batch.
 
-    Null and empty texts are scored as a text without words. Rows without
+    Null and empty texts are scored as a text without words, which one pad stands for. Rows without
     doc_id are left out; rows that repeat a doc_id are scored each; other
     columns are ignored; an empty table gives none.
     """
@@ -267,16 +284,21 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             pooled = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
-            tail: tuple[int, list[str]] = (-1, [])
+            tail: tuple[int, list[str], int] = (-1, [], 0)
             for part in segments(texts):
-                flat, starts, owners = [], [], []
+                flat, starts, sizes, more, owners = [], [], [], [], []
                 for i, piece in part:
-                    words_here = (tail[1] if tail[0] == i else []) + piece.split()
-                    tail = i, words_here[-2:]
+                    before, read = tail[1:] if tail[0] == i else ([], 0)
+                    words_here = before + piece.split()
+                    tail = i, words_here[-PADS:], read + len(piece)
+                    more.append(tail[2] < len(texts[i]))
+                    if not words_here:
+                        words_here = [] if more[-1] else [PAD]
                     starts.append(len(flat))
+                    sizes.append(len(words_here))
                     owners.append(i)
-                    flat += [*words_here, PAD, PAD]
-                best = pool(words.of(flat), np.array(starts))
+                    flat += [*words_here, *[PAD] * PADS]
+                best = pool(words.of(flat), np.array(starts), np.array(sizes), np.array(more))
                 np.maximum.at(pooled, np.array(owners), best)
             scores = own.score(pooled) if texts else np.empty(0)
             cut = np.array([own.thresholds.get(lang, own.thresholds[None]) for lang in batch.column(2).to_pylist()])

@@ -359,6 +359,58 @@ def test_toxicity_ignores_language_and_sees_whole_texts(spark):
     assert got[3]["score"] == got[4]["score"] and got[5]["score"] == got[6]["score"]
 
 
+def tap_model():
+    """A model whose first filter of each width adds up what words of known buckets hold."""
+    rnd = np.random.default_rng(3)
+    taps = [rnd.normal(size=(w, toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    # float16 keeps these exactly, so that a model and its broadcast form agree
+    table = rnd.normal(size=(toxicity.BUCKETS, toxicity.SIZE)).astype(np.float16).astype(np.float32)
+    return toxicity.ToxicityModel(table, np.ones(toxicity.BUCKETS, bool), taps, np.zeros(n), rnd.normal(size=n) / 30, 0.0, {None: 0.5})
+
+
+def brute_score(model, text):
+    """Score of one text alone: windows start on its words and reach into pads; one pad stands for no words."""
+    ids = np.array([toxicity.word_buckets(w) for w in (text or "").split() or [""]] + [[-1] * toxicity.PARTS] * 2)
+    x, pooled = toxicity.vectors_of(model.embeddings, ids), []
+    for w, tap in zip(toxicity.WIDTHS, model.taps):
+        pooled.append(np.max([sum(x[i + k] @ tap[k] for k in range(w)) for i in range(len(x) - 2)], axis=0))
+    return float(model.score(np.concatenate(pooled)[None])[0])
+
+
+def test_toxicity_score_is_of_the_text_alone(spark, monkeypatch):
+    """Next to other texts, in any order and batch, cut or whole, a text has the same score."""
+    model = tap_model()
+    texts = [None, "", " \n", "calm", "toxic words here", "calm river", "toxic", "a calm river of many slow words " * 9, "calm", ""]
+    want = [brute_score(model, t) for t in texts]
+    got = set()
+    for seed, rows in ((0, "1"), (1, "3"), (2, "100")):
+        order = list(range(len(texts)))
+        random.Random(seed).shuffle(order)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            docs = spark.createDataFrame([(i, texts[i], "en") for i in order], "doc_id long, text string, lang string").coalesce(1)
+            got.add(tuple(told(toxicity.toxicity(docs, model), "doc_id", "score")))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 1
+    assert [s for _, s in got.pop()] == pytest.approx(want, abs=1e-5)
+
+
+def test_toxicity_pools_cut_texts_like_whole_ones():
+    """Windows of a text that goes on end on its words; pads belong to no maximum."""
+    model, words = tap_model(), [f"w{k}" for k in range(9)]
+    rows = lambda own: model.parts(toxicity.vectors_of(model.embeddings, np.array([toxicity.word_buckets(w) for w in own])))
+    whole = toxicity.pool(rows([*words, "", ""]), np.array([0]), np.array([9]))
+    for cut in range(10):
+        head, rest = words[:cut], words[max(0, cut - 2) :]
+        flat, starts = [*head, "", "", *rest, "", ""], np.array([0, len(head) + 2])
+        parts = toxicity.pool(rows(flat), starts, np.array([len(head), len(rest)]), np.array([True, False]))
+        assert (parts.max(axis=0) == whole[0]).all()
+    beside = toxicity.pool(rows(["calm", "", "", *words, "", ""]), np.array([0, 3]), np.array([1, 9]))
+    assert (beside[0] == toxicity.pool(rows(["calm", "", ""]), np.array([0]), np.array([1]))[0]).all()
+
+
 def test_quality_rank_held_out(spark):
     docs, labels = labelled(spark, SF01)
     rows = quality_rank.scored(docs, labels).join(labels, "doc_id").where("held_out").collect()
