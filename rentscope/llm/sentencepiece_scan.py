@@ -1,6 +1,8 @@
-"""SentencePiece encoding as a max-plus scan, and decoding.
+"""SentencePiece encoding, by merges for a BPE file and as a max-plus scan for a unigram file, and decoding.
 
-A segmentation's score is the sum of its pieces' scores; the best one is a
+A BPE file's ids come from merges in the order of rank, which no sum of scores
+gives; the library makes them, word by word, inside the tasks. The rest is for
+unigram files, whose ids are the best segmentation: a segmentation's score is the sum of its pieces' scores; the best one is a
 product of max-plus matrices. A giant document is cut into chunks; a chunk's
 transfer matrix says what is gained from each state at its start (how far the
 piece across the boundary reaches in) to each state at its end.
@@ -97,6 +99,10 @@ class Pieces:
             out += [found[1]] if found else [self.byte[c] for c in text[a:b].encode()]
         return out
 
+    def segmented(self, text: str) -> tuple[float, list[int]]:
+        score, back = self.reach(text, 0, len(text), {0: 0.0})
+        return score[-1], self.ids_between(text, path_to(back, len(text)))
+
     def word(self, w: str) -> tuple[float, list[int]]:
         """Score and ids of a whole word with the spaces before it; the first KEPT words are remembered.
 
@@ -104,9 +110,7 @@ class Pieces:
         """
         found = self.words.get(w)
         if found is None:
-            text = w if w[:1] == SPACE else SPACE + w
-            score, back = self.reach(text, 0, len(text), {0: 0.0})
-            found = score[-1], self.ids_between(text, path_to(back, len(text)))
+            found = self.segmented(w if w[:1] == SPACE else SPACE + w)
             if len(self.words) < KEPT:
                 self.words[w] = found
             else:
@@ -143,6 +147,61 @@ class Pieces:
         return "".join(out).replace(SPACE, " ")[1:]
 
 
+def proto_of(path: str):
+    from sentencepiece import sentencepiece_model_pb2
+
+    return sentencepiece_model_pb2.ModelProto.FromString(open(path, "rb").read())
+
+
+def is_bpe(path: str) -> bool:
+    spec = proto_of(path).trainer_spec
+    return spec.model_type == spec.BPE
+
+
+class Merges(Pieces):
+    """A BPE file's encoding, as the library gives it; a score is the sum of the file's scores of the ids."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        super().__init__(path)
+        self.table = {}
+        proto = proto_of(path)
+        spec = proto.normalizer_spec
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
+            raise ValueError("the file changes texts before they are encoded")
+        if any(p.type == p.USER_DEFINED for p in proto.pieces) or not proto.trainer_spec.byte_fallback:
+            raise ValueError("the file has pieces that are not merged, or none for unknown characters")
+        spec.add_dummy_prefix = False  # texts here begin with their mark
+        self.lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.scores = [p.score for p in proto.pieces]
+        #: Characters that stand side by side in a piece; between any others nothing is merged.
+        self.pairs = {t[k : k + 2] for t in self.score for k in range(len(t) - 1)}
+
+    def segmented(self, text: str) -> tuple[float, list[int]]:
+        ids = self.lib.encode(text)
+        return sum(map(self.scores.__getitem__, ids)), ids
+
+    def cuts(self, text: str, chunk: int) -> list[int]:
+        """Places about ``chunk`` characters apart, at each of which no merge crosses; 0 and the end included."""
+        out = [0]
+        while out[-1] < len(text):
+            at = out[-1] + chunk
+            while at < len(text) and text[at - 1 : at + 1] in self.pairs:
+                at += 1
+            out.append(min(at, len(text)))
+        return out
+
+    def part(self, text: str) -> tuple[float, list[int]]:
+        """Score and ids of what lies between two cuts; it may begin inside a word."""
+        first = text.find(SPACE)
+        if first == 0:
+            return self.whole(text)
+        lead = self.segmented(text if first < 0 else text[:first])
+        rest = self.whole(text[first:]) if first > 0 else (0.0, [])
+        return lead[0] + rest[0], lead[1] + rest[1]
+
+
 def path_to(back: list[int], at: int, begin: int = 0) -> list[int]:
     """The cuts that lead to position ``at``; ``back`` starts at position ``begin``."""
     cuts = [at]
@@ -223,6 +282,10 @@ def pieces_of(path: str) -> Pieces:
     return in_worker(("pieces", path), lambda: Pieces(path))
 
 
+def merges_of(path: str) -> Merges:
+    return in_worker(("merges", path), lambda: Merges(path))
+
+
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(axis=1)
 
@@ -369,6 +432,61 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, checked: bool = False
     return out.unionByName(joined)
 
 
+def merged(docs: DataFrame, path: str, chunk: int = CHUNK, checked: bool = False) -> DataFrame:
+    """doc_id, score, ids as ``encode`` has them, for a BPE file: the ids that its library gives the whole text.
+
+    No merge crosses from a word into the next, so words are encoded apart and
+    remembered. Texts over ``chunk`` are cut where no piece holds the characters
+    on both sides, parts are encoded in tasks of their own and joined in order;
+    the result doesn't depend on ``chunk``. ``checked`` and odd rows are as for
+    ``encode``.
+    """
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    long = F.coalesce(F.length("text"), F.lit(0)) >= chunk
+    names = ["doc_id", "score", *(_CHECKED if checked else ["ids"])]
+    schema = "doc_id long, score double, " + (", ".join(f"{x} long" for x in _CHECKED) if checked else "ids binary")
+
+    def made(pieces: Merges, docs: pa.Array, scores: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
+        told = _checked(pieces, ids) if checked else [pa.array(map(_ids, ids), pa.binary())]
+        return pa.RecordBatch.from_arrays([docs, scores, *told], names)
+
+    def short(batches):
+        pieces = merges_of(path)
+        for batch in batches:
+            found = [pieces.whole(pieces.normal(t)) for t in batch.column(1).to_pylist()]
+            yield made(pieces, batch.column(0), pa.array([s for s, _ in found], pa.float64()), [i for _, i in found])
+
+    def split(batches):
+        pieces = merges_of(path)
+        for batch in batches:
+            for doc, text, text_id in zip(*(c.to_pylist() for c in batch.columns)):
+                text = pieces.normal(text)
+                cuts = pieces.cuts(text, chunk)
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "text_id": text_id, "k": k, "text": text[a:b]}])
+
+    def parts(batches):
+        pieces = merges_of(path)
+        for batch in batches:
+            for row in batch.to_pylist():
+                score, ids = pieces.part(row["text"])
+                yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "text_id": row["text_id"], "k": row["k"], "score": score, "ids": _ids(ids)}])
+
+    def check(batches):
+        pieces = merges_of(path)
+        for batch in batches:
+            yield made(pieces, batch.column(0), batch.column(1), [np.frombuffer(b, "<u4").tolist() for b in batch.column(2).to_pylist()])
+
+    out = rows.where(~long).mapInArrow(short, schema)
+    # Rows that repeat a doc_id are told apart by a number, written with the parts.
+    giant = rows.where(long).withColumn("text_id", F.monotonically_increasing_id())
+    chunks = written(giant.mapInArrow(split, "doc_id long, text_id long, k long, text string").repartition("text_id", "k"), "chunks")
+    encoded = chunks.mapInArrow(parts, "doc_id long, text_id long, k long, score double, ids binary")
+    joined = encoded.groupBy("text_id").agg(F.first("doc_id").alias("doc_id"), F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    joined = joined.select("doc_id", "score", F.expr("aggregate(parts, X'', (a, x) -> concat(a, x.ids))").alias("ids"))
+    return out.unionByName(joined.mapInArrow(check, schema) if checked else joined)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the text that its ids stand for in place of ids."""
 
@@ -382,5 +500,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, score, n_pieces, ids_crc32, n_chars and text_crc32 of what the ids decode to, for each document."""
-    return encode(docs, tokenizer_path("piece_bpe_32k.model"), checked=True)
+    """doc_id, score, n_pieces, ids_crc32, n_chars and text_crc32 of what the ids decode to, for each document.
+
+    The ids are the ones that the file's library gives.
+    """
+    path = tokenizer_path("piece_bpe_32k.model")
+    return (merged if is_bpe(path) else encode)(docs, path, checked=True)

@@ -285,6 +285,28 @@ def test_sentencepiece_scan(odd, pairs, empty, chunk):
         assert sentencepiece_scan.encode(empty, path, chunk).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [16, 200, sentencepiece_scan.CHUNK])
+def test_sentencepiece_ids_are_the_library_s(odd, pairs, empty, chunk):
+    import sentencepiece
+
+    path = bpe.tokenizer_path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = [(i, sum(map(lib.get_score, lib.encode(t or ""))), lib.encode(t or "")) for i, t in pairs]
+    encoded = sentencepiece_scan.merged(odd, path, chunk)
+    assert sorted((r["doc_id"], r["score"], np.frombuffer(r["ids"], "<u4").tolist()) for r in encoded.collect()) == want
+    assert sentencepiece_scan.merged(empty, path, chunk).count() == 0
+
+
+def test_sentencepiece_query_gives_the_library_s_ids(spark, odd, pairs):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=bpe.tokenizer_path("piece_bpe_32k.model"))
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    for df, rows in ((odd, pairs), (spark.createDataFrame(docs, "doc_id long, text string"), sorted(docs))):
+        want = [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(lib.decode(ids))) for i, ids in ((i, lib.encode(t or "")) for i, t in rows)]
+        assert told(sentencepiece_scan.encoded_documents(df), "doc_id", "n_pieces", "ids_crc32", "n_chars") == want
+
+
 def test_sentencepiece_decodes_as_the_library(pairs):
     import sentencepiece
 
