@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]"
 NO_SYMBOL = r"[^#*$%&|<>]+"
 #: A line is removed when more of its host's documents hold it than this share, and than this many.
 HOST_SHARE, HOST_DOCUMENTS = 0.1, 5
+#: Where a host is large: a line of so many words goes when more than so many of its host's documents hold it, whatever their share.
+HOST_MOST, LINE_WORDS = 30, 8
 #: A document is depleted when less than this percentage of its words, or fewer words, are left.
 LEFT_PERCENT, LEFT_WORDS = 30, 10
 
@@ -79,25 +81,33 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "host", "content", F.xxhash64("normal").alias("line"), F.size(F.split("normal", " ")).cast("long").alias("n_words"))
 
 
-def host_lines(lines: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS) -> DataFrame:
+def host_lines(lines: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = None) -> DataFrame:
     """host, line: those that more than ``share`` of the host's documents hold, and more than ``least``.
 
+    With ``most`` also those of LINE_WORDS words or more that over ``most`` of
+    them hold, so that the limit doesn't rise with the host; shorter ones, which
+    may be common by chance, need the share.
+
     Documents count as distinct contents, so that copies of one text don't make
     its lines frequent. Rows are first reduced to one for each (host, line,
     content), which spreads a line that a third of all documents hold.
     """
-    held = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    held = lines.select("host", "line", "content", "n_words").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("n_words"))
     hosts = lines.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    often = held.where(F.col("n_docs") > least).join(hosts, "host")
-    return often.where(F.col("n_docs") > share * F.col("host_docs")).select("host", "line")
+    often = held.where(F.col("n_docs") > (least if most is None else min(least, most))).join(hosts, "host")
+    frequent = (F.col("n_docs") > least) & (F.col("n_docs") > share * F.col("host_docs"))
+    if most is not None:
+        frequent |= (F.col("n_docs") > most) & (F.col("n_words") >= LINE_WORDS)
+    return often.where(frequent).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, left_percent: int = LEFT_PERCENT, left_words: int = LEFT_WORDS) -> DataFrame:
+def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, left_percent: int = LEFT_PERCENT, left_words: int = LEFT_WORDS, most: int | None = None) -> DataFrame:
     """One row a document: the figures of ``figures``, n_removed_words and kept.
 
     Words are runs of characters other than ASCII white space. Lines that a
     host (``source``; null is a host of its own) repeats over the limits of
-    ``host_lines`` are removed; a document is rejected when it failed the base
+    ``host_lines`` are removed (the registered query has those of its SQL, the
+    share without ``most``); a document is rejected when it failed the base
     rules, or when lines were removed and less than ``left_percent`` of its
     words or fewer than ``left_words`` words are left.
 
@@ -106,7 +116,7 @@ def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_
     of them; other columns are ignored; an empty table gives none.
     """
     lines = lines_of(docs)
-    removed = lines.join(host_lines(lines, share, least), ["host", "line"]).groupBy("doc_id").agg(F.sum("n_words").alias("n_removed_words"))
+    removed = lines.join(host_lines(lines, share, least, most), ["host", "line"]).groupBy("doc_id").agg(F.sum("n_words").alias("n_removed_words"))
     rows = figures(docs).join(removed, "doc_id", "left")
     rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_removed_words")
@@ -114,9 +124,9 @@ def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_
     return rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def passing(docs: DataFrame) -> DataFrame:
-    """``docs`` less the rows that the rules reject; all columns stay."""
-    return keeping(docs, quality_rules(docs).select("doc_id", "kept"))
+def passing(docs: DataFrame, most: int | None = HOST_MOST) -> DataFrame:
+    """``docs`` less the rows that the rules reject, with the limit for large hosts; all columns stay."""
+    return keeping(docs, quality_rules(docs, most=most).select("doc_id", "kept"))
 
 
 SQL = rf"""

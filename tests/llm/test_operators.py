@@ -201,6 +201,22 @@ def test_quality_rules_count_distinct_texts_by_host(spark):
     assert all(got[20 + k]["kept"] for k in range(30)) and got[60]["n_removed_words"] == 0
 
 
+def test_quality_rules_of_a_large_host(spark):
+    """A long line far below the share goes above the absolute limit; a short one and one below it stay."""
+    filler = lambda k: " ".join(f"w{k}x{j}" for j in range(14))
+    long, short, rare = "all rights are reserved by the owner of this site", "read more here", "a line of nine words that few documents hold"
+    most = quality_rules.HOST_MOST
+    rows = [(k, filler(k), "big") for k in range(1000)]
+    rows += [(2000 + k, f"{long}\nonly {k} two three four five", "big") for k in range(most + 1)]
+    rows += [(3000 + k, f"{short}\n{filler(3000 + k)}", "big") for k in range(most + 1)]
+    rows += [(4000 + k, f"{rare}\nonly {k} two three four five", "big") for k in range(most)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, most=most).collect()}
+    assert all(got[2000 + k]["n_removed_words"] == 10 and not got[2000 + k]["kept"] for k in range(most + 1))
+    assert all(r["kept"] and not r["n_removed_words"] for i, r in got.items() if not 2000 <= i < 3000)
+    assert told(quality_rules.passing(docs), "doc_id") == [(i,) for i, *_ in rows if not 2000 <= i < 3000]
+
+
 def gram_set(text):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))) if words else frozenset()
