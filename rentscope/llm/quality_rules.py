@@ -71,13 +71,20 @@ def figures(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
+def normal_line(raw: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(raw, SPACE, " ")))
+
+
+def host_of() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, host, content, line, n_words: the lines with a word, normalised and hashed."""
     rows = pick(docs, "doc_id", "source", "text").where(F.col("text").isNotNull())
-    rows = rows.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("content"), F.explode(F.split("text", "\n")).alias("raw"))
+    rows = rows.select("doc_id", host_of().alias("host"), F.xxhash64("text").alias("content"), F.explode(F.split("text", "\n")).alias("raw"))
     rows = rows.where(F.col("raw").rlike(WORD))
-    normal = F.lower(F.trim(F.regexp_replace("raw", SPACE, " ")))
-    rows = rows.select("doc_id", "host", "content", normal.alias("normal"))
+    rows = rows.select("doc_id", "host", "content", normal_line(F.col("raw")).alias("normal"))
     return rows.select("doc_id", "host", "content", F.xxhash64("normal").alias("line"), F.size(F.split("normal", " ")).cast("long").alias("n_words"))
 
 
@@ -101,6 +108,26 @@ def host_lines(lines: DataFrame, share: float = HOST_SHARE, least: int = HOST_DO
     return often.where(frequent).select("host", "line")
 
 
+def removed_lines(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = None) -> DataFrame:
+    """doc_id, host, gone (hashes of the lines that go), n_removed_words (in all their occurrences) where lines go."""
+    lines = lines_of(docs)
+    rows = lines.join(host_lines(lines, share, least, most), ["host", "line"])
+    return rows.groupBy("doc_id", "host").agg(F.collect_set("line").alias("gone"), F.sum("n_words").alias("n_removed_words"))
+
+
+def cleaned(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = HOST_MOST) -> DataFrame:
+    """``docs``, all columns, with texts less the lines that ``removed_lines`` names; no document goes.
+
+    What is left of a text keeps its bytes and order; a text that is nothing
+    else becomes empty, null stays null. Rows without doc_id are left out.
+    """
+    gone = removed_lines(docs, share, least, most).select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("gone").alias("_gone"))
+    rows = docs.where(F.col("doc_id").isNotNull()).join(gone, (F.col("doc_id") == F.col("_id")) & (host_of() == F.col("_host")), "left")
+    stays = lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("_gone"), F.xxhash64(normal_line(x))))
+    left = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
+    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+
+
 def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, left_percent: int = LEFT_PERCENT, left_words: int = LEFT_WORDS, most: int | None = None) -> DataFrame:
     """One row a document: the figures of ``figures``, n_removed_words and kept.
 
@@ -113,10 +140,9 @@ def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_
 
     Null and empty texts have no words, so they fail the base rules. Rows
     without doc_id are left out; rows that repeat a doc_id pool what is removed
-    of them; other columns are ignored; an empty table gives none.
+    of them; ``cleaned`` gives the texts less those lines; other columns are ignored; an empty table gives none.
     """
-    lines = lines_of(docs)
-    removed = lines.join(host_lines(lines, share, least, most), ["host", "line"]).groupBy("doc_id").agg(F.sum("n_words").alias("n_removed_words"))
+    removed = removed_lines(docs, share, least, most).groupBy("doc_id").agg(F.sum("n_removed_words").alias("n_removed_words"))
     rows = figures(docs).join(removed, "doc_id", "left")
     rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_removed_words")

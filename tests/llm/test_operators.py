@@ -217,6 +217,24 @@ def test_quality_rules_of_a_large_host(spark):
     assert told(quality_rules.passing(docs), "doc_id") == [(i,) for i, *_ in rows if not 2000 <= i < 3000]
 
 
+def test_cleaned_texts_lack_the_removed_lines(spark):
+    """What goes is what the query counts: lines of the document's own host, in every spelling; the rest stays as it is."""
+    filler = lambda k: " ".join(f"w{k}x{j}" for j in range(14))
+    menu = "Home  About us and our twelve other pages for all of you"
+    rows = [(k, f"{menu}\n\n {filler(k)}  \n{menu.upper()}\t", "a", k) for k in range(10)]
+    rows += [(11, f"{menu}\n{filler(11)}", "b", 0), (12, menu, "a", 0), (13, None, "a", 0), (14, "", None, 0)]
+    rows += [(3, f"{menu}\n{filler(3)}", "b", 0), (None, menu, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, host long")
+    out = quality_rules.cleaned(docs, share=0.5, least=5)
+    assert out.columns == docs.columns and "Python" not in out._jdf.queryExecution().toString()
+    want = [(k, f"\n {filler(k)}  ", "a", k) for k in range(10)] + [r for r in rows if r[0] in (11, 13, 14) or r[0] == 3 and r[2] == "b"] + [(12, "", "a", 0)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    words = lambda df: {r["doc_id"]: r["n"] for r in df.where("doc_id is not null").groupBy("doc_id").agg(F.sum(F.size(quality_rules.words_of(F.coalesce("text", F.lit(""))))).alias("n")).collect()}
+    before, after = words(docs), words(out)
+    told_ = {r["doc_id"]: r["n_removed_words"] for r in quality_rules.quality_rules(docs, share=0.5, least=5).collect()}
+    assert {i: before[i] - after[i] for i in before} == told_ and told_[3] == 24
+
+
 def gram_set(text):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))) if words else frozenset()
