@@ -1,4 +1,4 @@
-"""Similarity self-join of documents on word 3-grams: Jaccard of 0.9 or more.
+"""Similarity self-join of documents on word n-grams; of 3 words and a Jaccard of 0.9 or more unless told otherwise.
 
 Rare-first prefix filtering with length, positional and suffix (parity bitmap)
 filters; pairs are joined on prefix grams and verified on whole sets, each once.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rentscope.llm.common import Words, in_worker, keeping, pick, segments, sent_if_bounded, written
 from rentscope.llm.components import connected_components
 
-#: Words in a gram; least similarity in percent.
+#: Words in a gram (five at most); least similarity in percent: the query's.
 GRAM, PERCENT = 3, 90
 #: Cells of the frequency sketch that orders grams (4 bytes each; sent to every task), and its row blocks.
 CELL_BITS, BLOCKS = 21, 64
@@ -42,7 +42,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def gram_sets(texts: list[str | None], gram: int = GRAM) -> Iterator[np.ndarray]:
     """The sorted distinct gram hashes of each text.
 
     A-Z are lower-cased; words are runs of anything but ASCII white space; a
@@ -55,10 +55,10 @@ def gram_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     def made() -> np.ndarray:
         h = np.concatenate(waiting) if waiting else np.empty(0, np.uint64)
         waiting.clear()
-        if len(h) < GRAM:
+        if len(h) < gram:
             return _mixed((h * np.array(_MIX[: len(h)], np.uint64)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h))) if len(h) else h
-        n = len(h) - GRAM + 1
-        return np.unique(_mixed(sum(h[k : k + n] * _MIX[k] for k in range(GRAM))))
+        n = len(h) - gram + 1
+        return np.unique(_mixed(sum(h[k : k + n] * _MIX[k] for k in range(gram))))
 
     for part in segments(["" if t is None else t for t in texts]):
         pieces = [piece.encode().lower().split() for _, piece in part]
@@ -73,16 +73,16 @@ def gram_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield made()
 
 
-def least_overlap(total):
+def least_overlap(total, percent: int = PERCENT):
     """Grams that two sets of ``total`` grams together must share."""
-    return -((-PERCENT * total) // (100 + PERCENT))
+    return -((-percent * total) // (100 + percent))
 
 
 def _rows(doc_ids: pa.Array, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([doc_ids, *columns.values()], ["doc_id", *columns])
 
 
-def frequency_sketch(docs: DataFrame) -> np.ndarray:
+def frequency_sketch(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
     """How many documents hold the grams of each hash cell, as a logarithm in 16 bits: a fixed size for any input.
 
     It only orders grams, rare ones first; any order gives the same result.
@@ -92,7 +92,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
     def count(batches):
         cells, held, n = np.zeros(1 << CELL_BITS, np.int64), [], 0
         for batch in batches:
-            for s in gram_sets(batch.column(0).to_pylist()):
+            for s in gram_sets(batch.column(0).to_pylist(), gram):
                 held.append((s >> np.uint64(64 - CELL_BITS)).astype(np.int64))
                 n += len(s)
                 if n > 1 << 20:
@@ -120,7 +120,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
     return (np.log2(1 + out) * 1024).astype(np.uint16)
 
 
-def describe(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def describe(docs: DataFrame, sketch: np.ndarray, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, set_id, prefix, bitmap of each document.
 
     ``set_id`` names the set, so equal sets have one. ``prefix`` holds the
@@ -134,13 +134,13 @@ def describe(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         order = shared.value
         for batch in batches:
             n, ids, prefixes, maps = [], [], [], []
-            for s in gram_sets(batch.column(1).to_pylist()):
+            for s in gram_sets(batch.column(1).to_pylist(), gram):
                 n.append(len(s))
                 if not len(s):
                     ids.append(None), prefixes.append([]), maps.append(None)
                     continue
                 key = (order[s >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
-                most = len(s) - (PERCENT * len(s) + 99) // 100 + 1
+                most = len(s) - (percent * len(s) + 99) // 100 + 1
                 ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 prefixes.append(s[np.argsort(key, kind="stable")[:most]].view(np.int64))
                 odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
@@ -169,7 +169,7 @@ def _buckets(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _likely(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _likely(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs (a, b) of one bucket that the length, positional and bitmap filters let pass.
 
     ``a`` comes before ``b`` in the bucket. There is nothing to look for within
@@ -190,10 +190,10 @@ def _likely(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a = np.repeat(np.arange(row, stop), own)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
         row = stop
-        pass_ = (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])) & (label[a] != label[b])
+        pass_ = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (label[a] != label[b])
         pass_ &= native[a] | native[b]
         a, b = a[pass_], b[pass_]
-        need = least_overlap(n[a] + n[b])
+        need = least_overlap(n[a] + n[b], percent)
         pass_ = np.minimum(n[a] - at[a], n[b] - at[b]) >= need  # at the first gram that both prefixes hold
         a, b, need = a[pass_], b[pass_], need[pass_]
         pass_ = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b] - 2 * need
@@ -204,23 +204,23 @@ _ROWS = "gram long, i int, block int, blocks int, set_id long, n long, at int, b
 _KEPT = [x.split()[0] for x in _ROWS.split(", ")]
 
 
-def _hook(batches):
+def _hook(batches, percent: int):
     """The rows that have a likely partner, or that other blocks of the bucket may have, each with the first such set."""
     for table in _buckets(batches):
         ids = table.column("set_id").to_numpy()
         first = np.full(len(ids), len(ids))
         useful = table.column("blocks").to_numpy() > 1
-        for a, b in _likely(table):
+        for a, b in _likely(table, percent):
             np.minimum.at(first, b, a)
             useful[a] = useful[b] = True
         hook = pa.array(ids[np.minimum(first, len(ids) - 1)], mask=first == len(ids)) if len(ids) else pa.nulls(0, pa.int64())
         yield from table.append_column("hook", hook).filter(pa.array(useful)).combine_chunks().to_batches()
 
 
-def _pairs(batches):
+def _pairs(batches, percent: int):
     for table in _buckets(batches):
         ids = table.column("set_id").to_numpy()
-        for a, b in _likely(table):
+        for a, b in _likely(table, percent):
             x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
             own = np.unique(np.stack([x, y], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["x", "y"])
@@ -256,14 +256,14 @@ def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.explode(F.when(F.col("label") == F.col("main"), F.array("block")).otherwise(every)))
 
 
-def verified(docs: DataFrame, first_docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, first_docs: DataFrame, pairs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Those of the distinct ``pairs`` (x, y) whose whole sets are similar enough."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
     wanted = written(first_docs.join(ids, "set_id"), "wanted")
 
     def sets(batches):
         for batch in batches:
-            own = list(gram_sets(batch.column(0).to_pylist()))
+            own = list(gram_sets(batch.column(0).to_pylist(), gram))
             ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in own]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["set_id", "grams"])
 
@@ -277,18 +277,18 @@ def verified(docs: DataFrame, first_docs: DataFrame, pairs: DataFrame) -> DataFr
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(a) + len(b) - len(np.union1d(a, b))
-                links.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+                links.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
 
     rows = pairs.join(grams.select(F.col("set_id").alias("x"), F.col("grams").alias("of_x")), "x").join(grams.select(F.col("set_id").alias("y"), F.col("grams").alias("of_y")), "y")
     return written(rows.select("x", "y", "of_x", "of_y").mapInArrow(compare, "x long, y long"), "links")
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
+def similar_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each document.
 
-    Two documents link when 100 * intersection >= 90 * union of their sets of
-    3-word grams; component_id is the smallest doc_id reachable by links.
+    Two documents link when 100 * intersection >= ``percent`` * union of their
+    sets of grams of ``gram`` words; component_id is the smallest doc_id reachable by links.
 
     Equal sets are one node. Sets are dealt by their prefix grams; a bucket's
     likely pairs are found by the filters. First each set is verified against
@@ -304,8 +304,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     repeats has a row for each; other columns are ignored; an empty table gives
     none.
     """
+    if not 1 <= gram <= len(_MIX):
+        raise ValueError("no hashes for grams of so many words")
+
+    def hook(batches):
+        return _hook(batches, percent)
+
+    def likely(batches):
+        return _pairs(batches, percent)
+
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    told = written(describe(docs, frequency_sketch(docs)), "sets")
+    told = written(describe(docs, frequency_sketch(docs, gram), gram, percent), "sets")
     known = told.where("set_id is not null")
     first = written(known.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs")), "first")
     copied = first.where("n_docs > 1").select("set_id", "first_doc")
@@ -313,18 +322,18 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sets = known.join(sent_if_bounded(copies), ["set_id", "doc_id"], "left_anti").select("set_id", "n", "prefix", "bitmap")
     first_docs = first.select("set_id", "first_doc")
 
-    rows = written(_by_bucket(buckets(sets)).mapInArrow(_hook, f"{_ROWS}, hook long"), "buckets")
+    rows = written(_by_bucket(buckets(sets)).mapInArrow(hook, f"{_ROWS}, hook long"), "buckets")
     tried = written(rows.where("hook is not null").select(F.least("set_id", "hook").alias("x"), F.greatest("set_id", "hook").alias("y")).distinct(), "pairs")
-    links = verified(docs, first_docs, tried)
+    links = verified(docs, first_docs, tried, gram, percent)
     labels = connected_components(links)
     for again in (True, False):
         mixed = _by_bucket(relabelled(rows.drop("hook"), labels))
         if again:
-            found = mixed.mapInArrow(_hook, f"{_ROWS}, hook long").where("hook is not null").select(F.least("set_id", "hook").alias("x"), F.greatest("set_id", "hook").alias("y"))
+            found = mixed.mapInArrow(hook, f"{_ROWS}, hook long").where("hook is not null").select(F.least("set_id", "hook").alias("x"), F.greatest("set_id", "hook").alias("y"))
         else:
-            found = mixed.mapInArrow(_pairs, "x long, y long")
+            found = mixed.mapInArrow(likely, "x long, y long")
         found = written(found.distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
-        links = links.unionByName(verified(docs, first_docs, found))
+        links = links.unionByName(verified(docs, first_docs, found, gram, percent))
         tried = tried.unionByName(found)
         labels = connected_components(links)
 
@@ -335,9 +344,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "first_doc", "doc_id").alias("component_id"))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``docs`` less all but the smallest doc_id of each component; all columns stay."""
-    return keeping(docs, similar_documents(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    return keeping(docs, similar_documents(docs, gram, percent).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
 SQL = r"""

@@ -285,6 +285,21 @@ def test_ngram_join_of_a_large_group_in_blocks(spark, monkeypatch):
     assert told(out, "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def near_pair(changed):
+    """Two texts of 100 words; ``changed`` words of the second, far apart, are others."""
+    words = [f"w{k}" for k in range(100)]
+    return " ".join(words), " ".join(f"e{k}" if k and k % 30 == 0 and k <= 30 * changed else w for k, w in enumerate(words))
+
+
+def test_ngram_join_by_other_lengths_and_limits(spark):
+    """Of five words and 0.8: two changed words of 100 (86 of 106 grams) link, three (81 of 111) don't; 3 and 0.9 links neither."""
+    rows = [(1, near_pair(2)[0]), (2, near_pair(2)[1])] + [(k, f"x{t}".replace(" ", " x")) for k, t in zip((3, 4), near_pair(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert told(ngram_join.similar_documents(docs, 5, 80), "doc_id", "n_shingles", "component_id") == [(1, 96, 1), (2, 96, 1), (3, 96, 3), (4, 96, 4)]
+    assert told(ngram_join.without_near_duplicates(docs, 5, 80), "doc_id") == [(1,), (3,), (4,)]
+    assert told(ngram_join.similar_documents(docs), "doc_id", "component_id") == [(k, k) for k in range(1, 5)]
+
+
 def test_ngram_bitmap_never_exceeds_the_difference():
     rnd = random.Random(2)
     sets = list(ngram_join.gram_sets([" ".join(f"w{rnd.randrange(30)}" for _ in range(rnd.randint(3, 300))) for _ in range(40)]))
