@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rentscope.llm import arrow_output, byte_bpe, common, exact_dedup, language_id, ngram_join, packing, quality_rank, quality_rules, sentencepiece_scan, spelling_groups, token_counts, toxicity
+from rentscope.llm import arrow_output, byte_bpe, collocations, common, exact_dedup, language_id, ngram_join, packing, quality_rank, quality_rules, sentencepiece_scan, spelling_groups, token_counts, toxicity
 
 
 def _over(fn):
@@ -34,6 +34,7 @@ QUERIES = {
     "op8_exact_dedup": _over(exact_dedup.exact_duplicates),
     "op9_quality_rank": _labelled(quality_rank.scored),
     "op10_packing": _over(packing.byte_packing),
+    "op11_collocations": _over(collocations.collocations),
     "op12_spelling_groups": _over(spelling_groups.spelling_groups),
     "op13_byte_bpe": _over(byte_bpe.byte_round_trips),
 }
@@ -48,4 +49,5 @@ ORACLE = {
         select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = min(doc_id) over same as kept, sha256(norm) as text_sha256
         from normal window same as (partition by norm)""",
+    "op11_collocations": collocations.SQL,
 }
