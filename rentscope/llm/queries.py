@@ -47,7 +47,7 @@ ORACLE = {
           select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm
           from documents where doc_id is not null)
         select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,
-               doc_id = min(doc_id) over same as kept, sha256(norm) as text_sha256
+               row_number() over (partition by norm order by doc_id) = 1 as kept, sha256(norm) as text_sha256
         from normal window same as (partition by norm)""",
     "op11_collocations": collocations.SQL,
 }

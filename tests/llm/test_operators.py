@@ -155,15 +155,44 @@ def test_exact_duplicates(odd, pairs, empty):
 
 
 def test_exact_duplicates_over_many_partitions(spark):
-    """A group of half of the rows fills several partitions; a repeated row is a row of its own."""
+    """A group of half of the rows fills several partitions; a repeated row counts, but one of the group stays."""
     rows = [(i, "copy of a text" if i % 2 else f"text {i}") for i in range(400)] + [(7, "copy of a text")]
     spark.conf.set("spark.sql.shuffle.partitions", "17")
     try:
         out = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-        got = out.groupBy("keep_id", "group_size").count().where("group_size > 1").collect()
+        got = out.groupBy("keep_id", "group_size").agg(F.count("*"), F.sum(F.col("kept").cast("int"))).where("group_size > 1").collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert [tuple(r) for r in got] == [(1, 201, 201)]
+    assert [tuple(r) for r in got] == [(1, 201, 201, 1)]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_one_of_repeated_rows_stays(spark, partitions):
+    """Ids that name two texts and rows that repeat: of equal texts one row with the smallest id stays."""
+    rows = [(7, "t"), (7, "t"), (9, "t"), (1, "a"), (2, "a"), (2, "b"), (2, "b"), (3, "b"), (4, None), (4, ""), (5, "u  v"), (5, "u v"), (6, "u\tv"), (8, "alone"), (None, "t"), (None, "t")]
+    rows += [(50 + k, "long text " * 30) for k in range(30)] + [(50, "long  text " * 30)] * 3
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, keep_id string").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        out = exact_dedup.exact_duplicates(docs).collect()
+        left = exact_dedup.without_exact_duplicates(docs)
+        stay = sorted((r["doc_id"], SPACE.sub(" ", r["text"] or "")) for r in left.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    first: dict[str, int] = {}
+    for i, t in sorted((i, SPACE.sub(" ", t or "")) for i, t in rows if i is not None):
+        first.setdefault(t, i)
+    assert sorted((r["doc_id"], r["text_sha256"]) for r in out if r["kept"]) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for t, i in first.items())
+    assert len(out) == len(rows) - 2 and stay == sorted((i, t) for t, i in first.items())
+    assert left.columns == docs.columns
+
+
+def test_exact_edges_are_numbered_without_texts(spark):
+    """What meets in one task to be numbered are partition numbers and sizes, not texts."""
+    plan = exact_dedup.exact_duplicates(spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    below = [lines[k + 1] for k, line in enumerate(lines) if "Window [" in line]
+    assert below and not any(re.search(r"(\[|, )(text|norm)#", line) for line in below)
 
 
 def brute_rules(pairs):
