@@ -232,13 +232,23 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` less those whose language is ``und`` or predicted with a score below ``least``; all columns stay."""
-    of = predictor(learn(docs, ~held_out(FOLDS, HELD_OUT)))
+    """``docs`` less those whose language is ``und`` or predicted with a score below ``least``; all columns stay.
+
+    Where no document of the learning folds has a language, nothing can be
+    recognised: documents with a letter stay then, others go. Rows without
+    doc_id go.
+    """
+    model = learn(docs, ~held_out(FOLDS, HELD_OUT))
+    of = predictor(model)
     at = docs.columns.index("text")
 
     def keep(batches):
         for batch in batches:
-            lang, score = of(batch.column(at).to_pylist())
+            texts = batch.column(at).to_pylist()
+            if not model.languages:
+                yield batch.filter(pa.array([t is not None and letters(t) for t in texts], pa.bool_()))
+                continue
+            lang, score = of(texts)
             yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least), pa.bool_()))
 
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(keep, docs.schema)

@@ -519,6 +519,64 @@ def test_quality_rank_held_out(spark):
     assert auc(s, y) > 0.95 and ((s >= 0.3) == y).mean() > 0.95
 
 
+def brute_figures(text):
+    """The features of a text by plain counting."""
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    chars = "".join(words)
+    n, c, k = max(1, len(words)), max(1, len(chars)), max(1, len(lines))
+    alpha, digits, symbols = sum(x.isalpha() for x in chars), sum(x.isdigit() for x in chars), sum(x in "#*$%&|<>" for x in chars)
+    of_chars = [alpha, sum(x.isupper() for x in chars), digits, symbols, len(chars) - alpha - digits - symbols]
+    tests = [lambda w: not any(map(str.isalpha, w)), lambda w: w.isupper() and len(w) > 1, lambda w: any(x in "#*$%&|<>" for x in w), lambda w: w[-1] in ".!?", lambda w: len(w) > 20]
+    of_words = [sum(map(t, words)) for t in tests]
+    pairs = list(zip(words, words[1:]))
+    return (
+        [(x / c) ** 0.5 for x in of_chars] + [(x / n) ** 0.5 for x in of_words] + [len(chars) / n / 10, len(set(words)) / n, ((len(pairs) - len(set(pairs))) / n) ** 0.5, (sum(a == b for a, b in pairs) / n) ** 0.5]
+        + [((len(lines) - len(set(lines))) / k) ** 0.5, np.log1p(len(words)) / 5, np.log1p(len(words) / k) / 3, float(not words)]
+    )
+
+
+def test_quality_figures_by_plain_counting():
+    texts = [t or "" for t in odd_texts()] + ["one line here\n" * 50, "a a a b a\n\n \na a a b a", "x\ny " * 40 + "\n" + "long " * 30]
+    want = np.array([brute_figures(t) for t in texts])
+    for limit in (1 << 20, 50, 7):
+        np.testing.assert_allclose(quality_rank.document_figures(texts, limit), want, atol=1e-12)
+
+
+def test_quality_strengths_rank_pairs():
+    """The fitted weights are where the loss over the pairs has no slope, and a score is the logistic of the strength."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, quality_rank.N_FIGURES))
+    labels = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    model = quality_rank.train(x, labels)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -4, 4)
+    strength = np.concatenate([z, z * z / 4], axis=1) @ model.weights
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-(strength - model.threshold + np.log(3 / 7)))))
+    assert np.mean(strength[labels == 1][:, None] > strength[labels == 0][None, :]) > 0.95
+    assert ((model.score(x) >= 0.3) == (strength >= model.threshold)).all()
+
+
+def test_language_margins_are_sums_over_ngrams(spark):
+    """A text's margins are those of the direct sum over all n-grams of all its words, whole or in segments."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    model = language_id.learn(docs, ~common.held_out(3, 1))
+    texts = [r["text"] for r in docs.limit(30).collect()] + ["", "12 34", "Ünï", "a " * 500]
+    lang, score = language_id.predictor(model)(texts)
+    for t, own, p in zip(texts, lang, score):
+        used = [g for w in t.split() for g in language_id.grams(w)]
+        if not any(map(str.isalpha, t)):
+            assert (own, p) == ("und", 0.0)
+            continue
+        margins = np.array([[30.0 * sum(x.weights[g] for g in used) / len(used) + x.bias for x in model.linears]])
+        want, chance = model.decide(margins)
+        assert own == want[0] and abs(p - chance[0]) < 1e-6
+
+
+def test_languages_without_labels_keep_what_has_letters(spark):
+    rows = [(1, "some text", None), (2, "12 34", None), (3, None, None), (None, "x", None), (4, "é", None)]
+    left = language_id.recognised(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert told(left, "doc_id") == [(1,), (4,)]
+
+
 @pytest.mark.parametrize("op, column", [(toxicity, "toxic"), (quality_rank, "quality")])
 def test_scores_of_odd_texts(spark, odd, pairs, empty, op, column):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in pairs] + [(None, 1), (9999, 0)], f"doc_id long, {column} int")
