@@ -13,7 +13,10 @@ from rentscope.llm import common, exact_dedup, language_id, ngram_join, packing,
 
 
 def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised stay; text without a letter goes, and what scores too low."""
+    """Documents in a language that is recognised stay; text without a letter goes, and what scores too low.
+
+    If no labelled document can be learned from, all with a letter stay.
+    """
     common.configured(spark)
     return language_id.recognised(docs)
 
@@ -25,7 +28,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the smallest doc_id stays."""
+    """Of documents with equal texts the smallest doc_id stays, one row of it."""
     common.configured(spark)
     return exact_dedup.without_exact_duplicates(docs)
 
