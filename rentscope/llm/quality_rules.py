@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.common import keeping, pick
+from rentscope.llm.common import keeping, pick, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -88,12 +88,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "host", "content", F.xxhash64("normal").alias("line"), F.size(F.split("normal", " ")).cast("long").alias("n_words"))
 
 
-def host_lines(lines: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = None) -> DataFrame:
+def host_lines(lines: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = HOST_MOST) -> DataFrame:
     """host, line: those that more than ``share`` of the host's documents hold, and more than ``least``.
 
-    With ``most`` also those of LINE_WORDS words or more that over ``most`` of
-    them hold, so that the limit doesn't rise with the host; shorter ones, which
-    may be common by chance, need the share.
+    Also those of LINE_WORDS words or more that over ``most`` of them hold (None:
+    no such limit), so that the limit doesn't rise with the host; shorter lines,
+    which may be common by chance, need the share.
 
     Documents count as distinct contents, so that copies of one text don't make
     its lines frequent. Rows are first reduced to one for each (host, line,
@@ -108,51 +108,66 @@ def host_lines(lines: DataFrame, share: float = HOST_SHARE, least: int = HOST_DO
     return often.where(frequent).select("host", "line")
 
 
-def removed_lines(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = HOST_MOST) -> DataFrame:
     """doc_id, host, gone (hashes of the lines that go), n_removed_words (in all their occurrences) where lines go."""
     lines = lines_of(docs)
     rows = lines.join(host_lines(lines, share, least, most), ["host", "line"])
     return rows.groupBy("doc_id", "host").agg(F.collect_set("line").alias("gone"), F.sum("n_words").alias("n_removed_words"))
 
 
-def cleaned(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = HOST_MOST) -> DataFrame:
-    """``docs``, all columns, with texts less the lines that ``removed_lines`` names; no document goes.
+def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """``docs``, all columns, with texts less the lines that ``removed`` (of ``removed_lines``) names; no document goes.
 
     What is left of a text keeps its bytes and order; a text that is nothing
-    else becomes empty, null stays null. Rows without doc_id are left out.
+    else becomes empty, null stays null. A column n_chars is told anew where
+    lines go. Rows without doc_id are left out.
     """
-    gone = removed_lines(docs, share, least, most).select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("gone").alias("_gone"))
+    gone = removed.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("gone").alias("_gone"))
     rows = docs.where(F.col("doc_id").isNotNull()).join(gone, (F.col("doc_id") == F.col("_id")) & (host_of() == F.col("_host")), "left")
     stays = lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("_gone"), F.xxhash64(normal_line(x))))
     left = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return rows.select(*docs.columns)
+
+
+def cleaned(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, most: int | None = HOST_MOST) -> DataFrame:
+    """``docs`` as ``without_lines`` leaves them of the lines over the limits."""
+    return without_lines(docs, removed_lines(docs, share, least, most))
+
+
+def verdicts(docs: DataFrame, removed: DataFrame, left_percent: int = LEFT_PERCENT, left_words: int = LEFT_WORDS) -> DataFrame:
+    """The figures of each document, n_removed_words and kept, given the lines ``removed``."""
+    removed = removed.groupBy("doc_id").agg(F.sum("n_removed_words").alias("n_removed_words"))
+    rows = figures(docs).join(removed, "doc_id", "left")
+    rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    left = F.col("n_words") - F.col("n_removed_words")
+    depleted = (F.col("n_removed_words") > 0) & ((100 * left < left_percent * F.col("n_words")) | (left < left_words))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, left_percent: int = LEFT_PERCENT, left_words: int = LEFT_WORDS, most: int | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, share: float = HOST_SHARE, least: int = HOST_DOCUMENTS, left_percent: int = LEFT_PERCENT, left_words: int = LEFT_WORDS, most: int | None = HOST_MOST) -> DataFrame:
     """One row a document: the figures of ``figures``, n_removed_words and kept.
 
     Words are runs of characters other than ASCII white space. Lines that a
     host (``source``; null is a host of its own) repeats over the limits of
-    ``host_lines`` are removed (the registered query has those of its SQL, the
-    share without ``most``); a document is rejected when it failed the base
+    ``host_lines`` are removed; a document is rejected when it failed the base
     rules, or when lines were removed and less than ``left_percent`` of its
     words or fewer than ``left_words`` words are left.
 
     Null and empty texts have no words, so they fail the base rules. Rows
     without doc_id are left out; rows that repeat a doc_id pool what is removed
-    of them; ``cleaned`` gives the texts less those lines; other columns are ignored; an empty table gives none.
+    of them; other columns are ignored; an empty table gives none.
     """
-    removed = removed_lines(docs, share, least, most).groupBy("doc_id").agg(F.sum("n_removed_words").alias("n_removed_words"))
-    rows = figures(docs).join(removed, "doc_id", "left")
-    rows = rows.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
-    left = F.col("n_words") - F.col("n_removed_words")
-    depleted = (F.col("n_removed_words") > 0) & ((100 * left < left_percent * F.col("n_words")) | (left < left_words))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return verdicts(docs, removed_lines(docs, share, least, most), left_percent, left_words)
 
 
 def passing(docs: DataFrame, most: int | None = HOST_MOST) -> DataFrame:
-    """``docs`` less the rows that the rules reject, with the limit for large hosts; all columns stay."""
-    return keeping(docs, quality_rules(docs, most=most).select("doc_id", "kept"))
+    """``docs`` less the rows that the rules reject, with texts less the removed lines; all columns stay."""
+    removed = written(removed_lines(docs, most=most), "removed-lines")
+    return keeping(without_lines(docs, removed), verdicts(docs, removed).select("doc_id", "kept"))
 
 
 SQL = rf"""
@@ -166,9 +181,9 @@ SQL = rf"""
       where regexp_matches(line, '[^\x20\x09-\x0D]')),
     often as (
       select host, normal from
-        (select host, normal, count(distinct t) as n from line_rows group by all)
+        (select host, normal, count(distinct t) as n, len(string_split(normal, ' ')) as words from line_rows group by all)
         join (select host, count(distinct t) as of_host from line_rows group by all) using (host)
-      where n > {HOST_DOCUMENTS} and n > {HOST_SHARE}::double * of_host),
+      where n > {HOST_DOCUMENTS} and n > {HOST_SHARE}::double * of_host or n > {HOST_MOST} and words >= {LINE_WORDS}),
     removed as (
       select doc_id, sum(len(string_split(normal, ' '))) as gone
       from line_rows join often using (host, normal) group by doc_id),

@@ -209,6 +209,30 @@ def brute_rules(pairs):
     return out
 
 
+def brute_cleaned(rows, share=quality_rules.HOST_SHARE, least=quality_rules.HOST_DOCUMENTS, most=quality_rules.HOST_MOST):
+    """(doc_id, text less the lines its host repeats, kept) of rows (doc_id, text, source) by plain counting."""
+    normal = lambda x: SPACE.sub(" ", x).strip(" ").lower()
+    lines = lambda t: [x for x in (t or "").split("\n") if WORD.search(x)]
+    held, texts = {}, {}
+    for _, t, host in rows:
+        for x in lines(t):
+            held.setdefault((host or "", normal(x)), set()).add(t)
+            texts.setdefault(host or "", set()).add(t)
+    gone = set()
+    for (host, x), own in held.items():
+        n = len(own)
+        if n > least and n > share * len(texts[host]) or n > most and len(x.split(" ")) >= quality_rules.LINE_WORDS:
+            gone.add((host, x))
+    bad = {i for i, *_, failed in brute_rules([(i, t) for i, t, _ in rows]) if failed}
+    out = []
+    for i, t, host in rows:
+        left = t if t is None else "\n".join(x for x in t.split("\n") if not (WORD.search(x) and (host or "", normal(x)) in gone))
+        before, after = len(WORD.findall(t or "")), len(WORD.findall(left or ""))
+        depleted = after < before and (100 * after < quality_rules.LEFT_PERCENT * before or after < quality_rules.LEFT_WORDS)
+        out.append((i, left, i not in bad and not depleted))
+    return out
+
+
 def test_quality_figures(odd, pairs, empty):
     columns = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
     assert told(quality_rules.quality_rules(odd), *columns) == brute_rules(pairs)
@@ -264,13 +288,13 @@ def test_cleaned_texts_lack_the_removed_lines(spark):
     assert {i: before[i] - after[i] for i in before} == told_ and told_[3] == 24
 
 
-def gram_set(text):
+def gram_set(text, n=3):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
-    return frozenset(tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))) if words else frozenset()
+    return frozenset(tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))) if words else frozenset()
 
 
-def brute_components(pairs):
-    sets = {i: gram_set(t) for i, t in pairs}
+def brute_components(pairs, gram=3, percent=90):
+    sets = {i: gram_set(t, gram) for i, t in pairs}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -282,10 +306,10 @@ def brute_components(pairs):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             sizes = len(sets[a]), len(sets[b])
-            if not min(sizes) or 10 * min(sizes) < 9 * max(sizes):
+            if not min(sizes) or 100 * min(sizes) < percent * max(sizes):
                 continue
             both = len(sets[a] & sets[b])
-            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return [(i, len(sets[i]), root(i)) for i in ids]

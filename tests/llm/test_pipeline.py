@@ -11,7 +11,7 @@ from rentscope.llm import common
 from rentscope.llm.queries import ORACLE, QUERIES
 from scripts.check_oracle import canon, duck
 from tests.conftest import SF01
-from tests.llm.test_operators import SPACE, brute_components, brute_rules, expected_ids
+from tests.llm.test_operators import SPACE, brute_cleaned, brute_components, expected_ids
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "keep_id"]
 
@@ -46,9 +46,14 @@ def test_language_stage(steps):
 
 
 def test_rules_stage(steps):
+    """Documents that the rules reject go; the others lose the lines that their host repeats."""
     _, docs, made = steps[1]
-    failed = {i for i, *_, bad in brute_rules(pairs_of(docs)) if bad}
-    assert pairs_of(made) == [(i, t) for i, t in pairs_of(docs) if i not in failed]
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    want = brute_cleaned(rows)
+    assert pairs_of(made) == sorted((i, t) for i, t, kept in want if kept)
+    changed = {i for (i, t, _), (_, left, kept) in zip(rows, want) if kept and t != left}
+    assert len(changed) > 50
+    assert all(r["n_chars"] == len(r["text"]) for r in made.collect() if r["doc_id"] in changed)
 
 
 def test_exact_stage(steps):
@@ -61,7 +66,7 @@ def test_exact_stage(steps):
 
 def test_near_stage(steps):
     _, docs, made = steps[3]
-    assert [i for i, _ in pairs_of(made)] == [i for i, _, c in brute_components(pairs_of(docs)) if i == c]
+    assert [i for i, _ in pairs_of(made)] == [i for i, _, c in brute_components(pairs_of(docs), 5, 80) if i == c]
 
 
 def test_packing_stage(steps):
@@ -76,9 +81,19 @@ def test_packing_stage(steps):
     assert at == len(flat)
 
 
-def test_run_applies_the_stages(spark, steps):
+def test_run_applies_the_stages(spark):
+    """run() gives the pieces of the documents that brute force leaves after all stages but the learned one."""
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
-    assert corpus_pipeline.run(spark, SF01).select("doc_id").distinct().count() <= docs.count()
+    left = corpus_pipeline.recognise_language(spark, docs, SF01)
+    rows = [(i, t) for i, t, kept in brute_cleaned([(r["doc_id"], r["text"], r["source"]) for r in left.collect()]) if kept]
+    first: dict[str, int] = {}
+    for i, t in sorted(rows):
+        first.setdefault(SPACE.sub(" ", t), i)
+    rows = [(i, t) for i, t in sorted(rows) if i in set(first.values())]
+    stay = {i for i, _, c in brute_components(rows, 5, 80) if i == c}
+    want = [(i, len(ids)) for i, ids in expected_ids([x for x in rows if x[0] in stay], "byte_bpe_50k.json", 0)]
+    got = corpus_pipeline.run(spark, SF01).groupBy("doc_id").agg(F.max("doc_tokens").alias("n"), F.sum("length").alias("sum"))
+    assert sorted((r["doc_id"], r["n"]) for r in got.collect() if r["n"] == r["sum"]) == want
 
 
 def test_empty_documents(spark):
