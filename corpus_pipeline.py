@@ -22,7 +22,7 @@ def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules go, and those that are little but lines their host repeats."""
+    """Lines that their host repeats are removed; documents that are little else go, and those that fail the base rules."""
     common.configured(spark)
     return quality_rules.passing(docs)
 
@@ -34,9 +34,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar texts connect the smallest doc_id stays."""
+    """Of documents that links connect (shingles of five words, a similarity of 0.8) the smallest doc_id stays."""
     common.configured(spark)
-    return ngram_join.without_near_duplicates(docs)
+    return ngram_join.without_near_duplicates(docs, gram=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
