@@ -13,11 +13,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentscope.functions import as_date, days_between, duration_micros, round_ratio, row_micros
 from rentscope.model import RentalData
+from rentscope.operators import forest as forests
 from rentscope.operators.rfm import latest_rental_date
 from rentscope.plans import customer_rollup, cut_lineage, paid_rentals
 
@@ -99,20 +100,74 @@ def split_weights(features: DataFrame, test_fraction: float = TEST_FRACTION) ->
     return counts.select("is_churn", "split", "customers", F.round(F.try_divide(total, 2.0 * own), 6).alias("class_weight"))
 
 
+def scaled_features(features: DataFrame, feature_cols=FEATURES, test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """customer_id, split and scaled_<feature>: each feature less its mean, by its
+    population deviation, both over the training rows."""
+    rows = with_split(cut_lineage(features), test_fraction)
+    out = forests.scaled(rows, tuple(feature_cols), F.col("split") == "train")
+    return out.select("customer_id", "split", *[f"scaled_{c}" for c in feature_cols])
+
+
+def status_of(customers: Column, churned: Column) -> Column:
+    """Whether a model can be fitted: 'too_few_customers', 'one_class' or 'ok'."""
+    return (F.when(customers < MIN_CUSTOMERS, "too_few_customers")
+            .when((churned == 0) | (churned == customers), "one_class").otherwise("ok"))
+
+
+def churn_guards(features: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """scope, value, customers, churned, status: whether a model could be fitted to
+    all customers (scope 'all') and to those of each value of each column of ``by``.
+    One pass over ``features``; without customers there is no scope and no row."""
+    sets = [[], *[[c] for c in by]]
+    counts = features.groupingSets(sets, *by).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("customers"), F.coalesce(F.sum("is_churn"), F.lit(0)).alias("churned"))
+    whole = (1 << len(by)) - 1
+    scope, value = F.lit("all"), F.lit(None).cast("string")
+    for k, c in enumerate(by):
+        own = F.col("_set") == F.lit(whole - (1 << (len(by) - 1 - k)))
+        scope, value = F.when(own, c).otherwise(scope), F.when(own, F.col(c).cast("string")).otherwise(value)
+    return counts.select(scope.alias("scope"), value.alias("value"), "customers", F.col("churned").cast("long").alias("churned"),
+                         status_of(F.col("customers"), F.col("churned")).alias("status"))
+
+
+def fit_churn_forest(features: DataFrame, feature_cols=FEATURES, seed: int = SEED, num_trees: int = NUM_TREES,
+                     max_depth: int = MAX_DEPTH, test_fraction: float = TEST_FRACTION) -> "forests.Forest":
+    """The forest of the training split as nodes; ValueError names the guard that forbids a fit."""
+    rows = cut_lineage(with_split(cut_lineage(features), test_fraction).repartition("customer_id"))
+    guard = churn_guards(rows, ()).first()
+    status = guard["status"] if guard else "too_few_customers"
+    if status != "ok":
+        raise ValueError(status)
+    return forests.fit(rows, tuple(feature_cols), "is_churn", F.col("split") == "train", num_trees, max_depth, seed)
+
+
 @dataclass
 class ChurnResult:
     scores: DataFrame          # features + split, churn_predicted, churn_probability
     model: PipelineModel | None
     features: tuple[str, ...]
     status: str = "ok"
+    importance: tuple[float, ...] | None = None
 
     def feature_importance(self) -> dict[str, float | None]:
+        if self.importance is not None:
+            return {f: round(v, 4) for f, v in zip(self.features, self.importance)}
         if self.model is None:
             return dict.fromkeys(self.features)
         forest = self.model.stages[-1]
         return {f: round(float(v), 4) for f, v in zip(self.features, forest.featureImportances.toArray())}
 
 
+def score_churn(features: DataFrame, forest: "forests.Forest", test_fraction: float = TEST_FRACTION) -> ChurnResult:
+    """The scores of a fitted forest for every customer: no fit, no join; facts are read once.
+
+    ``split`` tells how the customers would be dealt for a fit, so the report's
+    accuracy is that of the 'test' rows.
+    """
+    rows = with_split(cut_lineage(features), test_fraction)
+    return ChurnResult(forest.score(rows), None, forest.features, importance=forest.importance)
+
+
 def train_churn(features: DataFrame, feature_cols=FEATURES, seed: int = SEED,
                 num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH,
                 test_fraction: float = TEST_FRACTION) -> ChurnResult:
@@ -123,8 +178,9 @@ def train_churn(features: DataFrame, feature_cols=FEATURES, seed: int = SEED,
     NULL split, prediction and probability.
     """
     feature_cols = tuple(feature_cols)
-    # One row per customer, dealt by key into partitions sized to the data.
-    data = cut_lineage(with_split(features, test_fraction).repartition("customer_id"))
+    # One row per customer, dealt by key into partitions sized to the data. The
+    # features are stored first: the split reads them three times.
+    data = cut_lineage(with_split(cut_lineage(features), test_fraction).repartition("customer_id"))
     stats = data.agg(
         F.count(F.lit(1)).alias("n"), F.sum("is_churn").alias("pos"),
         F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("n_train"),

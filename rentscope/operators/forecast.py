@@ -54,7 +54,7 @@ def revenue_series(data: RentalData, axis: str = "payment", by: str | None = Non
     """series_key, month ('yyyy-MM'), revenue (rounded to cents) per series.
 
     axis 'payment': payments by payment month; 'rental': paid rentals by
-    rental month. ``by`` = None (one global series, key 'all') or 'country'.
+    rental month. ``by`` = None (one global series, key 'all'), 'country' or 'customer'.
     ``drop_incomplete_last`` leaves out the data's last month unless the data
     reaches that month's last day (the original treats a partial last month
     as a full one).
@@ -74,6 +74,8 @@ def revenue_series(data: RentalData, axis: str = "payment", by: str | None = Non
         facts = facts.filter(complete)
     if by is None:
         keyed = facts.withColumn("series_key", F.lit("all"))
+    elif by == "customer":
+        keyed = facts.withColumn("series_key", F.col("customer_id").cast("string"))
     elif by == "country":
         # Reduce to (customer, month) before meeting the customer table.
         per_cm = facts.groupBy("customer_id", "month").agg(F.sum("amt").alias("amt"))
@@ -286,6 +288,17 @@ def forecast_attention(series: DataFrame, horizon: int = 3, alpha: float = 1.0,
     return _report(models, enough, ahead, fitted, F.when(F.col("r2").isNotNull(), label), last, change)
 
 
+def series_guards(series: DataFrame, linear: int = 3, extended: int = 4, attention: int = 5) -> DataFrame:
+    """series_key, months, and for each model 'ok' or 'too_few_rows': whether the
+    series has the months that it needs at least."""
+    months = series.groupBy("series_key").agg(F.count(F.lit(1)).alias("months"))
+
+    def told(least: int, name: str) -> Column:
+        return F.when(F.col("months") < least, "too_few_rows").otherwise("ok").alias(name)
+
+    return months.select("series_key", "months", told(linear, "linear"), told(extended, "extended"), told(attention, "attention"))
+
+
 def attention_models(series: DataFrame, alpha: float = 1.0, min_rows: int = 5) -> DataFrame:
     """series_key, months, mean, scale, intercept, coefficients, r_squared of the
     attention model of each series, to be stored with ``sources.sinks``; NULL

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from rentscope import oracle
 from rentscope.functions import RfmThresholds, TUNED_THRESHOLDS
 from rentscope.operators import catalog, churn, customers, filters, forecast, metrics, rfm
+from rentscope.operators.forest import Forest
+from rentscope.plans import cut_lineage
 from rentscope.session import configure
 from rentscope.sources import driver
 
@@ -56,8 +58,23 @@ def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({name: F.round(name, n) for name, n in digits.items()})
 
 
-def _churn_result(data, features=churn.FEATURES) -> churn.ChurnResult:
-    return churn.train_churn(churn.churn_features(data, as_of=CHURN_AS_OF), feature_cols=features)
+# Fitted forests that come with the library: reports score with them, a fit is a batch of its own.
+FOREST, FOREST_NO_RECENCY = Forest.stored("churn"), Forest.stored("churn_no_recency")
+
+
+def _churn_result(data, forest: Forest = FOREST) -> churn.ChurnResult:
+    return churn.score_churn(churn.churn_features(data, as_of=CHURN_AS_OF), forest)
+
+
+def _churn_guards(data) -> DataFrame:
+    features = churn.churn_features(data, as_of=CHURN_AS_OF)
+    segments = rfm.rfm_segments(data, TUNED_THRESHOLDS).select("customer_id", "segment")
+    return churn.churn_guards(features.join(data.customer_geo, "customer_id").join(segments, "customer_id"), ("country", "segment"))
+
+
+def _refitted(data) -> DataFrame:
+    features = cut_lineage(churn.churn_features(data, as_of=CHURN_AS_OF))
+    return churn.churn_report(churn.score_churn(features, churn.fit_churn_forest(features)))
 
 
 QUERIES: dict[str, Query] = {
@@ -139,7 +156,12 @@ QUERIES: dict[str, Query] = {
     "churn_scores": _on_data(lambda d: _churn_result(d).scores),
     "churn_report": _on_data(lambda d: churn.churn_report(_churn_result(d))),
     "churn_at_risk": _on_data(lambda d: churn.churn_at_risk(_churn_result(d))),
-    "churn_report_no_recency": _on_data(lambda d: churn.churn_report(_churn_result(d, NO_RECENCY))),
+    "churn_report_no_recency": _on_data(lambda d: churn.churn_report(_churn_result(d, FOREST_NO_RECENCY))),
+    "churn_report_refitted": _on_data(_refitted),
+    "churn_scaled": _on_data(lambda d: _rounded(
+        churn.scaled_features(churn.churn_features(d, as_of=CHURN_AS_OF)), {f"scaled_{c}": 6 for c in churn.FEATURES})),
+    "churn_guards": _on_data(_churn_guards),
+    "forecast_guards": _on_data(lambda d: forecast.series_guards(forecast.revenue_series(d, axis="rental", by="customer"))),
 }
 
 
@@ -202,6 +224,13 @@ ORACLE: dict[str, str] = {
     "forecast_attention_by_country": oracle.attention_forecast_sql(by_country=True),
     "churn_split": oracle.churn_split_sql(CHURN_AS_OF),
     "churn_features": oracle.churn_features_sql(CHURN_AS_OF),
+    "churn_scores": oracle.churn_scores_sql(CHURN_AS_OF, FOREST),
+    "churn_report": oracle.churn_report_sql(CHURN_AS_OF, FOREST),
+    "churn_at_risk": oracle.churn_at_risk_sql(CHURN_AS_OF, FOREST),
+    "churn_report_no_recency": oracle.churn_report_sql(CHURN_AS_OF, FOREST_NO_RECENCY),
+    "churn_scaled": oracle.churn_scaled_sql(CHURN_AS_OF, churn.FEATURES),
+    "churn_guards": oracle.churn_guards_sql(CHURN_AS_OF, TUNED_THRESHOLDS),
+    "forecast_guards": oracle.series_guards_sql(),
     "forecast_linear": oracle.linear_forecast_sql("rental", 3),
     "forecast_linear_extended": oracle.linear_forecast_sql("payment", 6),
     "forecast_by_country": oracle.linear_forecast_sql("rental", 3, by_country=True),
