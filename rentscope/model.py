@@ -37,9 +37,19 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Totals of a rental's payments: of all, then of those within a filter.
+TOTALS = ("paid", "n_rows", "n_amt", "paid_in", "n_rows_in", "n_amt_in")
+
+
+def payment_totals(amount: Column, within: Column) -> list[Column]:
+    """Aggregates named TOTALS over payment rows."""
+    inside = F.when(within, amount)
+    return [F.sum(amount).alias("paid"), F.count(F.lit(1)).alias("n_rows"), F.count(amount).alias("n_amt"),
+            F.sum(inside).alias("paid_in"), F.count(F.when(within, 1)).alias("n_rows_in"), F.count(inside).alias("n_amt_in")]
+
 
 @dataclass(frozen=True)
 class RentalData:
@@ -65,6 +75,18 @@ class RentalData:
             payment=self.payment.join(ids, "rental_id", "left_semi"),
             rental_item=self.rental_item.join(ids, "rental_id", "left_semi"))
 
+    def payments_within(self, within: Callable[[str], Column]) -> DataFrame:
+        """Every rental with the totals of its payments, of all and of those ``within``.
+
+        rental_id, customer_id, rental_date, return_date, and paid, n_rows, n_amt
+        (0 rows for an unpaid rental) with paid_in, n_rows_in, n_amt_in.
+        ``within`` makes a condition of the name of a payment's date column. One
+        pass over the payments, reduced to a row a rental before the join.
+        """
+        totals = self.payment.groupBy("rental_id").agg(*payment_totals(F.col("amount"), within("payment_date")))
+        rental = self.rental.select("rental_id", "customer_id", "rental_date", "return_date")
+        return rental.join(totals, "rental_id", "left").fillna(0, [n for n in TOTALS if n.startswith("n_")])
+
     def with_tables(self, **tables: DataFrame) -> "RentalData":
         """Replace tables; a precomputed ``rental_paid`` is dropped when the
         rentals or payments it summarises change."""
@@ -95,9 +117,11 @@ class LazyRentalData(RentalData):
     """
 
     def __init__(self, builders: Mapping[str, Callable[[], DataFrame | None]],
-                 of_customer: Callable[[int], RentalData] | None = None):
+                 of_customer: Callable[[int], RentalData] | None = None,
+                 payments_within: Callable[[Callable[[str], Column]], DataFrame] | None = None):
         object.__setattr__(self, "_builders", dict(builders))
         object.__setattr__(self, "_of_customer", of_customer)
+        object.__setattr__(self, "_payments_within", payments_within)
         object.__setattr__(self, "_built", {})
 
     def __getattribute__(self, name):
@@ -113,6 +137,10 @@ class LazyRentalData(RentalData):
         """As in ``RentalData``; from the stored tables if the adapter can."""
         return self._of_customer(customer_id) if self._of_customer else super().for_customer(customer_id)
 
+    def payments_within(self, within: Callable[[str], Column]) -> DataFrame:
+        """As in ``RentalData``; from one scan if the adapter can."""
+        return self._payments_within(within) if self._payments_within else super().payments_within(within)
+
     def with_tables(self, **tables: DataFrame) -> "RentalData":
         builders = dict(object.__getattribute__(self, "_builders"))
         built = object.__getattribute__(self, "_built")

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rentscope.model import LazyRentalData, RentalData
+from rentscope.model import TOTALS, LazyRentalData, RentalData, payment_totals
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -137,6 +137,15 @@ def _rental_paid(read):
         *_rental_cols(), "paid", F.col("n_rows").cast("long"), F.col("n_amt").cast("long"))
 
 
+def _payments_within(read, within):
+    """``RentalData.payments_within`` from one scan of the lines: return date and payment totals together."""
+    o = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = read("lineitem").groupBy("l_orderkey").agg(
+        F.max("l_shipdate").alias("last_ship"), *payment_totals(F.col("l_extendedprice").cast(MONEY), within("l_shipdate")))
+    rows = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
+    return rows.select(*_rental_cols(), *TOTALS).fillna(0, [n for n in TOTALS if n.startswith("n_")])
+
+
 def _orders_by_key(read):
     """One row per order key (the orders primary key). A left join to it is
     provably 1:1, so Catalyst removes the join when no order column is used
@@ -232,4 +241,5 @@ def load_with(read) -> RentalData:
         "film_dim": _film_dim, "rental_line": _rental_line,
     }
     return LazyRentalData({name: (lambda fn=fn: fn(read)) for name, fn in builders.items()},
-                          lambda customer_id: load_with(_of_customer(read, customer_id)))
+                          lambda customer_id: load_with(_of_customer(read, customer_id)),
+                          lambda within: _payments_within(read, within))

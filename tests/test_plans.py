@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from rentscope.operators import customers, metrics
-from rentscope.plans import top_k_per_group
+from rentscope.operators import customers, filters, metrics
+from rentscope.plans import stored, top_k_per_group
 from rentscope.registry import QUERIES
 from rentscope.sources import driver
 from tests.conftest import SF001, SF01
@@ -141,6 +141,44 @@ def test_hot_film_is_split(spark, report):
             spark.conf.unset(key)
 
 
+@pytest.mark.parametrize("name, scans", [
+    ("kpi_filtered", 0), ("customer_summary_filtered", 0), ("revenue_filtered", 1), ("store_filtered", 1)])
+def test_filtered_reports_scan_lines_once(spark, name, scans):
+    """What is left after the keys are written: reports on paid rentals read the keys alone, others the lines once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(QUERIES[name](spark, SF001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert text.count("lineitem.parquet") == scans and "rental-keys" in text
+
+
+def test_filter_keys_come_from_one_scan_of_the_lines(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(filters, "stored", lambda df, name: made.append((name, plan(df))) or stored(df, name))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        filters.with_filters(driver.load(spark, SF001), ("1997-01", "1999-12"), ["Champions", "Lost"], tiers=["tier_1", "tier_2"], top_n=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [(name, text.count("lineitem.parquet")) for name, text in made] == [("rental-totals", 1), ("rental-keys", 0)]
+
+
+def test_filter_keys_reach_the_scan_of_large_facts_as_a_bloom_filter(spark):
+    settings = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+                "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        data = filters.with_filters(driver.load(spark, SF001), segments=["Lost"])
+        for df in (data.payment, data.rental_item):
+            text = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "might_contain" in text and "LeftSemi" in text
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 UNUSED_COLUMNS = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                   "o_orderstatus", "o_totalprice", "o_orderpriority", "c_mktsegment",
                   "p_brand", "p_size", "p_retailprice", "s_name", "s_acctbal", "n_regionkey")
