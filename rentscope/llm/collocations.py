@@ -116,7 +116,7 @@ class Filter:
 
 
 def _passing(w: Windows, names: list[str], filters: list[Filter]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each size below the longest, whether a frequent phrase of it may start at each word; hashes of languages."""
+    """For each size that has a filter, whether a frequent phrase of it may start at each word; hashes of languages."""
     lang_hash = _hashes(names)
     n = len(w.ids)
     out = [np.ones(n + 1, bool)]
@@ -225,11 +225,9 @@ def graph_counts(docs: DataFrame, filters: list[Filter], longest: int) -> DataFr
                 totals = np.bincount(w.langs[some], minlength=len(names))
                 out = [[names[k], "", 0, int(totals[k])] for k in np.flatnonzero(totals)]
                 lang, phrase, sizes, n = (list(x) for x in zip(*out)) if out else ([], [], [], [])
-                # An edge: both of its nodes may be frequent.
                 best = np.zeros(len(w.ids), np.int64)
-                for size in range(1, longest):
+                for size in range(1, longest + 1):
                     best[passing[size][:-1]] = size
-                best[passing[-1][:-1] & passing[-1][1:] & (w.left >= longest)] = longest
                 for size in range(1, longest + 1):
                     at = np.flatnonzero(w.starts & (best == size))
                     _, first, counts = np.unique(w.keys(at, size), return_index=True, return_counts=True)
@@ -267,7 +265,7 @@ class PhraseGraph:
             raise ValueError("phrases have three words at most")
         rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
         filters: list[Filter] = []
-        for _ in range(longest - 1):
+        for _ in range(longest):
             filters.append(frequent_cells(rows, filters, least, longest))
         counts = written(graph_counts(rows, filters, longest), "phrase-counts")
         self.least, self.longest = least, longest
