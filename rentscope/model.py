@@ -30,6 +30,9 @@ shape; operators never see the stored layout. Columns:
 * ``rental_line``  optional: rental_id, customer_id, rental_date, return_date,
   film_id, store_id, amount, has_payment -- ``rental_item`` inner-joined with
   ``rental``, for adapters that can build it from one scan of the lines.
+* ``payer``        optional: customer_id, amount, payment_date of every payment --
+  for adapters in which a payment's customer lies in another table and
+  ``payment`` joins it only where it is used.
 """
 
 from __future__ import annotations
@@ -64,6 +67,7 @@ class RentalData:
     customer_dim: DataFrame | None = None
     film_dim: DataFrame | None = None
     rental_line: DataFrame | None = None
+    payer: DataFrame | None = None
 
     def for_customer(self, customer_id: int) -> "RentalData":
         """The rows of one customer; facts are cut before they are aggregated."""
@@ -101,6 +105,8 @@ def _invalidate(tables: dict) -> dict:
         tables["customer_dim"] = None
     if ("rental" in tables or "rental_item" in tables) and "rental_line" not in tables:
         tables["rental_line"] = None
+    if "payment" in tables and "payer" not in tables:
+        tables["payer"] = None
     if ("film" in tables or "film_genre" in tables) and "film_dim" not in tables:
         tables["film_dim"] = None
     return tables

@@ -20,7 +20,7 @@ from rentscope.functions import (
 )
 from rentscope.model import RentalData
 from rentscope.operators.catalog import rental_genres
-from rentscope.plans import customer_rollup, films, paid_rentals, rental_lines, top_k_per_group
+from rentscope.plans import customer_rollup, films, paid_rentals, rental_lines, stored, top_k_per_group
 
 
 def _only(data: RentalData, customer_id: int | None) -> RentalData:
@@ -155,6 +155,20 @@ def customer_search(data: RentalData, q: str, limit: int = 20) -> DataFrame:
 
 # -- customer detail ------------------------------------------------------
 
+KPI_COLUMNS = ("total_rentals", "total_spent", "avg_transaction", "first_rental", "last_rental")
+
+
+def _kpi_columns() -> list[Column]:
+    """KPI_COLUMNS from rentals, paid, n_amt, first_ts, last_ts."""
+    return [
+        F.col("rentals").cast("long").alias("total_rentals"),
+        money("paid").alias("total_spent"),
+        round_ratio("paid", "n_amt", 2).cast("double").alias("avg_transaction"),
+        as_date("first_ts").alias("first_rental"),
+        as_date("last_ts").alias("last_rental"),
+    ]
+
+
 def customer_kpi(data: RentalData, customer_id: int | None = None) -> DataFrame:
     """total_rentals, total_spent, avg_transaction, first_rental, last_rental.
 
@@ -168,14 +182,7 @@ def customer_kpi(data: RentalData, customer_id: int | None = None) -> DataFrame:
     ]
     grouped = paid.agg(*aggs) if customer_id is not None else paid.groupBy("customer_id").agg(*aggs)
     key = [] if customer_id is not None else ["customer_id"]
-    return grouped.select(
-        *key,
-        F.col("rentals").cast("long").alias("total_rentals"),
-        money("paid").alias("total_spent"),
-        round_ratio("paid", "n_amt", 2).cast("double").alias("avg_transaction"),
-        as_date("first_ts").alias("first_rental"),
-        as_date("last_ts").alias("last_rental"),
-    )
+    return grouped.select(*key, *_kpi_columns())
 
 
 def customer_timeline(data: RentalData, customer_id: int | None = None) -> DataFrame:
@@ -216,8 +223,8 @@ def _history_rows(data: RentalData, customer_id: int | None, paid_only: bool) ->
     return lines.join(films(data).withColumnRenamed("title", "film_title"), "film_id")
 
 
-def _history_ranked(data: RentalData, customer_id: int | None, n: int) -> DataFrame:
-    rows = _history_rows(data, customer_id, paid_only=True)
+def _newest(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest of each customer's paid lines, with line_rank."""
     order = [
         F.col("rental_date").desc_nulls_first(), F.col("rental_id").desc(),
         F.col("film_title").asc_nulls_last(), F.col("genre").asc_nulls_last(), F.col("amount").desc_nulls_first(),
@@ -233,7 +240,7 @@ def _history_ranked(data: RentalData, customer_id: int | None, n: int) -> DataFr
 def customer_history(data: RentalData, customer_id: int | None = None, n: int = 100) -> DataFrame:
     """[customer_id,] rental_id, rental_date, return_date, film_title, genre, paid:
     the n newest paid rental lines of the customer (inner join with payment)."""
-    out = _history_ranked(data, customer_id, n).drop("line_rank")
+    out = _newest(_history_rows(data, customer_id, paid_only=True), n).drop("line_rank")
     if customer_id is None:
         return out
     return out.orderBy(F.col("rental_date").desc_nulls_first(), F.col("rental_id").desc()).drop("customer_id")
@@ -262,30 +269,62 @@ def customer_detail(data: RentalData, customer_id: int) -> dict[str, DataFrame]:
     }
 
 
+def _page_rows(data: RentalData) -> DataFrame:
+    """The rented items with what a page shows of them, a row each: customer_id, rental_id, rental_date,
+    return_date, amount, has_payment and ``shown`` (title and genre, once for each genre of the film)."""
+    shown = films(data).groupBy("film_id").agg(F.collect_list(F.struct("title", "genre")).alias("shown"))
+    return rental_lines(data).join(shown, "film_id", "left").select(
+        "customer_id", "rental_id", "rental_date", "return_date", "amount", "has_payment", "shown")
+
+
+def _page_figures(data: RentalData, rows: DataFrame, genres: int) -> DataFrame:
+    """The kpi columns of every customer with a paid rental, with top (the ``genres``
+    most rented, best first, and their rentals) and n_paid_lines.
+
+    Rows are reduced to a rental, then to a customer and genre, then to a
+    customer, by partial aggregates each time; a rental's own figures travel on
+    its first genre. What is ordered is an array of one customer's genres.
+    """
+    paid = F.col("has_payment")
+    rentals = rows.groupBy("customer_id", "rental_id", "rental_date").agg(
+        F.sum(F.when(paid, F.col("amount"))).alias("paid"), F.count(F.when(paid, F.col("amount"))).alias("n_amt"),
+        F.count_if(paid).alias("n_pay"), F.sum(F.when(paid, F.coalesce(F.size("shown"), F.lit(0)))).alias("n_lines"),
+        F.array_distinct(F.flatten(F.collect_set(F.transform("shown", lambda s: s["genre"])))).alias("genres"))
+    spread = rentals.select("*", F.posexplode_outer("genres").alias("place", "genre"))
+    own = F.coalesce(F.col("place"), F.lit(0)) == 0
+    counted = F.when(F.col("n_pay") > 0, F.col("rental_date"))
+    by_genre = spread.groupBy("customer_id", F.col("place").isNotNull().alias("named"), "genre").agg(
+        F.count(F.lit(1)).cast("long").alias("rental_count"), F.count_if(own & (F.col("n_pay") > 0)).alias("rentals"),
+        F.sum(F.when(own, F.col("paid"))).alias("paid"), F.sum(F.when(own, F.col("n_amt"))).alias("n_amt"),
+        F.sum(F.when(own, F.col("n_lines"))).alias("n_lines"), F.min(counted).alias("first_ts"), F.max(counted).alias("last_ts"))
+    entry = F.struct((-F.col("rental_count")).alias("less"), F.col("genre").isNull().alias("unnamed"), "genre")
+    places = F.slice(F.array_sort(F.collect_list(F.when(F.col("named"), entry))), 1, genres)
+    out = by_genre.groupBy("customer_id").agg(
+        F.sum("rentals").alias("rentals"), F.sum("paid").alias("paid"), F.sum("n_amt").alias("n_amt"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n_lines").alias("n_paid_lines"),
+        F.transform(places, lambda e: F.struct(e["genre"].alias("genre"), (-e["less"]).alias("rental_count"))).alias("top"))
+    top = F.when(F.size("top") > 0, F.col("top")).alias("top")
+    if data.rental_line is None:  # items needn't hold every payment there
+        return customer_kpi(data).join(out.select("customer_id", top, "n_paid_lines"), "customer_id", "left")
+    return out.filter("rentals > 0").select("customer_id", *_kpi_columns(), top, "n_paid_lines")
+
+
 def customer_detail_batch(data: RentalData, genres: int = 8, history: int = 100) -> DataFrame:
     """One row per customer with a paid rental: the kpi columns plus
     timeline_months, top_genres (comma-joined in rank order) and history_rows.
 
-    Each part is computed for all customers at once and bounded per customer
-    (months of the calendar, ``genres``, ``history``) before the 1:1 joins.
+    Figures, genres and history come from one pass over lines and films; each
+    part is bounded per customer (months of the calendar, ``genres``,
+    ``history``) before the 1:1 join.
     """
-    kpi = customer_kpi(data)
     timeline = customer_timeline(data).groupBy("customer_id").agg(
         F.count(F.lit(1)).cast("long").alias("timeline_months"))
-    ranked = _top_genres_ranked(data, None, genres)
-    genre_list = ranked.groupBy("customer_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("genre_rank", "genre"))), lambda s: s["genre"]), ","
-        ).alias("top_genres")
-    )
-    # The page shows at most ``history`` lines: count them without ranking.
-    hist = _history_rows(data, None, paid_only=True).groupBy("customer_id").agg(
-        F.least(F.count(F.lit(1)), F.lit(history)).cast("long").alias("history_rows"))
-    return (
-        kpi.join(timeline, "customer_id", "left")
-        .join(genre_list, "customer_id", "left")
-        .join(hist, "customer_id", "left")
-    )
+    figures = _page_figures(data, _page_rows(data), genres).withColumns({
+        "top_genres": F.array_join(F.transform("top", lambda e: e["genre"]), ","),
+        # The page shows at most ``history`` lines: count them without ranking.
+        "history_rows": F.when(F.col("n_paid_lines") > 0, F.least("n_paid_lines", F.lit(history)).cast("long"))})
+    out = figures.drop("top", "n_paid_lines").join(timeline, "customer_id", "left")
+    return out.select("customer_id", *KPI_COLUMNS, "timeline_months", "top_genres", "history_rows")
 
 
 def customer_pages(data: RentalData, genres: int = 8, history: int = 100) -> DataFrame:
@@ -293,30 +332,25 @@ def customer_pages(data: RentalData, genres: int = 8, history: int = 100) -> Dat
     customer_id, kpi struct, timeline (months in order), genres (top ``genres``
     by rentals) and history (newest ``history`` paid lines) as arrays of
     structs. Every array is bounded (calendar months, ``genres``,
-    ``history``) before it is collected, and ordered by an explicit rank."""
-    kpi = customer_kpi(data).select(
-        "customer_id",
-        F.struct("total_rentals", "total_spent", "avg_transaction", "first_rental", "last_rental").alias("kpi"),
-    )
+    ``history``) before it is collected, and ordered by an explicit rank.
+
+    Lines meet their rental and film once; those rows are written, and both
+    the figures and the history are read from there.
+    """
+    rows = stored(_page_rows(data), "page-rows")
+    figures = _page_figures(data, rows, genres).select("customer_id", F.struct(*KPI_COLUMNS).alias("kpi"), F.col("top").alias("genres"))
     timeline = customer_timeline(data).groupBy("customer_id").agg(
         F.array_sort(F.collect_list(F.struct("month_sort", "month", "rental_count"))).alias("timeline"))
-    top = _top_genres_ranked(data, None, genres).groupBy("customer_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("genre_rank", "genre", "rental_count"))),
-            lambda g: F.struct(g["genre"].alias("genre"), g["rental_count"].alias("rental_count")),
-        ).alias("genres"))
-    lines = _history_ranked(data, None, history).groupBy("customer_id").agg(
+    shown = rows.filter("has_payment").select("customer_id", "rental_id", "rental_date", "return_date", "amount", F.inline("shown"))
+    lines = _newest(shown.withColumnRenamed("title", "film_title"), history).groupBy("customer_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(
                 "line_rank", "rental_id", "rental_date", "return_date", "film_title", "genre", "paid"))),
             lambda h: F.struct(*[h[c].alias(c) for c in
                                  ("rental_id", "rental_date", "return_date", "film_title", "genre", "paid")]),
         ).alias("history"))
-    return (
-        kpi.join(timeline, "customer_id", "left")
-        .join(top, "customer_id", "left")
-        .join(lines, "customer_id", "left")
-    )
+    out = figures.join(timeline, "customer_id", "left").join(lines, "customer_id", "left")
+    return out.select("customer_id", "kpi", "timeline", "genres", "history")
 
 
 def customer_pages_text(data: RentalData, genres: int = 8, history: int = 100) -> DataFrame:

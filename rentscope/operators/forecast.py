@@ -33,7 +33,7 @@ from pyspark.sql import functions as F, types as T
 
 from rentscope.functions import money, month_key, month_start
 from rentscope.model import RentalData
-from rentscope.plans import paid_rentals
+from rentscope.plans import paid_rentals, payers
 
 # The solver runs in executor Python workers; shipped by value, it needs numpy
 # and pandas there but not this package.
@@ -61,7 +61,7 @@ def revenue_series(data: RentalData, axis: str = "payment", by: str | None = Non
     """
     if axis == "payment":
         src, date_col = data.payment, "payment_date"
-        facts = src.select("customer_id", month_start(date_col).alias("month"), F.col("amount").alias("amt"))
+        facts = (src if by is None else payers(data)).select(*["customer_id"] * (by is not None), month_start(date_col).alias("month"), F.col("amount").alias("amt"))
     elif axis == "rental":
         src, date_col = data.rental, "rental_date"
         facts = paid_rentals(data).select(

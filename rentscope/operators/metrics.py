@@ -10,7 +10,7 @@ from rentscope.functions import (
 )
 from rentscope.functions.calendar import MICROS_PER_DAY
 from rentscope.model import RentalData
-from rentscope.plans import customer_rollup, paid_rentals
+from rentscope.plans import customer_rollup, paid_rentals, payers
 
 
 def kpi_summary(data: RentalData) -> DataFrame:
@@ -40,9 +40,8 @@ def kpi_summary(data: RentalData) -> DataFrame:
 
 def monthly_revenue(data: RentalData) -> DataFrame:
     """Payments by payment month: month, label, revenue, transactions, active_customers."""
-    p = data.payment
     return (
-        p.groupBy(month_start("payment_date").alias("m"))
+        payers(data).groupBy(month_start("payment_date").alias("m"))
         .agg(
             F.sum("amount").alias("revenue"),
             F.count(F.lit(1)).alias("transactions"),

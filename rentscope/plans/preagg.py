@@ -49,6 +49,12 @@ def rental_lines(data) -> DataFrame:
     return items.join(data.rental.select(*RENTAL_COLS), "rental_id")
 
 
+def payers(data) -> DataFrame:
+    """customer_id, amount, payment_date of every payment."""
+    source = data.payment if data.payer is None else data.payer
+    return source.select("customer_id", "amount", "payment_date")
+
+
 def films(data) -> DataFrame:
     """film_id, title, genre: a row for each genre of a film."""
     if data.film_dim is not None:

@@ -14,8 +14,8 @@ Mapping (fixed; the oracle SQL in ``rentscope.oracle`` spells out the same):
 * rental_item: the same lineitem row; l_partkey -> film_id,
   l_suppkey -> store_id, with its amount and date
 * film / film_genre / film_dim: part; p_name -> title, p_type -> genre
-* rental_line: lineitem joined to its order; the return date is the latest
-  ship date over the order's lines, which lie together after that join
+* rental_line: lineitem joined to its rental (order and latest ship date)
+* payer: lineitem joined to its order, where a payment's customer is needed
 * rental_paid: orders joined to one aggregate of their lines (return date
   and payment totals from the same scan)
 
@@ -24,7 +24,7 @@ Every reader selects only the columns it maps, so scans are pruned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentscope.model import TOTALS, LazyRentalData, RentalData, payment_totals
@@ -154,6 +154,17 @@ def _orders_by_key(read):
     return o.groupBy("o_orderkey").agg(F.max("o_custkey").alias("o_custkey"))
 
 
+def _payer(read):
+    """Payments with the customer who pays, for reports that need both: lines meet their order, neither is reduced first."""
+    o = read("orders").select("o_orderkey", "o_custkey")
+    li = read("lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
+    return li.join(o, li.l_orderkey == o.o_orderkey, "left").select(
+        F.col("o_custkey").cast("long").alias("customer_id"),
+        F.col("l_extendedprice").cast(MONEY).alias("amount"),
+        F.col("l_shipdate").alias("payment_date"),
+    )
+
+
 def _payment(read):
     li = read("lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
     o = _orders_by_key(read)
@@ -194,11 +205,19 @@ def _film_dim(read):
 
 
 def _rental_line(read):
+    """Lines meet their rental in a shuffle of their own, which is split at run
+    time where one order has very many lines: the latest ship date comes from a
+    partial aggregate of two columns, not from a window over the order's lines.
+    Without a use of the return date that aggregate and its scan are dropped."""
     o = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    rows = o.join(li, o.o_orderkey == li.l_orderkey)
-    rows = rows.withColumn("last_ship", F.max("l_shipdate").over(Window.partitionBy("l_orderkey")))
-    return rows.select(
+    li = read("lineitem")
+    last = li.groupBy(F.bitwise_not("l_orderkey").alias("last_key")).agg(F.max("l_shipdate").alias("last_ship"))
+    # Spark splits a hot key of a join only if both sides come straight from a
+    # shuffle by it. Orders meet their dates by the complement of the key, so
+    # that what comes of it isn't taken for dealt by the key already.
+    rental = o.join(last, F.bitwise_not("o_orderkey") == F.col("last_key"), "left").drop("last_key")
+    lines = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+    return lines.join(rental, lines.l_orderkey == rental.o_orderkey).select(
         *_rental_cols(),
         F.col("l_partkey").cast("long").alias("film_id"),
         F.col("l_suppkey").cast("long").alias("store_id"),
@@ -238,7 +257,7 @@ def load_with(read) -> RentalData:
         "customer": _customer, "customer_geo": _customer_geo, "rental": _rental,
         "payment": _payment, "rental_item": _rental_item, "film": _film,
         "film_genre": _film_genre, "rental_paid": _rental_paid, "customer_dim": _customer_dim,
-        "film_dim": _film_dim, "rental_line": _rental_line,
+        "film_dim": _film_dim, "rental_line": _rental_line, "payer": _payer,
     }
     return LazyRentalData({name: (lambda fn=fn: fn(read)) for name, fn in builders.items()},
                           lambda customer_id: load_with(_of_customer(read, customer_id)),

@@ -1,5 +1,6 @@
 """Physical plans: pruning, pushdown, no cartesian products, exact top-k."""
 
+import contextlib
 import random
 import re
 
@@ -109,10 +110,35 @@ def test_customer_lookup_cuts_lines_before_it_aggregates(spark):
         assert text.count("LeftSemi") >= text.count("lineitem.parquet")
 
 
-@pytest.mark.parametrize("name", ["customer_history", "customer_history_full", "customer_top_genres", "genre_monthly"])
+DATES_ONLY = "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp_ntz>"
+
+
+@pytest.mark.parametrize("name", ["customer_history", "customer_history_full", "customer_top_genres", "genre_monthly", "customer_detail"])
 def test_pages_scan_lines_and_films_once(spark, name):
+    """One scan of the lines; histories take return dates from a partial aggregate of two columns besides."""
     text = plan(QUERIES[name](spark, SF001))
-    assert text.count("lineitem.parquet") == 1 and text.count("part.parquet") == 1
+    assert text.count("lineitem.parquet") - text.count(DATES_ONLY) == 1 and text.count("part.parquet") == 1
+    assert text.count(DATES_ONLY) == ("history" in name)
+
+
+def test_nested_pages_come_from_one_pass(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(customers, "stored", lambda df, name: made.append(plan(df)) or stored(df, name))
+    left = plan(customers.customer_pages(driver.load(spark, SF001)))
+    (text,) = made
+    assert text.count("lineitem.parquet") - text.count(DATES_ONLY) == 1 and text.count("part.parquet") == 1
+    assert "lineitem.parquet" not in left and "part.parquet" not in left
+
+
+def test_monthly_revenue_reads_orders_as_they_are(spark):
+    """Orders meet the payments without an aggregate by their own key."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("monthly_revenue", "forecast_attention_by_country"):
+            text = plan(QUERIES[name](spark, SF001))
+            assert "orders.parquet" in text and "keys=[o_orderkey" not in text
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def _final_plan(df):
@@ -121,12 +147,9 @@ def _final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("report", [customers.customer_history, customers.customer_history_full, customers.customer_top_genres])
-def test_hot_film_is_split(spark, report):
-    """A film with a third of all lines: the join with films is split at run time."""
-    data = driver.load(spark, SF01)
-    line = data.rental_line
-    hot = line.withColumn("film_id", F.when(F.pmod(F.xxhash64("rental_id", "amount"), F.lit(3)) == 0, 1).otherwise(F.col("film_id")))
+@contextlib.contextmanager
+def as_if_large(spark):
+    """Settings under which tables of a few thousand rows are shuffled and split like large ones."""
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.adaptive.coalescePartitions.enabled": "false",
                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
@@ -135,12 +158,53 @@ def test_hot_film_is_split(spark, report):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        assert "skew=true" in _final_plan(report(data.with_tables(rental_line=hot)))
+        yield
     finally:
         for key in settings:
             spark.conf.unset(key)
 
 
+@pytest.mark.parametrize("report", [customers.customer_history, customers.customer_history_full, customers.customer_top_genres])
+def test_hot_film_is_split(spark, report):
+    """A film with a third of all lines: the join with films is split at run time."""
+    data = driver.load(spark, SF01)
+    line = data.rental_line
+    hot = line.withColumn("film_id", F.when(F.pmod(F.xxhash64("rental_id", "amount"), F.lit(3)) == 0, 1).otherwise(F.col("film_id")))
+    with as_if_large(spark):
+        assert "skew=true" in _final_plan(report(data.with_tables(rental_line=hot)))
+
+
+def _with_hot_order(spark):
+    """The driver tables, a third of all lines of order 7."""
+    def read(name):
+        df = driver.read_table(spark, SF01, name)
+        if name != "lineitem":
+            return df
+        third = F.pmod(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey"), F.lit(3)) == 0
+        return df.withColumn("l_orderkey", F.when(third, 7).otherwise(F.col("l_orderkey"))).repartition(8)
+
+    return driver.load_with(read)
+
+
+@pytest.mark.parametrize("report", [customers.customer_history, customers.customer_history_full])
+def test_hot_order_is_split(spark, report):
+    """An order with a third of all lines: its lines meet the rental in several tasks, and no window gathers them."""
+    with as_if_large(spark):
+        text = _final_plan(report(_with_hot_order(spark)))
+    order_joins = [line for line in text.splitlines() if "SortMergeJoin" in line and "l_orderkey" in line and "o_orderkey" in line]
+    assert any("skew=true" in line for line in order_joins)
+    assert not re.search(r"windowspecdefinition\(l_orderkey", text)
+
+
+def test_hot_order_has_the_latest_date_of_all_its_lines(spark):
+    data = _with_hot_order(spark)
+    lines = data.rental_line.filter("rental_id = 7")
+    (want,) = driver.read_table(spark, SF01, "lineitem").filter(
+        "pmod(xxhash64(l_orderkey, l_partkey, l_suppkey), 3) = 0 or l_orderkey = 7").agg(F.max("l_shipdate")).first()
+    got = [r["return_date"] for r in lines.select("return_date").distinct().collect()]
+    assert got == [want] and lines.count() > 15_000
+
+
 @pytest.mark.parametrize("name, scans", [
     ("kpi_filtered", 0), ("customer_summary_filtered", 0), ("revenue_filtered", 1), ("store_filtered", 1)])
 def test_filtered_reports_scan_lines_once(spark, name, scans):
