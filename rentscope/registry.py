@@ -7,6 +7,7 @@ the operator's own (top-n sizes, search text, thresholds).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,14 +16,15 @@ from pyspark.sql import functions as F
 
 from rentscope import oracle
 from rentscope.functions import RfmThresholds, TUNED_THRESHOLDS
-from rentscope.operators import catalog, churn, customers, filters, forecast, metrics, rfm
+from rentscope.operators import catalog, churn, customers, filters, forecast, metrics, rfm, search
 from rentscope.operators.forest import Forest
 from rentscope.plans import cut_lineage
-from rentscope.session import configure
+from rentscope.session import configure, ensure_checkpoint_dir
 from rentscope.sources import driver
 
 # Parameters of the registered queries.
 SEARCH_Q = "ER#0000001"          # mixed case on purpose: the search is case-insensitive
+SEARCH_RARE_Q = "oMer#000000042"   # three letters or more: found through trigrams
 TOP_CUSTOMERS = 10
 TIER_CUTS = (1_500_000, 3_000_000)
 TIER_LABELS = ("1 low", "2 mid", "3 high")
@@ -77,6 +79,21 @@ def _refitted(data) -> DataFrame:
     return churn.churn_report(churn.score_churn(features, churn.fit_churn_forest(features)))
 
 
+def _indexed_search(data) -> DataFrame:
+    spark = data.customer.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/names-{uuid.uuid4().hex}"
+    search.write_name_index(data, path)
+    return search.indexed_search(data, search.read_name_index(spark, path), SEARCH_RARE_Q)
+
+
+def _varied(data):
+    """The rentals with unpaid lines (amounts of whole tens of cents) and with films of two genres (even numbers)."""
+    unpaid = F.col("amount") * 10 == F.floor(F.col("amount") * 10)
+    line = data.rental_line.withColumn("has_payment", ~unpaid).withColumn("amount", F.when(~unpaid, F.col("amount")))
+    second = data.film.filter(F.col("film_id") % 2 == 0).select("film_id", F.lit("Even").alias("genre"))
+    return data.with_tables(film_genre=data.film_genre.unionByName(second), rental_line=line)
+
+
 QUERIES: dict[str, Query] = {
     # key figures and monthly revenue
     "kpi_summary": _on_data(metrics.kpi_summary),
@@ -106,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "store_summary": _on_data(metrics.store_summary),
     # customer lookup (all-customer batch forms)
     "customer_search": _on_data(lambda d: customers.customer_search(d, SEARCH_Q)),
+    "customer_search_indexed": _on_data(_indexed_search),
     "customer_kpi": _on_data(customers.customer_kpi),
     "customer_timeline": _on_data(customers.customer_timeline),
     "customer_top_genres": _on_data(customers.customer_top_genres),
@@ -124,6 +142,10 @@ QUERIES: dict[str, Query] = {
     "customer_history_unknown": _on_data(lambda d: customers.customer_history(d, UNKNOWN)),
     "customer_top_genres_3": _on_data(lambda d: customers.customer_top_genres(d, n=3)),
     "customer_history_10": _on_data(lambda d: customers.customer_history(d, n=10)),
+    "customer_history_varied": _on_data(lambda d: customers.customer_history(_varied(d), n=10)),
+    "customer_history_full_varied": _on_data(lambda d: customers.customer_history_full(_varied(d))),
+    "customer_top_genres_varied": _on_data(lambda d: customers.customer_top_genres(_varied(d), n=4)),
+    "genre_counts_varied": _on_data(lambda d: catalog.genre_counts(_varied(d))),
     "rfm_by_region_strict": _on_data(lambda d: rfm.rfm_by_region(d, STRICT_THRESHOLDS)),
     # global filters in front of an operator
     "revenue_filtered": _on_data(lambda d: metrics.monthly_revenue_payments(_of_segments(d))),
@@ -212,6 +234,11 @@ ORACLE: dict[str, str] = {
     "customer_history_unknown": oracle.history_sql(100, UNKNOWN),
     "customer_top_genres_3": oracle.top_genres_sql(3),
     "customer_history_10": oracle.history_sql(10),
+    "customer_search_indexed": oracle.search_sql(SEARCH_RARE_Q),
+    "customer_history_varied": oracle.varied(oracle.history_sql(10)),
+    "customer_history_full_varied": oracle.varied(oracle.HISTORY_FULL, unpaid=True),
+    "customer_top_genres_varied": oracle.varied(oracle.top_genres_sql(4), unpaid=True),
+    "genre_counts_varied": oracle.varied(oracle.GENRE, unpaid=True),
     "rfm_by_region_strict": oracle.rfm_by_region_sql(STRICT_THRESHOLDS),
     "revenue_filtered": oracle.filtered_revenue_sql(*_FILTER_SPAN, oracle.keep_segments(FILTER_SEGMENTS, TUNED_THRESHOLDS)),
     "kpi_filtered": oracle.filtered_kpi_sql(*_FILTER_SPAN, oracle.keep_segments(FILTER_SEGMENTS, TUNED_THRESHOLDS)),
