@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import pkgutil
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -155,9 +156,7 @@ class Forest:
     @staticmethod
     def stored(name: str) -> "Forest":
         """A forest that comes with the library (``scripts/fit_forests.py`` fits them)."""
-        folder = os.path.join(os.path.dirname(os.path.dirname(__file__)), "models")
-        with open(os.path.join(folder, f"{name}.json"), encoding="utf-8") as f:
-            return Forest.from_json(f.read())
+        return Forest.from_json(pkgutil.get_data("rentscope", f"models/{name}.json").decode())
 
 
 def node_rows(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
