@@ -8,6 +8,7 @@ so on down to single words. Paths without branches are compacted.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ FILTER_SHARE, FILTER_MOST = 32, 1 << 27
 
 #: Ends a piece, a text: bytes that no UTF-8 text holds.
 STOP = b"\xff"
+#: Where a long text may be cut: no word crosses it.
+_WHITE = re.compile(r"[\x20\x09-\x0D]")
 _SPLIT = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -82,7 +85,7 @@ def windows(langs: Iterable[str], texts: list[str], longest: int) -> Iterator[tu
     langs = list(langs)
     known = sorted(set(langs))
     number = {x: k for k, x in enumerate(known)}
-    parts = segments(texts, CHUNK)
+    parts = segments(texts, CHUNK, _WHITE)
     held: list[bytes] = []
     part = next(parts, None)
     while part:

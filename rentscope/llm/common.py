@@ -74,18 +74,19 @@ def held_out(divisor: int, remainder: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor == remainder
 
 
-def segments(texts: Iterable[str], limit: int = SEGMENT) -> Iterator[list[tuple[int, str]]]:
+def segments(texts: Iterable[str], limit: int = SEGMENT, cut_at: re.Pattern = _BREAK) -> Iterator[list[tuple[int, str]]]:
     """(text number, piece) in lists of about ``limit`` characters.
 
-    A longer text is cut before a single space that a non-space follows, so no
-    word is split; a word longer than ``limit`` stays whole.
+    A longer text is cut before a match of ``cut_at``: a single space that a
+    non-space follows, unless told otherwise, so no word is split; a word longer
+    than ``limit`` stays whole.
     """
     out: list[tuple[int, str]] = []
     size = 0
     for i, text in enumerate(texts):
         at = 0
         while True:
-            cut = _BREAK.search(text, at + limit) if len(text) - at > limit else None
+            cut = cut_at.search(text, at + limit) if len(text) - at > limit else None
             piece = text[at:cut.start()] if cut else text[at:]
             out.append((i, piece))
             size += len(piece)

@@ -7,6 +7,7 @@ most one place away.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.common import pick, ragged, segments, written
+from rentscope.llm.common import SEGMENT, pick, ragged, segments, written
 
 #: Least code points and occurrences of a word, one run in how many is changed, what makes a form.
 LEAST, TWICE, DIVISOR, FACTOR = 7, 2, 31, 10
@@ -30,6 +31,8 @@ CELL, ROWS, PAIRS, HELD = 2000, 100_000, 1 << 19, 400_000
 
 #: Words are Latin-1 bytes: a byte a code point, in code-point order.
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
+#: Where a long text may be cut: no run crosses it.
+_OUTSIDE = re.compile("[^A-Za-z\u00C0-\u00FF]")
 _BIT = np.array([1 << (c - 97) if 97 <= c <= 122 else 1 << (26 + (c - 0xC0) % 38) if c >= 0xC0 else 0 for c in range(256)], np.uint64)
 
 
@@ -63,7 +66,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             starts = [zlib.crc32(b"%d:" % i) for i in batch.column(0).to_pylist()]
-            for part in segments(["" if t is None else t for t in batch.column(1).to_pylist()]):
+            for part in segments(["" if t is None else t for t in batch.column(1).to_pylist()], SEGMENT, _OUTSIDE):
                 for i, piece in part:
                     for run, n in Counter([x for x in runs(piece) if len(x) >= LEAST]).items():
                         word = variant(run, starts[i])

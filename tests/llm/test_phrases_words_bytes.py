@@ -157,7 +157,7 @@ def test_spelling_groups(spelled, monkeypatch):
     assert any(r[1] and r[2] != r[1] for r in want) and max(len(r[0]) for r in want) > 64
     assert groups(spelling_groups.spelling_groups(spelled)) == want
     # Cells of three rows, tables of seven: the same pairs, each once.
-    for name, value in (("CELL", 3), ("ROWS", 7), ("PAIRS", 2), ("HELD", 4)):
+    for name, value in (("SEGMENT", 11), ("CELL", 3), ("ROWS", 7), ("PAIRS", 2), ("HELD", 4)):
         monkeypatch.setattr(spelling_groups, name, value)
     assert groups(spelling_groups.spelling_groups(spelled)) == want
 
