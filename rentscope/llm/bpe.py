@@ -219,5 +219,5 @@ def rank_bpe(path: str) -> RankBpe:
     return in_worker(("rank", path), lambda: RankBpe(path))
 
 
-def library_encoder(path: str, spaced: bool) -> LibraryEncoder:
-    return in_worker(("library", path, spaced), lambda: LibraryEncoder(path, spaced))
+def library_encoder(path: str, spaced: bool, kept: int = WORDS_KEPT) -> LibraryEncoder:
+    return in_worker(("library", path, spaced, kept), lambda: LibraryEncoder(path, spaced, kept))

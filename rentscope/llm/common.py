@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import sys
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +61,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def in_worker(key, make: Callable):
     """What ``make`` returns, kept by the Python worker process until another key is asked for.
 
-    A worker outlives its task and serves other operators; it holds the tables of one at a time.
+    A worker outlives its task and serves other operators; it holds the tables of one at a time,
+    and gives the memory of the others back before it makes new ones.
     """
     held = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker"))
     if getattr(held, "key", None) != key:
         held.key = held.value = None
         gc.collect()  # tables and what fills them refer to each other
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
         held.key, held.value = key, make()
     return held.value
 

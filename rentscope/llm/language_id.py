@@ -165,12 +165,12 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> LanguageMode
     return train(found.column("lang").to_pylist(), shares(x))
 
 
-def predictor(model: LanguageModel):
+def predictor(model: LanguageModel, kept: int = WORDS_KEPT // 2):
     """A function of whole texts that gives (languages, scores).
 
     A word adds the weights of its n-grams to each two-way SVM's margin, so a
     text costs one lookup a word; the model's size is set by BUCKETS and the
-    number of languages.
+    number of languages. ``kept``: words whose sums a worker remembers.
     """
     linears = model.linears
     weights = np.stack([x.weights for x in linears], axis=1) if linears else np.zeros((BUCKETS, 0))
@@ -187,7 +187,7 @@ def predictor(model: LanguageModel):
         return np.column_stack([sums, sizes, [letters(w) for w in words]]) if words else np.empty((0, weights.shape[1] + 2))
 
     def predict(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        words = in_worker(("language", key), lambda: Words(fill, WORDS_KEPT // 2))
+        words = in_worker(("language", key), lambda: Words(fill, kept))
         total = np.zeros((len(texts), weights.shape[1] + 2))
         for part in segments(["" if t is None else t for t in texts]):
             pieces = [piece.split() for _, piece in part]
@@ -239,7 +239,7 @@ def recognised(docs: DataFrame, least: float = LEAST) -> DataFrame:
     doc_id go.
     """
     model = learn(docs, ~held_out(FOLDS, HELD_OUT))
-    of = predictor(model)
+    of = predictor(model, WORDS_KEPT // 4)  # other stages run on the same executors
     at = docs.columns.index("text")
 
     def keep(batches):

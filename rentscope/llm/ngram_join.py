@@ -27,7 +27,7 @@ BITMAP = 1024
 BUCKET, PAIRS = 1024, 200_000
 
 #: Words whose hashes a worker remembers.
-KEPT = 200_000
+KEPT = 100_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 

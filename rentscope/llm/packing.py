@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rentscope.llm.bpe import library_encoder, tokenizer_path
-from rentscope.llm.common import pick, written
+from rentscope.llm.common import WORDS_KEPT, pick, written
 
 LENGTH = 1024
 
@@ -23,11 +23,14 @@ def id_type(path: str):
     return np.dtype("<u2") if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
 
-def encoded(docs: DataFrame, path: str, spaced: bool, end_id: int, kind: np.dtype):
-    """A function for mapInArrow over (doc_id, text): (batch, ids of each text with the end id)."""
+def encoded(docs: DataFrame, path: str, spaced: bool, end_id: int, kind: np.dtype, kept: int = WORDS_KEPT):
+    """A function for mapInArrow over (doc_id, text): (batch, ids of each text with the end id).
+
+    ``kept``: distinct words whose ids a worker remembers, which bounds its memory and changes no id.
+    """
 
     def each(batches):
-        encoder = library_encoder(path, spaced)
+        encoder = library_encoder(path, spaced, kept)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             yield batch, [np.append(ids, np.uint32(end_id)).astype(kind) for ids in encoder.encode(texts)]
@@ -35,10 +38,10 @@ def encoded(docs: DataFrame, path: str, spaced: bool, end_id: int, kind: np.dtyp
     return each
 
 
-def token_table(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
+def token_table(docs: DataFrame, path: str, spaced: bool, end_id: int, kept: int = WORDS_KEPT) -> DataFrame:
     """part, doc_id, start (ids before it in its part), n_tokens, ids: written, in doc_id order by part."""
     kind = id_type(path)
-    each = encoded(docs, path, spaced, end_id, kind)
+    each = encoded(docs, path, spaced, end_id, kind, kept)
 
     def tokens(batches):
         part, start = TaskContext.get().partitionId(), 0
@@ -55,7 +58,7 @@ def token_table(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFr
     return written(rows.mapInArrow(tokens, "part long, doc_id long, start long, n_tokens long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, path: str, spaced: bool, end_id: int, length: int = LENGTH, digest: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, spaced: bool, end_id: int, length: int = LENGTH, digest: bool = False, kept: int = WORDS_KEPT) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, boundary, ids.
 
     All documents, in doc_id order and each with ``end_id`` after it, make one
@@ -71,7 +74,7 @@ def pack(docs: DataFrame, path: str, spaced: bool, end_id: int, length: int = LE
     out; rows that repeat a doc_id are packed each; other columns are ignored;
     an empty table gives none.
     """
-    table = token_table(docs, path, spaced, end_id)
+    table = token_table(docs, path, spaced, end_id, kept)
     kind = id_type(path)
     width = kind.itemsize
     last = ("ids_crc32", "long") if digest else ("ids", "binary")
@@ -109,6 +112,6 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return whole.select("sequence_id", "n_tokens", F.col("p.doc_id").alias("doc_ids"), F.expr("aggregate(p, X'', (a, x) -> concat(a, x.ids))").alias("ids"))
 
 
-def byte_packing(docs: DataFrame) -> DataFrame:
-    out = pack(docs, tokenizer_path("byte_bpe_50k.json"), spaced=True, end_id=0, digest=True)
+def byte_packing(docs: DataFrame, kept: int = WORDS_KEPT) -> DataFrame:
+    out = pack(docs, tokenizer_path("byte_bpe_50k.json"), spaced=True, end_id=0, digest=True, kept=kept)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
