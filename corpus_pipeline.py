@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rentscope.llm import common, exact_dedup, language_id, ngram_join, packing, quality_rules
 
+#: Words that a worker remembers in the last stage, which shares its executors with what the others left.
+WORDS_KEPT = 150_000
+
 
 def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised stay; text without a letter goes, and what scores too low.
@@ -42,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, in sequences of 1024 ids."""
     common.configured(spark)
-    return packing.byte_packing(docs)
+    return packing.byte_packing(docs, kept=WORDS_KEPT)
 
 
 STAGES = [
