@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from rentscope import session
 from rentscope.operators import customers, filters, metrics
 from rentscope.plans import stored, top_k_per_group
 from rentscope.registry import QUERIES
@@ -243,6 +244,42 @@ def test_filter_keys_reach_the_scan_of_large_facts_as_a_bloom_filter(spark):
             spark.conf.unset(key)
 
 
+FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+@pytest.fixture
+def few_rows_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_PARTITION", 3000, raising=False)
+    yield
+    for key in (FIRST_PARTITIONS, "rentscope.fittedPartitions"):
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", ["store_summary"])
+def test_more_lines_give_more_tasks(spark, few_rows_a_partition, monkeypatch, name):
+    """60,000 lines, 3,000 a partition: the shuffles start from 20 partitions, and the rows are those that 8 give."""
+    query = QUERIES[name](spark, SF01)
+    assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan(query))) == {"20"}
+    got = query.collect()
+    for key in (FIRST_PARTITIONS, "rentscope.fittedPartitions"):
+        spark.conf.unset(key)
+    monkeypatch.setattr(session, "ROWS_A_PARTITION", 10**9, raising=False)
+    assert sorted(got, key=str) == sorted(QUERIES[name](spark, SF01).collect(), key=str)
+
+
+def test_first_partitions_grow_and_leave_what_the_session_has(spark, few_rows_a_partition):
+    assert spark.conf.get(FIRST_PARTITIONS, None) is None
+    session.fit_shuffles(spark, 24_000)  # eight, as spark.sql.shuffle.partitions
+    assert spark.conf.get(FIRST_PARTITIONS, None) is None
+    session.fit_shuffles(spark, 30_001)
+    assert spark.conf.get(FIRST_PARTITIONS) == "11"
+    session.fit_shuffles(spark, 100)
+    assert spark.conf.get(FIRST_PARTITIONS) == "11"
+    spark.conf.set(FIRST_PARTITIONS, "9")
+    session.fit_shuffles(spark, 90_000)
+    assert spark.conf.get(FIRST_PARTITIONS) == "9"
+
+
 UNUSED_COLUMNS = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                   "o_orderstatus", "o_totalprice", "o_orderpriority", "c_mktsegment",
                   "p_brand", "p_size", "p_retailprice", "s_name", "s_acctbal", "n_regionkey")
