@@ -8,6 +8,7 @@ of ``customers.customer_search``. What has no trigram to look up is scanned.
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -20,6 +21,9 @@ from rentscope.operators.customers import customer_search
 #: Letters of a gram; folders; grams looked up at most; share of the customers from which on a gram tells too little.
 GRAM, FOLDERS, LOOKED_UP, TOO_COMMON = 3, 64, 4, 0.2
 
+#: Names that a task takes the grams of when an index is written.
+NAMES_A_TASK = 50_000
+
 
 @dataclass(frozen=True)
 class NameIndex:
@@ -43,6 +47,8 @@ def write_name_index(data: RentalData, path: str) -> None:
     starts = F.sequence(F.lit(1), F.length("name") - (GRAM - 1))
     own = F.when(F.length("name") >= GRAM, F.array_distinct(F.transform(starts, lambda k: F.substring("name", k, F.lit(GRAM)))))
     folder = F.pmod(F.crc32("gram"), F.lit(FOLDERS)).cast("int")
+    # A name has many grams: however few tasks read the customers, each takes the grams of NAMES_A_TASK names or so.
+    names = names.repartition(max(1, math.ceil(names.count() / NAMES_A_TASK)), "customer_id", "name")
     rows = names.select("customer_id", F.explode(own).alias("gram")).distinct().withColumn("folder", folder)
     root = path.rstrip("/")
     # Dealt by folder and customer: no folder's rows, nor a common gram's, meet in one task.

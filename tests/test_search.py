@@ -88,3 +88,21 @@ def test_empty_pattern_and_empty_table(spark, named):
     path = tempfile.mkdtemp(prefix="rentscope-nobody-") + "/index"
     search.write_name_index(none, path)
     assert search.indexed_search(none, search.read_name_index(spark, path), "anna").count() == 0
+
+
+def test_index_makes_the_grams_of_some_names_a_task(spark, monkeypatch):
+    """One file of customers is dealt before its grams are made: no task holds them all; repeated and null ids keep theirs."""
+    monkeypatch.setattr(search, "NAMES_A_TASK", 200, raising=False)
+    rows = [(k % 900 if k % 7 else None, f"Name {k % 950:05d}") for k in range(1000)]
+    customer = spark.createDataFrame(rows, "customer_id long, name string").coalesce(1)
+    frame, made = type(customer), []
+    distinct = frame.distinct
+    monkeypatch.setattr(frame, "distinct", lambda df: made.append(df) or distinct(df))
+    path = tempfile.mkdtemp(prefix="rentscope-names-") + "/index"
+    search.write_name_index(driver.load(spark, SF01).with_tables(customer=customer), path)
+    tasks = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < sum(tasks) / 2
+    index = search.read_name_index(spark, path)
+    got = [tuple(r) for r in index.postings.select("customer_id", "gram").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, n.lower()[k : k + 3]) for i, n in rows for k in range(len(n) - 2)}
+    assert index.customers == 1000
