@@ -255,7 +255,7 @@ def few_rows_a_partition(spark, monkeypatch):
         spark.conf.unset(key)
 
 
-@pytest.mark.parametrize("name", ["store_summary", "customer_top_genres_varied", "customer_top_genres", "customer_top_genres_3"])
+@pytest.mark.parametrize("name", ["store_summary", "customer_top_genres_varied", "customer_top_genres", "customer_top_genres_3", "customer_detail"])
 def test_more_lines_give_more_tasks(spark, few_rows_a_partition, monkeypatch, name):
     """60,000 lines, 3,000 a partition: the shuffles start from 20 partitions, and the rows are those that 8 give."""
     query = QUERIES[name](spark, SF01)
