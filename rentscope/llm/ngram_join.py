@@ -109,15 +109,15 @@ def frequency_sketch(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
             for row in batch.to_pylist():
                 own = np.frombuffer(row["cells"], np.int64)
                 total[row["block"]] = total.get(row["block"], 0) + own
-        for k, own in total.items():
-            yield pa.RecordBatch.from_pylist([{"block": k, "cells": own.tobytes()}])
+        for k, own in total.items():  # all of a block is here: only its logarithms go to the driver
+            yield pa.RecordBatch.from_pylist([{"block": k, "cells": (np.log2(1 + own) * 1024).astype(np.uint16).tobytes()}])
 
     schema = "block long, cells binary"
     parts = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
-    out = np.zeros(1 << CELL_BITS, np.int64)
+    out = np.zeros(1 << CELL_BITS, np.uint16)
     for row in parts.toArrow().to_pylist():
-        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["cells"], np.int64)
-    return (np.log2(1 + out) * 1024).astype(np.uint16)
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["cells"], np.uint16)
+    return out
 
 
 def describe(docs: DataFrame, sketch: np.ndarray, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -324,8 +324,7 @@ def similar_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT)
 
     rows = written(_by_bucket(buckets(sets)).mapInArrow(hook, f"{_ROWS}, hook long"), "buckets")
     tried = written(rows.where("hook is not null").select(F.least("set_id", "hook").alias("x"), F.greatest("set_id", "hook").alias("y")).distinct(), "pairs")
-    links = verified(docs, first_docs, tried, gram, percent)
-    labels = connected_components(links)
+    labels = connected_components(verified(docs, first_docs, tried, gram, percent))
     for again in (True, False):
         mixed = _by_bucket(relabelled(rows.drop("hook"), labels))
         if again:
@@ -333,9 +332,12 @@ def similar_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT)
         else:
             found = mixed.mapInArrow(likely, "x long, y long")
         found = written(found.distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
-        links = links.unionByName(verified(docs, first_docs, found, gram, percent))
+        if found.isEmpty():
+            continue
+        links = verified(docs, first_docs, found, gram, percent)
         tried = tried.unionByName(found)
-        labels = connected_components(links)
+        if not links.isEmpty():  # what is connected already goes on as stars, which settle in fewer rounds
+            labels = connected_components(links.unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y"))))
 
     joined = labels.join(first_docs.select(F.col("set_id").alias("node"), "first_doc"), "node")
     least = joined.groupBy("label").agg(F.min("first_doc").alias("least"))

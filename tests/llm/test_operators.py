@@ -353,6 +353,43 @@ def test_ngram_join_by_other_lengths_and_limits(spark):
     assert told(ngram_join.similar_documents(docs), "doc_id", "component_id") == [(k, k) for k in range(1, 5)]
 
 
+def test_ngram_join_goes_on_only_with_what_is_new(spark, monkeypatch):
+    """One pair to verify: no more rounds of it. Where later rounds find links, what is connected already goes on as stars."""
+    calls, stars, verified, components = [], [], ngram_join.verified, ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "verified", lambda *a: calls.append(a) or verified(*a))
+    monkeypatch.setattr(ngram_join, "connected_components", lambda links: stars.append(components(links)) or stars[-1])
+    rows = [(1, near_pair(1)[0]), (2, near_pair(1)[1]), (3, "another text of its own"), (4, None)]
+    out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert told(out, "doc_id", "n_shingles", "component_id") == brute_components(rows, 5, 80)
+    assert len(calls) == 1 and len(stars) == 1
+
+    rnd = random.Random(4)
+    rows = []
+    for g in range(6):  # walks: each text differs a little from one before it
+        texts = [[f"g{g}w{k}" for k in range(60)]]
+        for i in range(40):
+            own = list(rnd.choice(texts[-6:]))
+            own[rnd.randrange(60)] = f"g{g}e{i}"
+            texts.append(own)
+        rows += [(g * 100 + i, " ".join(own)) for i, own in enumerate(texts)]
+    rnd.shuffle(rows)
+    calls.clear(), stars.clear()
+    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert told(out, "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert len(stars) > 1
+
+
+def test_frequency_sketch_counts_documents(spark):
+    texts = ["a b c d", "a b c", "a b c a b c", None, "", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = np.zeros(1 << ngram_join.CELL_BITS, np.int64)
+    for s in ngram_join.gram_sets(texts):
+        np.add.at(want, (s >> np.uint64(64 - ngram_join.CELL_BITS)).astype(np.int64), 1)
+    got = ngram_join.frequency_sketch(docs)
+    assert got.dtype == np.uint16 and (got == (np.log2(1 + want) * 1024).astype(np.uint16)).all() and want.max() == 3
+
+
 def test_ngram_bitmap_never_exceeds_the_difference():
     rnd = random.Random(2)
     sets = list(ngram_join.gram_sets([" ".join(f"w{rnd.randrange(30)}" for _ in range(rnd.randint(3, 300))) for _ in range(40)]))
