@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rentscope.llm.common import Words, in_worker, keeping, pick, segments, sent_if_bounded, written
@@ -202,6 +203,8 @@ def _likely(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 _ROWS = "gram long, i int, block int, blocks int, set_id long, n long, at int, bitmap binary, label long"
 _KEPT = [x.split()[0] for x in _ROWS.split(", ")]
+#: What is written of a bucket's rows; bitmaps come back to those that meet again.
+_WRITTEN = ["gram", "block", "blocks", "set_id", "n", "at", "hook"]
 
 
 def _hook(batches, percent: int):
@@ -230,28 +233,36 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.select(*_KEPT).repartition("gram", "i").sortWithinPartitions("gram", "i", "set_id")
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """set_id, bitmap: one row a set, however often a document is repeated."""
+    return sets.select("set_id", "bitmap").dropDuplicates(["set_id"])
+
+
 def buckets(sets: DataFrame) -> DataFrame:
-    """The postings of grams that more than one set has in its prefix, hot grams dealt over blocks of sets."""
+    """The postings of grams that more than one set has in its prefix, hot grams dealt over blocks of sets.
+
+    Postings are the bulk of what is shuffled: they move once, and are counted where they arrive.
+    """
     postings = sets.select("set_id", "n", F.posexplode("prefix").alias("at", "gram"))
-    shared = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1")
-    rows = postings.join(shared, "gram").join(sets.select("set_id", "bitmap"), "set_id")
+    shared = postings.withColumn("n_sets", F.count(F.lit(1)).over(W.partitionBy("gram"))).where("n_sets > 1")
+    rows = shared.join(bitmaps(sets), "set_id")
     blocks = F.ceil(F.col("n_sets") / BUCKET).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     return rows.withColumns({"i": F.col("block"), "label": F.col("set_id")})
 
 
-def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def relabelled(rows: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one label.
 
     The sets of a bucket's most frequent label stay in their own block; the
     others are guests in every other block too. So two sets of different labels
     meet in a block, and a group that is one component already costs a row a set.
     """
-    rows = rows.drop("label").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
+    rows = rows.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
     rows = rows.withColumn("label", F.coalesce("label", "set_id"))
     held = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n_held"))
     mixed = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n_labels"), F.max_by("label", F.struct("n_held", "label")).alias("main"))
-    rows = rows.join(mixed.where("n_labels > 1"), "gram")
+    rows = rows.join(mixed.where("n_labels > 1"), "gram").join(bitmaps(sets), "set_id")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     return rows.withColumn("i", F.explode(F.when(F.col("label") == F.col("main"), F.array("block")).otherwise(every)))
 
@@ -322,11 +333,11 @@ def similar_documents(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT)
     sets = known.join(sent_if_bounded(copies), ["set_id", "doc_id"], "left_anti").select("set_id", "n", "prefix", "bitmap")
     first_docs = first.select("set_id", "first_doc")
 
-    rows = written(_by_bucket(buckets(sets)).mapInArrow(hook, f"{_ROWS}, hook long"), "buckets")
+    rows = written(_by_bucket(buckets(sets)).mapInArrow(hook, f"{_ROWS}, hook long").select(*_WRITTEN), "buckets")
     tried = written(rows.where("hook is not null").select(F.least("set_id", "hook").alias("x"), F.greatest("set_id", "hook").alias("y")).distinct(), "pairs")
     labels = connected_components(verified(docs, first_docs, tried, gram, percent))
     for again in (True, False):
-        mixed = _by_bucket(relabelled(rows.drop("hook"), labels))
+        mixed = _by_bucket(relabelled(rows.drop("hook"), labels, sets))
         if again:
             found = mixed.mapInArrow(hook, f"{_ROWS}, hook long").where("hook is not null").select(F.least("set_id", "hook").alias("x"), F.greatest("set_id", "hook").alias("y"))
         else:
