@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -654,3 +655,40 @@ def test_queries_read_their_tables(spark):
 
     for name in ("op2_quality_rules", "op4_token_counts"):
         assert QUERIES[name](spark, SF001).count() == 200
+
+
+def test_new_words_are_filled_a_few_at_a_time():
+    """What a fill takes besides its rows is bounded, however many new words a call has; rows stay those of the words."""
+    asked = []
+
+    def fill(words):
+        asked.append(len(words))
+        return np.array([[int(w), len(w)] for w in words], np.int64).reshape(-1, 2)
+
+    words = common.Words(fill, kept=9_000)
+    for first in (0, 5_000, 2_500):
+        flat = [str(k % 11_000) for k in range(first, first + 20_000)]
+        assert words.of(flat).tolist() == [[int(w), len(w)] for w in flat]
+    assert max(asked) <= 4096 < sum(asked)
+
+
+def test_ids_of_many_new_words_in_one_call_are_the_librarys():
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    encoder, lib = bpe.LibraryEncoder(path, True, 6_000), Tokenizer.from_file(path)
+    for first in (0, 4_000):
+        text = " ".join(f"w{k % 9_500}é{k}" for k in range(first, first + 10_000))
+        assert encoder.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_a_language_worker_needs_little_memory_besides_its_table():
+    """A call with many new words takes less than their n-grams would all at once."""
+    rnd = np.random.default_rng(3)
+    vote = language_id.Linear("de", "en", rnd.normal(size=language_id.BUCKETS), 0.0)
+    model = language_id.LanguageModel({"germanic": ["de", "en"]}, [], {"germanic": [vote]})
+    text = " ".join("".join(chr(97 + x) for x in w) for w in rnd.integers(0, 26, (40_000, 12)))
+    predict = language_id.predictor(model)
+    tracemalloc.start()
+    predict([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
